@@ -87,16 +87,16 @@ def mask_targets(policies: DataFrame, config: Config) -> DataFrame:
 
 def column_mask_statements(policies: DataFrame, items: DataFrame, config: Config) -> DataFrame:
     targets = mask_targets(policies, config).filter("size(parts) = 3 AND size(columns) > 0")
-    mine = items.join(targets.select("policy_key"), "policy_key", "left_semi")
     rows = (
-        targets.join(default_mask(mine), "policy_key")
-        .join(pass_through(mine, config), "policy_key", "left")
+        targets.join(default_mask(items), "policy_key")
+        .join(pass_through(items, config), "policy_key", "left")
         .select("*", F.posexplode("columns").alias("obj_pos", "column"))
     )
     parts = F.col("parts")
     return mask_statement_pair(
         rows, "COLUMN_MASK", RESOURCE_FALLBACK,
-        F.concat_ws(".", parts[0], parts[1]), parts[2], F.col("resource_path"),
+        F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.get(parts, F.lit(2)), F.col("resource_path"),
+        may_head=(F.col("obj_pos") == 0) & (F.col("part") == 0),
     )
 
 

@@ -62,20 +62,19 @@ def filter_targets(policies: DataFrame, config: Config) -> DataFrame:
 
 def row_filter_statements(policies: DataFrame, items: DataFrame, config: Config) -> DataFrame:
     targets = filter_targets(policies, config).filter("size(parts) = 3")
-    mine = items.join(targets.select("policy_key"), "policy_key", "left_semi")
     rows = (
-        targets.join(merge_row_filters(mine, config), "policy_key")
-        .join(ordered_filter_columns(mine), "policy_key", "left")
+        targets.join(merge_row_filters(items, config), "policy_key")
+        .join(ordered_filter_columns(items), "policy_key", "left")
         .withColumn("columns", F.coalesce("columns", F.lit("")))
         .withColumn(
             "function",
             F.concat_ws(
-                ".", F.col("parts")[0], F.col("parts")[1],
-                filter_function_name(F.col("parts")[2], F.col("policy_id"), F.lit(0)),
+                ".", F.get(F.col("parts"), F.lit(0)), F.get(F.col("parts"), F.lit(1)),
+                filter_function_name(F.get(F.col("parts"), F.lit(2)), F.col("policy_id"), F.lit(0)),
             ),
         )
     )
-    return filter_statement_pair(rows, "ROW_FILTER", F.col("resource_path"))
+    return filter_statement_pair(rows, "ROW_FILTER", F.col("resource_path"), may_head=F.col("part") == 0)
 
 
 def filter_statement_pair(rows: DataFrame, policy_type: str, table, **order) -> DataFrame:

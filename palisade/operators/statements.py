@@ -61,15 +61,23 @@ def header_positions(rows: DataFrame) -> DataFrame:
 
 def finish(rows: DataFrame, policies: DataFrame) -> DataFrame:
     """Format every statement; the header goes on each policy's first one."""
-    heads = policies.select("policy_key", "policy_id", "name", "description").join(
-        header_positions(rows), "policy_key"
-    )
+    heads = _head_columns(policies).join(header_positions(rows), "policy_key")
+    headed = F.col("may_head") & (F.struct(*ORDER) == F.col("first"))
+    return _formatted(rows.join(heads, "policy_key", "left"), F.coalesce(headed, F.lit(False)))
+
+
+def finish_known(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """The same for rows whose ``may_head`` already names exactly the first statement."""
+    return _formatted(rows.join(_head_columns(policies), "policy_key", "left"), F.col("may_head"))
+
+
+def _head_columns(policies: DataFrame) -> DataFrame:
+    return policies.select("policy_key", "policy_id", "name", "description")
+
+
+def _formatted(rows: DataFrame, headed: Column) -> DataFrame:
     description = F.when(
         F.col("note").isNotNull(), strip(F.concat(F.coalesce("description", F.lit("")), F.lit("\n"), F.col("note")))
     ).otherwise(F.col("description"))
-    headed = F.col("may_head") & (F.struct(*ORDER) == F.col("first"))
-    return rows.join(heads, "policy_key", "left").select(
-        "policy_key", "policy_type", *ORDER,
-        format_statement(F.col("body"), F.col("name"), F.col("policy_id"), description, F.coalesce(headed, F.lit(False)))
-        .alias("sql"),
-    )
+    sql = format_statement(F.col("body"), F.col("name"), F.col("policy_id"), description, headed)
+    return rows.select("policy_key", "policy_type", *ORDER, sql.alias("sql"))

@@ -30,7 +30,7 @@ def _parts(path: str = "path") -> Column:
 
 def _table_name(table_key: Column, config: Config) -> Column:
     parts = F.split(table_key, r"\.")
-    return F.concat_ws(".", F.lit(config.catalog), quote_identifier(parts[0]), quote_identifier(parts[1]))
+    return F.concat_ws(".", F.lit(config.catalog), quote_identifier(F.get(parts, F.lit(0))), quote_identifier(F.get(parts, F.lit(1))))
 
 
 # --- tag catalog ----------------------------------------------------------------
@@ -43,7 +43,7 @@ def split_tag_levels(resource_tags: DataFrame) -> DataFrame:
         "scope",
         F.when(size == 2, F.lit(TABLES)).otherwise(F.lit(COLUMNS)).alias("section"),
         F.substring_index("path", ".", 2).alias("table_key"),
-        F.when(size == 3, _parts()[2]).otherwise(F.lit("")).alias("column"),
+        F.when(size == 3, F.get(_parts(), F.lit(2))).otherwise(F.lit("")).alias("column"),
         "path_pos", "tag_pos", "tag",
     )
 
@@ -52,7 +52,7 @@ def path_findings(resource_tags: DataFrame) -> DataFrame:
     """Paths that tag neither a table nor a column, and wildcard columns."""
     size = F.size(_parts())
     message = F.when(~size.isin(2, 3), F.lit("Resource tag path needs two or three parts")).when(
-        (size == 3) & (_parts()[2] == "*"), F.lit("Resource tag on every column of a table")
+        (size == 3) & (F.get(_parts(), F.lit(2)) == "*"), F.lit("Resource tag on every column of a table")
     )
     return resource_tags.select("scope", "path", message.alias("message")).filter("message IS NOT NULL").distinct()
 
@@ -160,7 +160,7 @@ def tag_to_columns(resource_tags: DataFrame, config: Config) -> DataFrame:
     parts, size = _parts(), F.size(_parts())
     rows = resource_tags.filter(size.isin(2, 3)).select(
         "scope", "tag", "path_pos",
-        F.when(size == 3, parts[0]).otherwise(F.lit(config.schema)).alias("db"),
+        F.when(size == 3, F.get(parts, F.lit(0))).otherwise(F.lit(config.schema)).alias("db"),
         F.get(parts, size - 2).alias("tbl"),
         F.get(parts, size - 1).alias("column"),
     )
@@ -174,7 +174,7 @@ def tagged_columns_of_table(policies: DataFrame, resource_tags: DataFrame) -> Da
     columns = (
         policy_tags(policies)
         .join(resource_tags.filter(F.size(_parts()) == 3), ["scope", "tag"])
-        .groupBy("policy_key", F.substring_index("path", ".", 2).alias("table_key"), _parts()[2].alias("column"))
+        .groupBy("policy_key", F.substring_index("path", ".", 2).alias("table_key"), F.get(_parts(), F.lit(2)).alias("column"))
         .agg(F.min("path_pos").alias("path_pos"))
     )
     tables = tags_to_tables(policies, resource_tags).select("policy_key", "table_key")
@@ -271,8 +271,8 @@ def tag_filter_rows(
         .withColumn(
             "function",
             F.concat_ws(
-                ".", F.lit(config.catalog), parts[0],
-                filter_function_name(parts[1], F.col("policy_id"), F.col("item_pos")),
+                ".", F.lit(config.catalog), F.get(parts, F.lit(0)),
+                filter_function_name(F.get(parts, F.lit(1)), F.col("policy_id"), F.col("item_pos")),
             ),
         )
     )
@@ -296,7 +296,7 @@ def tag_mask_supplements(
     parts = F.split("table_key", r"\.")
     rows = tagged_columns_of_table(mine, resource_tags).join(per_policy, "policy_key")
     return mask_statement_pair(
-        rows, "ACCESS_TAG", RESOURCE_FALLBACK, F.concat(F.lit(config.catalog + "."), parts[0]), parts[1],
+        rows, "ACCESS_TAG", RESOURCE_FALLBACK, F.concat(F.lit(config.catalog + "."), F.get(parts, F.lit(0))), F.get(parts, F.lit(1)),
         _table_name(F.col("table_key"), config),
         section=MASKS, obj_key=F.col("table_key"), item_pos=F.col("path_pos"), obj_sub=F.lit(""),
     )
@@ -323,7 +323,7 @@ def tag_access_rows(
 def _tag_mask_targets(policies: DataFrame, masks: DataFrame) -> DataFrame:
     """Tag mask policies with their first tag and the first mask type that really masks."""
     mine = _of_route(policies, "tag_mask").select(
-        "policy_key", "scope", resource_values("tag")[0].alias("tag")
+        "policy_key", "scope", F.get(resource_values("tag"), F.lit(0)).alias("tag")
     )
     real = F.when((F.col("mask_type") != "MASK_NONE") & (F.col("mask_type") != ""), F.col("item_pos"))
     kinds = masks.groupBy("policy_key").agg(

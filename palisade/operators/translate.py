@@ -11,7 +11,7 @@ from palisade.operators import column_masks, filters, grants, tags
 from palisade.operators.config import Config
 from palisade.operators.privileges import explode_accesses, explode_principals, map_principal, map_privilege
 from palisade.operators.resources import not_translatable, policy_route, reason_lines, resource_values, routed
-from palisade.operators.statements import ORDER, finish, raw_rows
+from palisade.operators.statements import ORDER, finish, finish_known, raw_rows
 
 
 @dataclass
@@ -41,22 +41,21 @@ def untranslatable_rows(run: Inputs, config: Config) -> DataFrame:
     return raw_rows(rows, "NOT_TRANSLATABLE", F.col("body"))
 
 
-def all_rows(run: Inputs, config: Config) -> DataFrame:
+def translate_all(run: Inputs, config: Config) -> DataFrame:
+    """Statements of all policies; policies without any statement have no rows."""
     p = run.policies
-    return (
-        grants.access_grants(p, run.access, config)
-        .unionByName(grants.external_location_grants(p, run.access, config))
-        .unionByName(filters.row_filter_statements(p, run.filters, config))
+    fixed = (
+        filters.row_filter_statements(p, run.filters, config)
         .unionByName(column_masks.column_mask_statements(p, run.masks, config))
         .unionByName(untranslatable_rows(run, config))
+    )
+    searched = (
+        grants.access_grants(p, run.access, config)
+        .unionByName(grants.external_location_grants(p, run.access, config))
         .unionByName(tags.tag_access_rows(p, run.access, run.filters, run.masks, run.resource_tags, config))
         .unionByName(tags.tag_mask_rows(p, run.masks, run.resource_tags, config))
     )
-
-
-def translate_all(run: Inputs, config: Config) -> DataFrame:
-    """Statements of all policies; policies without any statement have no rows."""
-    return finish(all_rows(run, config), run.policies)
+    return finish_known(fixed, p).unionByName(finish(searched, p))
 
 
 def translate_with_tags(run: Inputs, config: Config) -> DataFrame:

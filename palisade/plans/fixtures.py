@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.operators.translate import Inputs
+from palisade.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived relation as a written table, the way an ingest job leaves it.
+
+    Written once per application below the shared checkpoint folder. Later plans start
+    from a scan with known size instead of repeating the derivation in every branch.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        path = scratch_dir(spark, name)
+        make().write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def relation(spark: SparkSession, sf_dir: str, make, *names: str) -> DataFrame:
     """Run one of the SELECTs above over Parquet tables."""
     frames = {n: table(spark, sf_dir, n) for n in names}
@@ -171,7 +189,7 @@ def fx_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, items_sql, "lineitem")
+    return staged(spark, sf_dir, "items", lambda: relation(spark, sf_dir, items_sql, "lineitem"))
 
 
 def resource_entries():
@@ -200,6 +218,10 @@ def with_resources(policies: DataFrame) -> DataFrame:
 
 def policies_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies with their inferred type, resources map and scope."""
+    return staged(spark, sf_dir, "policies", lambda: typed_policies(spark, sf_dir))
+
+
+def typed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.sources.documents import infer_policy_type
 
     items = fx_items(spark, sf_dir)
@@ -251,6 +273,10 @@ def mask_items(items: DataFrame) -> DataFrame:
 
 
 def resource_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "resource_tags", lambda: _resource_tags(spark, sf_dir))
+
+
+def _resource_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same rows as the SELECT, with the first position per path from a join instead of
     a window, so a path that holds many tags is not sorted in one task."""
     text = resource_tags_sql(SPARK, "{part}")
@@ -331,6 +357,10 @@ def policy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "documents", lambda: build_documents(spark, sf_dir))
+
+
+def build_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, json): four policies per file in one of six envelope shapes; every 97th
     block of files is cut short so that it does not parse."""
     block, shape = F.expr("policy_key div 4"), F.expr("(policy_key div 4) % 6")
@@ -463,6 +493,10 @@ def validation_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "validation", lambda: _validation_documents(spark, sf_dir))
+
+
+def _validation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, json): four policies per file, eight kinds of envelope."""
     rows = validation_policies(spark, sf_dir).withColumn("n", F.expr("k div 4"))
 

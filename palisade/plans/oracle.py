@@ -325,8 +325,8 @@ FROM (SELECT b.*, CASE WHEN declared_type = 1 THEN 'COLUMN_MASK' WHEN declared_t
     "tmopen": f"""SELECT policy_key, string_agg({when_clause('ptype', "CASE ptype WHEN 'user' THEN pname ELSE principal END", 'chr(1)')}, chr(10)
     ORDER BY CASE ptype WHEN 'user' THEN 0 ELSE 1 END, item_pos, prin_pos) AS whens
   FROM who WHERE mask_type = 'MASK_NONE' AND ptype <> 'role' GROUP BY policy_key""",
-    "tagmask": """SELECT policy_key, 'main.' || db AS prefix, tbl AS tname, col, path_pos, mask_kind, whens FROM pol JOIN mkind USING (policy_key)
-  JOIN tcolumns ON tag = tag1 LEFT JOIN tmopen USING (policy_key) WHERE route = 'tag_mask' AND mask_kind IS NOT NULL""",
+    "tagmask": """SELECT policy_key, 'main.' || c.db AS prefix, c.tbl AS tname, col, path_pos, mask_kind, whens FROM pol JOIN mkind USING (policy_key)
+  JOIN tcolumns c ON c.tag = tag1 LEFT JOIN tmopen USING (policy_key) WHERE route = 'tag_mask' AND mask_kind IS NOT NULL""",
     "r_tagmask": mask_pair("tagmask", "COLUMN_MASK_TAG", "MASK_HASH", "prefix || '.' || tname", item_pos="path_pos"),
     "r_tagaccess": """SELECT * FROM r_taggrant UNION ALL SELECT * FROM r_tagnogrant UNION ALL SELECT * FROM r_tagdeny
   UNION ALL SELECT * FROM r_tagfilter UNION ALL SELECT * FROM r_tagsupp""",

@@ -23,7 +23,7 @@ def config(spark: SparkSession, sf_dir: str) -> Config:
 
 
 def finished(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.finish(rows, fx.with_resources(fx.fx_policies(spark, sf_dir)))
+    return statements.finish(rows, fx.policies_frame(spark, sf_dir))
 
 
 # --- policies and resources --------------------------------------------------------------
@@ -75,7 +75,7 @@ def object_keyword(spark, sf_dir):
 @query("not_translatable", o.finish("r_nt"))
 def not_translatable(spark, sf_dir):
     run = fx.inputs(spark, sf_dir)
-    return statements.finish(translate.untranslatable_rows(run, Config()), run.policies)
+    return statements.finish_known(translate.untranslatable_rows(run, Config()), run.policies)
 
 
 @query("path_slug", f"SELECT policy_key, path, {o.LOCATION} AS location FROM (SELECT policy_key, unnest([path1, path2]) AS path FROM base) t WHERE path IS NOT NULL")
@@ -243,7 +243,7 @@ _FILTER_ERRORS = """SELECT policy_key, 'Invalid table path for row filter: ' ||
 def row_filter_statements(spark, sf_dir):
     policies, c = fx.policies_frame(spark, sf_dir), config(spark, sf_dir)
     items = fx.filter_items(fx.fx_items(spark, sf_dir))
-    rows = finished(filters.row_filter_statements(policies, items, c), spark, sf_dir)
+    rows = statements.finish_known(filters.row_filter_statements(policies, items, c), policies)
     bad = filters.filter_errors(policies, items, c)
     return rows.select("policy_key", "part", "sql", F.lit(None).cast("string").alias("error")).unionByName(
         bad.select("policy_key", F.lit(0).alias("part"), F.lit(None).cast("string").alias("sql"), F.col("message").alias("error"))
@@ -267,7 +267,7 @@ _MASK_ERRORS = """SELECT policy_key, CASE WHEN len(parts) <> 3 THEN 'Invalid tab
 def column_mask_statements(spark, sf_dir):
     policies, c = fx.policies_frame(spark, sf_dir), config(spark, sf_dir)
     items = fx.mask_items(fx.fx_items(spark, sf_dir))
-    rows = finished(column_masks.column_mask_statements(policies, items, c), spark, sf_dir)
+    rows = statements.finish_known(column_masks.column_mask_statements(policies, items, c), policies)
     none = F.lit(None).cast("string")
     return rows.select("policy_key", "obj_pos", "part", "sql", none.alias("error")).unionByName(
         column_masks.mask_errors(policies, items, c).select(
@@ -334,7 +334,7 @@ def sorted_tag_statements(spark, sf_dir):
 
 @query("tags_to_tables", "SELECT policy_key, table_key, tags FROM ttables")
 def tags_to_tables(spark, sf_dir):
-    policies = fx.with_resources(fx.fx_policies(spark, sf_dir)).withColumn("scope", F.lit(""))
+    policies = fx.policies_frame(spark, sf_dir)
     rows = tags.tags_to_tables(policies, fx.resource_tags(spark, sf_dir))
     return rows.withColumn("tags", F.array_join("tags", ","))
 
@@ -344,7 +344,7 @@ def tags_to_tables(spark, sf_dir):
     "SELECT policy_key, string_agg(tag, ',' ORDER BY tag) AS known_tags FROM ptags WHERE tag IN (SELECT tag FROM rtags) GROUP BY policy_key",
 )
 def tag_intersection(spark, sf_dir):
-    policies = fx.with_resources(fx.fx_policies(spark, sf_dir)).withColumn("scope", F.lit(""))
+    policies = fx.policies_frame(spark, sf_dir)
     used = tags.policy_tags(policies).join(fx.resource_tags(spark, sf_dir), ["scope", "tag"], "left_semi")
     return used.groupBy("policy_key").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("known_tags"))
 
@@ -357,7 +357,7 @@ def tag_to_columns(spark, sf_dir):
 
 @query("tagged_columns_of_table", "SELECT policy_key, table_key, col AS column_name, path_pos FROM tabcols")
 def tagged_columns_of_table(spark, sf_dir):
-    policies = fx.with_resources(fx.fx_policies(spark, sf_dir)).withColumn("scope", F.lit(""))
+    policies = fx.policies_frame(spark, sf_dir)
     rows = tags.tagged_columns_of_table(policies, fx.resource_tags(spark, sf_dir))
     return rows.withColumnRenamed("column", "column_name")
 
@@ -439,7 +439,7 @@ _ATTRIBUTION = """
   UNION ALL SELECT policy_key, 0, 0, item_pos, prin_pos, ptype || ':' || principal FROM pol JOIN who USING (policy_key)
     WHERE route = 'tag_mask' AND mask_type <> 'MASK_NONE' AND ptype <> 'role'"""
 
-_DISTINCT = """SELECT policy_key, label, min((section, item_pos, prin_pos)) AS at FROM (
+_DISTINCT = """SELECT policy_key, label, min((section, item_pos, prin_pos)) AS place FROM (
     SELECT p.policy_key, 0 AS section, item_pos, prin_pos, ptype || ':' || principal AS label FROM pol p JOIN who w USING (policy_key)
       WHERE route = 'tag_access' AND w.kind = 'allow' AND (policy_key NOT IN (SELECT policy_key FROM ttables) OR (policy_key, item_pos) IN (SELECT (policy_key, item_pos) FROM acc))
     UNION ALL SELECT p.policy_key, 1, item_pos, prin_pos, ptype || ':' || principal FROM pol p JOIN who w USING (policy_key)
@@ -452,7 +452,7 @@ _DISTINCT = """SELECT policy_key, label, min((section, item_pos, prin_pos)) AS a
 @query(
     "principal_attribution",
     f"""SELECT policy_key, string_agg(label, ', ' ORDER BY section, obj_pos, item_pos, prin_pos) AS principals FROM ({_ATTRIBUTION}
-    UNION ALL SELECT policy_key, at[1], 0, at[2], at[3], label FROM ({_DISTINCT}) d) a GROUP BY policy_key""",
+    UNION ALL SELECT policy_key, place[1], 0, place[2], place[3], label FROM ({_DISTINCT}) d) a GROUP BY policy_key""",
 )
 def principal_attribution(spark, sf_dir):
     rows = translate.principal_attribution(fx.inputs(spark, sf_dir), config(spark, sf_dir))
@@ -461,7 +461,7 @@ def principal_attribution(spark, sf_dir):
 
 @query(
     "distinct_principals",
-    f"SELECT policy_key, string_agg(label, ', ' ORDER BY at) AS principals FROM ({_DISTINCT}) d GROUP BY policy_key",
+    f"SELECT policy_key, string_agg(label, ', ' ORDER BY place) AS principals FROM ({_DISTINCT}) d GROUP BY policy_key",
 )
 def distinct_principals(spark, sf_dir):
     return translate.principals_text(translate.distinct_principals(fx.inputs(spark, sf_dir), config(spark, sf_dir)))
