@@ -473,15 +473,20 @@ def distinct_principals(spark, sf_dir):
       CAST(count(*) OVER (PARTITION BY priority) AS BIGINT) AS stmt_total FROM all_sql JOIN base USING (policy_key)""",
 )
 def number_statements(spark, sf_dir):
-    run = fx.inputs(spark, sf_dir)
-    rows = numbered_statements(run, config(spark, sf_dir))
+    rows = numbered_statements(spark, sf_dir)
     return rows.select("source", "policy_key", *statements.ORDER, "stmt_no", "stmt_total")
 
 
-def numbered_statements(run, c) -> DataFrame:
-    """Statements per source in policy order; tiers of 4096 policies, then one policy."""
+def numbered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements per source in policy order; tiers of 4096 policies, then one policy.
+
+    Numbering reads its input once per tier, so it starts from a written table.
+    """
+    run = fx.inputs(spark, sf_dir)
     sources = run.policies.select("policy_key", F.col("priority").alias("source"))
-    rows = translate.translate_all(run, c).join(sources, "policy_key").withColumn("tier", F.expr("policy_key div 4096"))
+    rows = fx.staged(
+        spark, sf_dir, "statements", lambda: translate.translate_all(run, config(spark, sf_dir))
+    ).join(sources, "policy_key").withColumn("tier", F.expr("policy_key div 4096"))
     order = ["policy_key", *statements.ORDER]
     placed = translate.number_statements(rows, ["source"], ["tier", "policy_key", "section", "obj_key"], order)
-    return placed.withColumn("stmt_no", F.col("stmt_no").cast("bigint"))
+    return placed.withColumns({c: F.col(c).cast("bigint") for c in ("stmt_no", "stmt_total")})
