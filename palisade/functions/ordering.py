@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _joined(order: Sequence[str], text: str, separator: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(*order, text)))
+    rows = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, text]))))
     return F.array_join(F.transform(rows, lambda r: r[text]), separator)
 
 

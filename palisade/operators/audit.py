@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.ordering import ordered_text
 
@@ -103,16 +103,16 @@ def apply_summary(results: DataFrame) -> DataFrame:
     return row.withColumn("success_rate", _share(F.col("success"), F.col("total_policies")))
 
 
-def translation_stats(policies: DataFrame, statements: DataFrame, errors: DataFrame) -> DataFrame:
+def translation_stats(
+    policies: DataFrame, statements: DataFrame, outputs: DataFrame, errors: DataFrame
+) -> DataFrame:
     """Policies read, statements, output policies by outcome, and notes: one row."""
-    outputs = statements.groupBy("policy_key", "policy_type").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("statements"),
-        F.count_if(~F.col("policy_type").isin("NOT_TRANSLATABLE", "TAG")).alias("translatable"),
-        F.count_if(F.col("policy_type") == "NOT_TRANSLATABLE").alias("not_translatable"),
-    )
+    lost = F.col("policy_type") == "NOT_TRANSLATABLE"
     read = policies.agg(F.count(F.lit(1)).alias("policies"))
+    made = statements.agg(F.count(F.lit(1)).alias("statements"))
+    kinds = outputs.agg(F.count_if(~lost).alias("translatable"), F.count_if(lost).alias("not_translatable"))
     notes = errors.agg(F.count(F.lit(1)).alias("warnings"))
-    return read.crossJoin(outputs).crossJoin(notes)  # three one-row frames
+    return read.crossJoin(made).crossJoin(kinds).crossJoin(notes)  # four one-row frames
 
 
 def history_totals(runs: DataFrame) -> DataFrame:
@@ -183,14 +183,12 @@ def corpus_stats(files: DataFrame) -> DataFrame:
 
 
 def top_errors_per_file(findings: DataFrame, n: int = 3) -> DataFrame:
-    """First n errors per file by (idx, message).
+    """First n errors per file, in the order a reader meets them.
 
     Spark turns the row_number filter into a group limit below the exchange, so each
     task sends at most n rows per file.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("idx", "rule", "message")
+    order = Window.partitionBy("source").orderBy("idx", "check", "item_pos", "step", "message")
     ranked = findings.filter("severity = 'E'").withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= n)
 

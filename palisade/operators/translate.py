@@ -89,6 +89,14 @@ def translation_errors(run: Inputs, config: Config) -> DataFrame:
     )
 
 
+def output_policies(run: Inputs, statements: DataFrame) -> DataFrame:
+    """(policy_key, policy_type): a tag mask policy counts even without a tagged column."""
+    masks = tags._tag_mask_targets(run.policies, run.masks).select(
+        "policy_key", F.lit("COLUMN_MASK_TAG").alias("policy_type")
+    )
+    return statements.select("policy_key", "policy_type").unionByName(masks).distinct()
+
+
 def number_statements(statements: DataFrame, keys: list[str], tiers: list[str], order: list[str]) -> DataFrame:
     """``stmt_no`` of ``stmt_total`` per source."""
     return numbered(statements, keys, [F.col(c) for c in order], tiers, "stmt_no", "stmt_total")

@@ -152,8 +152,8 @@ KEYS = ("source", "idx", "policy_name")
 
 
 def _explode_findings(df: DataFrame, findings: list[Column], extra: tuple[str, ...] = ()) -> DataFrame:
-    rows = df.select(*KEYS, *extra, F.explode(F.array_compact(F.array(*findings))).alias("f"))
-    return rows.select(*KEYS, *extra, "f.rule", "f.severity", "f.message")
+    rows = df.select(*KEYS, *extra, F.posexplode(F.array_compact(F.array(*findings))).alias("step", "f"))
+    return rows.select(*KEYS, *extra, "step", "f.rule", "f.severity", "f.message")
 
 
 def required_field_findings(policies: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def access_item_findings(policies: DataFrame) -> DataFrame:
         each,
         [_finding("access_type", "E", _item_text(label, "access missing 'type'"), _get("a", "$.type").isNull())],
         ("list", "item_pos"),
-    )
+    ).withColumn("step", F.lit(2))
     return _with_list_type(bad, "policyItems", per_item.unionByName(untyped))
 
 
@@ -325,18 +325,25 @@ def no_items_findings(policies: DataFrame) -> DataFrame:
 
 
 def policy_findings(policies: DataFrame) -> DataFrame:
-    """Every policy-level finding: (source, idx, policy_name, rule, severity, message)."""
+    """Every policy-level finding; (idx, check, item_pos, step) is the order they are met in."""
+    access = access_item_findings(policies)
+    later = F.array_position(F.array(*map(F.lit, list(C.ITEM_LISTS)[1:])), F.col("list"))
     parts = [
         required_field_findings(policies), id_type_findings(policies), name_findings(policies),
-        resource_findings(policies),
-        access_item_findings(policies).drop("list", "item_pos"),
-        filter_item_findings(policies).drop("list", "item_pos"),
-        mask_item_findings(policies).drop("list", "item_pos"),
+        resource_findings(policies), access, filter_item_findings(policies), mask_item_findings(policies),
         no_items_findings(policies),
     ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    last = len(parts) + len(C.ITEM_LISTS)
+    union = None
+    for check, part in enumerate(parts):
+        # The lists after policyItems are looked at once filters and masks are done.
+        place = F.lit(check) if part is not access else F.when(later > 0, F.lit(len(parts)) + later).otherwise(F.lit(check))
+        place = F.lit(last) if check == len(parts) - 1 else place
+        item = F.col("item_pos") if "item_pos" in part.columns else F.lit(0)
+        row = part.select(
+            *KEYS, place.cast("int").alias("check"), item.cast("int").alias("item_pos"), "step", "rule", "severity", "message"
+        )
+        union = row if union is None else union.unionByName(row)
     return union
 
 

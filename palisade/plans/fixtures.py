@@ -173,6 +173,14 @@ def staged(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return spark.read.parquet(_STAGED[key])
 
 
+def run_sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """``spark.sql`` over frames for texts that hold braces of their own."""
+    for name in frames:
+        text = text.replace("{" + name + "}", f"\0{name}\1")
+    text = text.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+    return spark.sql(text, **frames)
+
+
 def relation(spark: SparkSession, sf_dir: str, make, *names: str) -> DataFrame:
     """Run one of the SELECTs above over Parquet tables."""
     frames = {n: table(spark, sf_dir, n) for n in names}
@@ -416,7 +424,8 @@ def build_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of tag definitions (20 suppliers each) and of resource tags (16 parts each),
     in object form for even file numbers and in list form for odd ones."""
-    return spark.sql(
+    return run_sql(
+        spark,
         """
 SELECT 't' || CAST(n AS STRING) AS source, CASE WHEN n % 2 = 0
     THEN '{"tagDefinitions":{' || array_join(transform(r, x -> '"D' || x.k || '":{"attributeDefs":' || x.a || '}'), ',') || '}}'
@@ -474,7 +483,7 @@ FROM {lists}"""
 
 def validation_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, policy_json): policies with one field in twenty missing or of another type."""
-    items = spark.sql(VALIDATION_ITEMS, items=fx_items(spark, sf_dir))
+    items = run_sql(spark, VALIDATION_ITEMS, items=fx_items(spark, sf_dir))
 
     def texts(part: str):
         rows = F.array_sort(F.collect_list(F.struct("item_pos", "who", part)))
@@ -489,7 +498,7 @@ def validation_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = keys.join(per_policy, "policy_key", "left").select(
         F.col("policy_key").alias("k"), *[F.coalesce(c, empty).alias(c) for c in ("acc", "rf", "dm")]
     )
-    return spark.sql(VALIDATION_POLICIES, lists=lists)
+    return run_sql(spark, VALIDATION_POLICIES, lists=lists)
 
 
 def validation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

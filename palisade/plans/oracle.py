@@ -178,11 +178,11 @@ CTES: dict[str, str] = {
     "attrs": fx.attributes_sql(D),
     "defs": fx.definitions_sql(D),
     "map_": fx.mapping_sql(D),
-    "lists": "SELECT policy_key, bool_or(mask_type IS NOT NULL) AS hm, bool_or(filter_expr IS NOT NULL) AS hf FROM items GROUP BY policy_key",
+    "lists": "SELECT policy_key, bool_or(mask_type IS NOT NULL) AS hm, bool_or(filter_expr IS NOT NULL) AS hf, bool_or(kind = 'allow') AS ha FROM items GROUP BY policy_key",
     "pol": f"""SELECT *, CASE WHEN tag1 IS NOT NULL THEN CASE WHEN policy_type = 'COLUMN_MASK' THEN 'tag_mask' ELSE 'tag_access' END
   WHEN (path1 IS NOT NULL OR other_resource = 'url') AND tbl IS NULL THEN 'path'
   WHEN policy_type = 'COLUMN_MASK' THEN 'column_mask' WHEN policy_type = 'ROW_FILTER' THEN 'row_filter' ELSE 'access' END AS route
-FROM (SELECT b.*, CASE WHEN declared_type = 1 THEN 'COLUMN_MASK' WHEN declared_type = 2 THEN 'ROW_FILTER' WHEN declared_type IS NOT NULL THEN 'ACCESS'
+FROM (SELECT b.*, coalesce(ha OR hm OR hf, false) AS listed, CASE WHEN declared_type = 1 THEN 'COLUMN_MASK' WHEN declared_type = 2 THEN 'ROW_FILTER' WHEN declared_type IS NOT NULL THEN 'ACCESS'
     WHEN hm THEN 'COLUMN_MASK' WHEN hf THEN 'ROW_FILTER' ELSE 'ACCESS' END AS policy_type, {RES} AS res, {KINDS} AS kinds
   FROM base b LEFT JOIN lists USING (policy_key)) t""",
     "who0": """SELECT policy_key, item_pos, kind, filter_expr, mask_type, unnest(w) AS w, generate_subscripts(w, 1) AS n FROM (
@@ -350,7 +350,7 @@ CTES.update({
     WHEN 5 THEN CASE WHEN r >= 1 THEN 'tagPolicies' ELSE 'standard' END ELSE 'standard' END AS shape,
   CASE WHEN env = 0 OR (env = 2 AND r <= 1) THEN 'svc' END AS service_name FROM docbase""",
     "doc": """SELECT *, CAST(row_number() OVER (PARTITION BY source, block_pos, section ORDER BY policy_key) - 1 AS INTEGER) AS pos
-  FROM docall WHERE blk % 97 <> 0""",
+  FROM docall WHERE blk % 97 <> 0 AND (env <> 1 OR listed)""",
     "dockey": "SELECT policy_key AS k, source || '#' || block_pos || '#' || section || '#' || pos AS policy_key FROM doc",
     "docitems": """SELECT d.policy_key, i.kind, CAST(row_number() OVER (PARTITION BY d.policy_key, i.kind ORDER BY i.item_pos) - 1 AS BIGINT) AS item_pos,
     i.* EXCLUDE (policy_key, kind, item_pos) FROM dockey d JOIN items i ON i.policy_key = d.k""",

@@ -67,12 +67,19 @@ def document_errors(docs: DataFrame) -> DataFrame:
     rooted = with_root_keys(docs)
     unreadable = F.col("keys").isNull() & F.expr("try_parse_json(json) IS NULL")
     root = F.from_json("json", "policies STRING, testCases STRING, policyDeltas STRING")
-    wrong = (
-        F.when(_has("keys", "testCases"), ~_is_list(root["testCases"]))
-        .when(_has("keys", "policies"), ~_is_list(root["policies"]))
-        .when(_has("keys", "policyDeltas"), ~_is_list(root["policyDeltas"]))
+    listed = (
+        F.when(_has("keys", "testCases"), root["testCases"])
+        .when(_has("keys", "policies"), root["policies"])
+        .when(_has("keys", "policyDeltas"), root["policyDeltas"])
+        .otherwise(F.lit("[]"))
+    )
+    # The keys of an object stand where policies should; an empty one has none.
+    stage = (
+        F.when(unreadable, F.lit("Error reading file"))
+        .when(F.regexp_replace(listed, r"\s", "") == "{}", F.lit(None).cast("string"))
+        .when(F.startswith(listed, F.lit("{")), F.lit("Error parsing policy"))
+        .when(~_is_list(listed), F.lit("Error parsing JSON"))
     )
-    stage = F.when(unreadable, F.lit("Error reading file")).when(wrong, F.lit("Error parsing JSON"))
     return rooted.withColumn("stage", stage).filter("stage IS NOT NULL").select("source", "stage")
 
 
@@ -154,10 +161,17 @@ def parse_policies(unwrapped: DataFrame) -> DataFrame:
         .withColumn("policy_keys", F.expr("json_object_keys(policy_json)"))
         .withColumn("policy_key", F.concat_ws("#", "source", *ORDER))
     )
-    broken = F.col("policy_keys").isNull() | (_has("policy_keys", "resources") & F.col("p.resources").isNull())
+    resources = F.col("p.resources")
+    broken = F.col("policy_keys").isNull() | (
+        _has("policy_keys", "resources")
+        & (resources.isNull() | F.exists(F.map_values(resources), lambda r: r.isNull()))
+    )
     for name in lists:
         value = F.col(f"p.{name}")
-        broken = broken | (_has("policy_keys", name) & (value.isNull() | F.exists(value, lambda i: i.isNull())))
+        # An empty object or text in place of a list simply has no items.
+        empty = F.coalesce(F.get_json_object("policy_json", f"$.{name}").isin("{}", ""), F.lit(False))
+        wrong = F.when(value.isNull(), ~empty).otherwise(F.exists(value, lambda i: i.isNull()))
+        broken = broken | (_has("policy_keys", name) & wrong)
     return parsed.withColumn("broken", F.coalesce(broken, F.lit(True)))
 
 
