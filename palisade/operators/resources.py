@@ -94,9 +94,10 @@ def routed(policies: DataFrame, config: Config) -> DataFrame:
     return computed_once(policies, route=policy_route(), resource_path=resolve_resource(config, tag_rule=False))
 
 
-def _type_list() -> Column:
+def type_list() -> Column:
     """Resource types the way a script prints them: ``['topic', 'queue']``."""
-    return F.concat(F.lit("['"), F.array_join(F.map_keys("resources"), "', '"), F.lit("']"))
+    listed = F.concat(F.lit("['"), F.array_join(F.map_keys("resources"), "', '"), F.lit("']"))
+    return F.when(F.size("resources") > 0, listed).otherwise(F.lit("[]"))
 
 
 def reason_lines() -> Column:
@@ -118,8 +119,7 @@ def not_translatable(policies: DataFrame, config: Config, present: DataFrame) ->
     title = F.concat(
         F.lit("-- NOT TRANSLATABLE: Policy '"), "name", F.lit("' (id="), "policy_id", F.lit(")\n")
     )
-    types = F.when(F.size("resources") > 0, _type_list()).otherwise(F.lit("[]"))
-    generic = F.concat(F.lit("-- Reason: resource types "), types, F.lit(" have no Unity Catalog equivalent."))
+    generic = F.concat(F.lit("-- Reason: resource types "), type_list(), F.lit(" have no Unity Catalog equivalent."))
     body = F.concat(title, F.when(F.col("route") == "access", reason_lines()).otherwise(generic))
     rows = unresolved.join(present, ["policy_key", "route"], "left_semi")
     return rows.select("policy_key", F.lit("NOT_TRANSLATABLE").alias("policy_type"), body.alias("body"))

@@ -192,40 +192,48 @@ def _of_route(policies: DataFrame, route: str) -> DataFrame:
     return with_route(policies).filter(F.col("route") == route)
 
 
-def _grant_text(privilege: Column, table: Column, schema: Column, note: Column | None = None) -> Column:
+def _tag_grant_rows(
+    policies: DataFrame, items: DataFrame, resource_tags: DataFrame, config: Config
+) -> DataFrame:
+    """Raw grants of tag access policies in one pass: per tagged table, else a placeholder."""
+    mine = _of_route(policies, "tag_access")
+    tables = tags_to_tables(mine, resource_tags).select("policy_key", "table_key")
+    reached = mine.select(
+        "policy_key", F.array_sort(F.array_distinct(resource_values("tag"))).alias("tags")
+    ).join(tables, "policy_key", "left")
+    rows = expand_grants(items.filter("kind = 'allow'"), config).join(reached, "policy_key")
+    matched = F.col("table_key").isNotNull()
+    default = F.lit(f"{config.catalog}.{config.schema}")
+    placeholder = F.concat(default, F.lit(".<table_with_"), F.array_join("tags", "_"), F.lit(">"))
+    note = F.concat(
+        F.lit("-- NOTE: No resourceTags metadata found for tag(s): "), F.array_join("tags", ", "),
+        F.lit(".\n-- Replace the placeholder with the actual table(s) that carry these tags.\n"),
+    )
+    schema = F.concat(F.lit(config.catalog + "."), F.substring_index("table_key", ".", 1))
     who = F.concat(F.lit(" TO `"), "principal", F.lit("`"))
-    grant = F.concat(F.lit("GRANT "), privilege, F.lit(" ON TABLE "), table, who)
-    if note is not None:
-        grant = F.concat(note, F.lit("\n"), grant)
-    create = F.concat(F.lit(C.TAG_CREATE_NOTE + "GRANT CREATE TABLE ON SCHEMA "), schema, who)
-    return F.when(privilege == "CREATE", create).otherwise(grant)
+    grant = F.concat(
+        F.when(matched, F.lit("")).otherwise(note), F.lit("GRANT "), "privilege", F.lit(" ON TABLE "),
+        F.when(matched, _table_name(F.col("table_key"), config)).otherwise(placeholder), who,
+    )
+    create = F.concat(
+        F.lit(C.TAG_CREATE_NOTE + "GRANT CREATE TABLE ON SCHEMA "), F.when(matched, schema).otherwise(default), who
+    )
+    body = F.when(F.col("privilege") == "CREATE", create).otherwise(grant)
+    return raw_rows(
+        rows, "ACCESS_TAG", body, section=GRANTS, obj_key=F.coalesce(F.col("table_key"), F.lit(""))
+    )
 
 
 def tag_grants(policies: DataFrame, items: DataFrame, resource_tags: DataFrame, config: Config) -> DataFrame:
     """Grants on every table that carries one of the policy's tags."""
-    tables = tags_to_tables(_of_route(policies, "tag_access"), resource_tags).select("policy_key", "table_key")
-    rows = expand_grants(items.filter("kind = 'allow'"), config).join(tables, "policy_key")
-    schema = F.concat(F.lit(config.catalog + "."), F.substring_index("table_key", ".", 1))
-    body = _grant_text(F.col("privilege"), _table_name(F.col("table_key"), config), schema)
-    return raw_rows(rows, "ACCESS_TAG", body, section=GRANTS, obj_key=F.col("table_key"))
+    return _tag_grant_rows(policies, items, resource_tags, config).filter("obj_key <> ''")
 
 
 def tag_grants_fallback(
     policies: DataFrame, items: DataFrame, resource_tags: DataFrame, config: Config
 ) -> DataFrame:
     """Placeholder grants of policies whose tags are on no table."""
-    mine = _of_route(policies, "tag_access")
-    unmatched = mine.join(tags_to_tables(mine, resource_tags), "policy_key", "left_anti").select(
-        "policy_key", F.array_sort(F.array_distinct(resource_values("tag"))).alias("tags")
-    )
-    rows = expand_grants(items.filter("kind = 'allow'"), config).join(unmatched, "policy_key")
-    default = F.lit(f"{config.catalog}.{config.schema}")
-    placeholder = F.concat(default, F.lit(".<table_with_"), F.array_join("tags", "_"), F.lit(">"))
-    note = F.concat(
-        F.lit("-- NOTE: No resourceTags metadata found for tag(s): "), F.array_join("tags", ", "),
-        F.lit(".\n-- Replace the placeholder with the actual table(s) that carry these tags."),
-    )
-    return raw_rows(rows, "ACCESS_TAG", _grant_text(F.col("privilege"), placeholder, default, note), section=GRANTS)
+    return _tag_grant_rows(policies, items, resource_tags, config).filter("obj_key = ''")
 
 
 def deny_digest(policies: DataFrame, items: DataFrame) -> DataFrame:
@@ -309,8 +317,7 @@ def tag_access_rows(
     """Grants, deny digest, then the row filters and masks of tag access policies."""
     denies = raw_rows(deny_digest(policies, access), "ACCESS_TAG", F.col("digest"), section=DENIES)
     return (
-        tag_grants(policies, access, resource_tags, config)
-        .unionByName(tag_grants_fallback(policies, access, resource_tags, config))
+        _tag_grant_rows(policies, access, resource_tags, config)
         .unionByName(denies)
         .unionByName(tag_filter_rows(policies, filters, resource_tags, config))
         .unionByName(tag_mask_supplements(policies, masks, resource_tags, config))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.ordering import numbered, ordered_text
 from palisade.operators import column_masks, filters, grants, tags
 from palisade.operators.config import Config
-from palisade.operators.privileges import explode_accesses, explode_principals, map_principal, map_privilege
-from palisade.operators.resources import not_translatable, policy_route, reason_lines, resource_values, routed
+from palisade.operators.privileges import explode_principals, map_principal
+from palisade.operators.resources import not_translatable, reason_lines, routed, type_list
 from palisade.operators.statements import ORDER, finish, finish_known, raw_rows
+from palisade.session import write_through
 
 
 @dataclass
@@ -41,8 +42,12 @@ def untranslatable_rows(run: Inputs, config: Config) -> DataFrame:
     return raw_rows(rows, "NOT_TRANSLATABLE", F.col("body"))
 
 
-def translate_all(run: Inputs, config: Config) -> DataFrame:
-    """Statements of all policies; policies without any statement have no rows."""
+def translate_all(run: Inputs, config: Config, write_rows: bool = True) -> DataFrame:
+    """Statements of all policies; policies without any statement have no rows.
+
+    Finding the statement that carries the header reads the raw rows a second time, so
+    they are written once in between; ``write_rows=False`` keeps one lazy plan instead.
+    """
     p = run.policies
     fixed = (
         filters.row_filter_statements(p, run.filters, config)
@@ -55,6 +60,8 @@ def translate_all(run: Inputs, config: Config) -> DataFrame:
         .unionByName(tags.tag_access_rows(p, run.access, run.filters, run.masks, run.resource_tags, config))
         .unionByName(tags.tag_mask_rows(p, run.masks, run.resource_tags, config))
     )
+    if write_rows:
+        searched = write_through(searched, "rows")
     return finish_known(fixed, p).unionByName(finish(searched, p))
 
 
@@ -74,7 +81,7 @@ def translation_errors(run: Inputs, config: Config) -> DataFrame:
         F.col("route").isin("access", "row_filter", "column_mask") & F.col("resource_path").isNull()
     )
     why = F.replace(F.replace(reason_lines(), F.lit("\n-- "), F.lit("; ")), F.lit("-- "), F.lit(""))
-    types = F.concat(F.lit("resource types ['"), F.array_join(F.map_keys("resources"), "', '"), F.lit("'] have no UC equivalent."))
+    types = F.concat(F.lit("resource types "), type_list(), F.lit(" have no UC equivalent."))
     message = F.concat(
         F.lit("Not translatable — '"), "name", F.lit("' (id="), "policy_id", F.lit("): "),
         F.when(F.col("route") == "access", why).otherwise(types),

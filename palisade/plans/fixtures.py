@@ -305,7 +305,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, mapping_sql, "supplier")
+    return staged(spark, sf_dir, "mapping", lambda: relation(spark, sf_dir, mapping_sql, "supplier").coalesce(1))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:

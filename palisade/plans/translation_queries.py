@@ -8,11 +8,12 @@ from palisade.functions import identifiers as ids
 from palisade.operators import column_masks, filters, grants, resources, statements, tags, translate
 from palisade.operators.config import Config
 from palisade.operators.privileges import (
-    default_privilege, explode_accesses, explode_principals, location_privilege, map_principal, map_privilege,
+    explode_accesses, explode_principals, location_privilege, map_principal, map_privilege,
 )
 from palisade.plans import fixtures as fx
 from palisade.plans import oracle as o
 from palisade.plans.registry import query
+from palisade.session import write_through
 from palisade.sources.mappings import with_override
 
 POL = "policy_key, policy_type"
@@ -388,7 +389,7 @@ def tag_access_statements(spark, sf_dir):
     rows = tags.tag_access_rows(
         run.policies, run.access, run.filters, run.masks, run.resource_tags, config(spark, sf_dir)
     )
-    return statements.finish(rows, run.policies)
+    return statements.finish(write_through(rows, "rows"), run.policies)
 
 
 _TAG_MASK_ERRORS = """SELECT policy_key, CASE WHEN tag1 NOT IN (SELECT tag FROM tcolumns) THEN 'Tag-based policy for tag ''' || tag1 ||

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "palisade-scratch")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_through(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written files.
+
+    Cuts the lineage where a result is read more than once, and outlives lost executors.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
