@@ -14,11 +14,13 @@ def strip(text: Column) -> Column:
 def format_body(sql: Column) -> Column:
     """Collapse runs of blanks, trim line ends, drop blank lines, end with ``;``.
 
-    Regular expressions only: no higher-order function, so rows stay in codegen.
+    Regular expressions only: no higher-order function, so rows stay in codegen. Text
+    that is clean already, as most grants are, is looked at once and left alone.
     """
     packed = F.regexp_replace(strip(sql), "  +", " ")
-    lines = F.regexp_replace(packed, rf"{C.SPACE_CLASS}*\n", "\n")
-    return F.when(lines.endswith(";"), lines).otherwise(F.concat(lines, F.lit(";")))
+    tidy = F.regexp_replace(packed, rf"{C.SPACE_CLASS}*\n", "\n")
+    lines = F.when(sql.rlike(rf"  |\A{C.SPACE_CLASS}|{C.SPACE_CLASS}\n|{C.SPACE_CLASS}\z"), tidy).otherwise(sql)
+    return F.concat(F.regexp_replace(lines, r";\z", ""), F.lit(";"))
 
 
 def header(name: Column, policy_id: Column, description: Column) -> Column:

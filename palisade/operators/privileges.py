@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.constants import LOCATION_PRIVILEGES, PRIVILEGES
 from palisade.functions.masks import literal_map
+from palisade.functions.once import computed_once
 from palisade.operators.config import Config
-from palisade.operators.resources import computed_once
 from palisade.sources.mappings import with_override
 
 

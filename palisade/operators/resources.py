@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.constants import REASONS
 from palisade.functions.identifiers import quote_identifier
 from palisade.functions.masks import literal_map
+from palisade.functions.once import computed_once
 from palisade.operators.config import Config
 
 
@@ -76,16 +77,6 @@ def object_keyword(resource: Column) -> Column:
     return F.when(is_table_path(resource), F.concat(F.lit("TABLE "), resource)).otherwise(resource)
 
 
-def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns through a one-row generate.
-
-    Filters on them stay above it, so a long rule is evaluated once per row instead of
-    being copied into every filter and projection that mentions it.
-    """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def with_route(policies: DataFrame) -> DataFrame:
     return computed_once(policies, route=policy_route())
 

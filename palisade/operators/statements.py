@@ -2,13 +2,15 @@
 
 A raw statement row is (policy_key, policy_type, ORDER..., may_head, note, body). Order
 columns come from list positions, never from a window, so a hot policy stays spread out.
+``may_head`` marks the few rows that can be a policy's first statement; only those are
+shuffled to find it, all others are formatted where they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.functions.text import format_statement, strip
+from palisade.functions.text import format_body, format_statement, strip
 
 ORDER = {
     "section": "int",
@@ -38,12 +40,17 @@ def raw_rows(df: DataFrame, policy_type: str, body: Column, **values: Column | i
         return value.cast(kind).alias(name)
 
     may_head = values.get("may_head", True)
+    may_head = may_head if isinstance(may_head, Column) else F.lit(may_head)
+    # The first statement is about the first principal and is never the second of a pair.
+    for name in ("prin_pos", "part"):
+        if name in values or name in df.columns:
+            may_head = may_head & (order_column(name, "int") == 0)
     note = values.get("note", F.lit(None).cast("string"))
     return df.select(
         "policy_key",
         F.lit(policy_type).alias("policy_type"),
         *[order_column(n, k) for n, k in ORDER.items()],
-        (may_head if isinstance(may_head, Column) else F.lit(may_head)).alias("may_head"),
+        may_head.alias("may_head"),
         note.alias("note"),
         body.alias("body"),
     )
@@ -61,14 +68,21 @@ def header_positions(rows: DataFrame) -> DataFrame:
 
 def finish(rows: DataFrame, policies: DataFrame) -> DataFrame:
     """Format every statement; the header goes on each policy's first one."""
+    candidates = rows.filter("may_head")
     heads = _head_columns(policies).join(header_positions(rows), "policy_key")
-    headed = F.col("may_head") & (F.struct(*ORDER) == F.col("first"))
-    return _formatted(rows.join(heads, "policy_key", "left"), F.coalesce(headed, F.lit(False)))
+    headed = F.struct(*ORDER) == F.col("first")
+    placed = _formatted(candidates.join(heads, "policy_key"), headed)
+    return placed.unionByName(_plain(rows.filter("NOT may_head")))
 
 
 def finish_known(rows: DataFrame, policies: DataFrame) -> DataFrame:
     """The same for rows whose ``may_head`` already names exactly the first statement."""
-    return _formatted(rows.join(_head_columns(policies), "policy_key", "left"), F.col("may_head"))
+    headed = rows.filter("may_head").join(_head_columns(policies), "policy_key")
+    return _formatted(headed, F.lit(True)).unionByName(_plain(rows.filter("NOT may_head")))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.select("policy_key", "policy_type", *ORDER, format_body(F.col("body")).alias("sql"))
 
 
 def _head_columns(policies: DataFrame) -> DataFrame:

@@ -155,6 +155,15 @@ def tags_to_tables(policies: DataFrame, resource_tags: DataFrame) -> DataFrame:
     )
 
 
+def reached_tables(policies: DataFrame, resource_tags: DataFrame) -> DataFrame:
+    """(policy_key, table_key, first_table): ``first_table`` marks each policy's first in name order."""
+    tables = tags_to_tables(policies, resource_tags).select("policy_key", "table_key")
+    first = tables.groupBy("policy_key").agg(F.min("table_key").alias("first"))
+    return tables.join(first, "policy_key").select(
+        "policy_key", "table_key", (F.col("table_key") == F.col("first")).alias("first_table")
+    )
+
+
 def tag_to_columns(resource_tags: DataFrame, config: Config) -> DataFrame:
     """(scope, tag, db, tbl, column, path_pos); here two parts mean table.column."""
     parts, size = _parts(), F.size(_parts())
@@ -177,9 +186,9 @@ def tagged_columns_of_table(policies: DataFrame, resource_tags: DataFrame) -> Da
         .groupBy("policy_key", F.substring_index("path", ".", 2).alias("table_key"), F.get(_parts(), F.lit(2)).alias("column"))
         .agg(F.min("path_pos").alias("path_pos"))
     )
-    tables = tags_to_tables(policies, resource_tags).select("policy_key", "table_key")
+    tables = reached_tables(policies, resource_tags)
     return tables.join(columns, ["policy_key", "table_key"], "left").select(
-        "policy_key", "table_key",
+        "policy_key", "table_key", "first_table",
         F.coalesce("column", F.lit("<column>")).alias("column"),
         F.coalesce("path_pos", F.lit(0)).alias("path_pos"),
     )
@@ -197,7 +206,7 @@ def _tag_grant_rows(
 ) -> DataFrame:
     """Raw grants of tag access policies in one pass: per tagged table, else a placeholder."""
     mine = _of_route(policies, "tag_access")
-    tables = tags_to_tables(mine, resource_tags).select("policy_key", "table_key")
+    tables = reached_tables(mine, resource_tags)
     reached = mine.select(
         "policy_key", F.array_sort(F.array_distinct(resource_values("tag"))).alias("tags")
     ).join(tables, "policy_key", "left")
@@ -220,7 +229,8 @@ def _tag_grant_rows(
     )
     body = F.when(F.col("privilege") == "CREATE", create).otherwise(grant)
     return raw_rows(
-        rows, "ACCESS_TAG", body, section=GRANTS, obj_key=F.coalesce(F.col("table_key"), F.lit(""))
+        rows, "ACCESS_TAG", body, section=GRANTS, obj_key=F.coalesce(F.col("table_key"), F.lit("")),
+        may_head=F.coalesce(F.col("first_table"), F.lit(True)),
     )
 
 
@@ -265,7 +275,7 @@ def tag_filter_rows(
         ),
     )
     whens = ordered_text(clauses, ["policy_key", "item_pos"], ["prin_pos"], "clause", "\n", "whens")
-    tables = tags_to_tables(mine, resource_tags).select("policy_key", "table_key")
+    tables = reached_tables(mine, resource_tags)
     parts = F.split("table_key", r"\.")
     rows = (
         used.select("policy_key", "policy_id", "item_pos", "filter_expr")
@@ -285,7 +295,9 @@ def tag_filter_rows(
         )
     )
     table = _table_name(F.col("table_key"), config)
-    return filter_statement_pair(rows, "ACCESS_TAG", table, section=FILTERS, obj_key=F.col("table_key"))
+    return filter_statement_pair(
+        rows, "ACCESS_TAG", table, section=FILTERS, obj_key=F.col("table_key"), may_head=F.col("first_table")
+    )
 
 
 def tag_mask_supplements(
@@ -307,6 +319,7 @@ def tag_mask_supplements(
         rows, "ACCESS_TAG", RESOURCE_FALLBACK, F.concat(F.lit(config.catalog + "."), F.get(parts, F.lit(0))), F.get(parts, F.lit(1)),
         _table_name(F.col("table_key"), config),
         section=MASKS, obj_key=F.col("table_key"), item_pos=F.col("path_pos"), obj_sub=F.lit(""),
+        may_head=F.col("first_table"),
     )
 
 

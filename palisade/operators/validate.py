@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade import constants as C
+from palisade.functions.once import computed_once
 from palisade.functions.text import strip
 from palisade.sources.documents import with_root_keys
 
@@ -59,8 +60,9 @@ def _filled(column: str, path: str) -> Column:
 
 def envelope_findings(docs: DataFrame) -> DataFrame:
     """(source, rule, severity, message) about the shape of each export."""
-    rooted = with_root_keys(docs).filter("keys IS NOT NULL").withColumn(
-        "policies_text", F.from_json("json", "policies STRING")["policies"]
+    rooted = computed_once(
+        with_root_keys(docs).filter("keys IS NOT NULL"),
+        policies_text=F.from_json("json", "policies STRING")["policies"],
     )
     deltas = _has("keys", "policyDeltas") & ~_has("keys", "policies")
     cases = ~deltas & _has("keys", "testCases")
@@ -129,12 +131,8 @@ def exported_policies(docs: DataFrame) -> DataFrame:
         .otherwise(empty)
     )
     service = F.when(cases & ~deltas, F.try_element_at(names, F.lit(-1))).otherwise(F.col("root.serviceName"))
-    return (
-        with_root_keys(docs)
-        .filter("keys IS NOT NULL")
-        .withColumn("root", root)
-        .select("source", service.alias("root_service"), F.posexplode(policies).alias("idx", "policy_json"))
-    )
+    roots = computed_once(with_root_keys(docs).filter("keys IS NOT NULL"), root=root)
+    return roots.select("source", service.alias("root_service"), F.posexplode(policies).alias("idx", "policy_json"))
 
 
 # --- policies -------------------------------------------------------------------------
@@ -145,7 +143,8 @@ def with_variant(policies: DataFrame) -> DataFrame:
     named = F.when(_get("v", "$.name").isNull(), F.concat(F.lit("Policy_"), F.col("idx").cast("string"))).otherwise(
         F.coalesce(_get("v", "$.name", "string"), F.lit("None"))
     )
-    return policies.withColumn("v", F.expr("try_parse_json(policy_json)")).withColumn("policy_name", named)
+    parsed = computed_once(policies, v=F.expr("try_parse_json(policy_json)"))
+    return parsed.withColumn("policy_name", named)
 
 
 KEYS = ("source", "idx", "policy_name")
@@ -347,10 +346,12 @@ def policy_findings(policies: DataFrame) -> DataFrame:
     return union
 
 
-def export_findings(docs: DataFrame) -> DataFrame:
+def export_findings(docs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """(source, severity, message): envelope findings, empty exports, and policy findings
-    under ``[name]``."""
-    policies = with_variant(exported_policies(docs))
+    under ``[name]``. ``policies`` may pass in the parsed policies of these files from a
+    written table, so that the rule groups do not each parse them again."""
+    if policies is None:
+        policies = with_variant(exported_policies(docs))
     inner = policy_findings(policies).select(
         "source", "severity", F.concat(F.lit("["), "policy_name", F.lit("] "), "message").alias("message")
     )
@@ -359,15 +360,15 @@ def export_findings(docs: DataFrame) -> DataFrame:
     known = with_root_keys(docs).filter("keys IS NOT NULL").select("source")
     empty = (
         known.join(refused, "source", "left_anti")
-        .join(exported_policies(docs).select("source"), "source", "left_anti")
+        .join(policies.select("source"), "source", "left_anti")
         .select("source", F.lit("W").alias("severity"), F.lit("Export contains no policies").alias("message"))
     )
     return inner.unionByName(outer.select("source", "severity", "message")).unionByName(empty)
 
 
-def validation_verdict(docs: DataFrame) -> DataFrame:
+def validation_verdict(docs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """(source, is_valid, errors, warnings) per export."""
-    counts = export_findings(docs).groupBy("source").agg(
+    counts = export_findings(docs, policies).groupBy("source").agg(
         F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings")
     )
     known = with_root_keys(docs).filter("keys IS NOT NULL").select("source")

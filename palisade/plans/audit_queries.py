@@ -348,13 +348,13 @@ def corpus_stats(spark, sf_dir):
 
 
 def document_tables(spark, sf_dir) -> docs.PolicyTables:
-    """The normalised relations of the policy files, as the ingest job writes them."""
-    parsed = docs.parse_policies(docs.unwrap_policies(fx.documents(spark, sf_dir)))
-    makers = {
-        "policies": docs.normalise_policies, "access_items": docs.normalise_access_items,
-        "filter_items": docs.normalise_filter_items, "mask_items": docs.normalise_mask_items,
-    }
-    written = {
-        name: fx.staged(spark, sf_dir, f"file_{name}", lambda make=make: make(parsed)) for name, make in makers.items()
-    }
-    return docs.PolicyTables(**written)
+    """The relations of the policy files, from files parsed and written once.
+
+    The parsed form is nested; each relation reads only the nested fields it needs.
+    """
+    files = fx.documents(spark, sf_dir)
+    parsed = fx.staged(spark, sf_dir, "file_parsed", lambda: docs.parse_policies(docs.unwrap_policies(files)))
+    return docs.PolicyTables(
+        docs.normalise_policies(parsed), docs.normalise_access_items(parsed),
+        docs.normalise_filter_items(parsed), docs.normalise_mask_items(parsed),
+    )

@@ -123,8 +123,7 @@ _FINDING = "source, idx, policy_name, severity, message"
 def _policies(spark, sf_dir):
     """The validation files' policies as a written table: each rule group reads it once."""
     files = fx.validation_documents(spark, sf_dir)
-    rows = fx.staged(spark, sf_dir, "exported", lambda: validate.exported_policies(files))
-    return validate.with_variant(rows)
+    return fx.staged(spark, sf_dir, "exported", lambda: validate.with_variant(validate.exported_policies(files)))
 
 
 def _finding_query(name: str, check, cte: str, extra: tuple[str, ...] = ()):
@@ -159,7 +158,7 @@ def validate_envelope(spark, sf_dir):
         UNION ALL SELECT source, CASE WHEN rule IN ('no_policies', 'policies_type') THEN 'E' ELSE 'W' END FROM v_envelope) t GROUP BY source) c USING (source)""",
 )
 def validation_verdict(spark, sf_dir):
-    return validate.validation_verdict(fx.validation_documents(spark, sf_dir))
+    return validate.validation_verdict(fx.validation_documents(spark, sf_dir), _policies(spark, sf_dir))
 
 
 def _verdicts(spark, sf_dir):

@@ -360,7 +360,7 @@ def tag_to_columns(spark, sf_dir):
 def tagged_columns_of_table(spark, sf_dir):
     policies = fx.policies_frame(spark, sf_dir)
     rows = tags.tagged_columns_of_table(policies, fx.resource_tags(spark, sf_dir))
-    return rows.withColumnRenamed("column", "column_name")
+    return rows.drop("first_table").withColumnRenamed("column", "column_name")
 
 
 @query("tag_grants", "SELECT policy_key, obj_key, item_pos, prin_pos, acc_pos, body FROM r_taggrant")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.constants import ITEM_LISTS
+from palisade.functions.once import computed_once
 
 _ACCESS_ITEMS = (
     "ARRAY<STRUCT<users: ARRAY<STRING>, groups: ARRAY<STRING>, roles: ARRAY<STRING>,"
@@ -24,7 +25,7 @@ _MASK_ITEMS = (
 )
 _RESOURCES = "MAP<STRING, STRUCT<values: ARRAY<STRING>, isExcludes: BOOLEAN, isRecursive: BOOLEAN>>"
 POLICY_SCHEMA = (
-    "id STRING, name STRING, service STRING, description STRING, policyType STRING,"
+    "id STRING, name STRING, service STRING, description STRING, policyType DOUBLE,"
     f" isEnabled BOOLEAN, isAuditEnabled BOOLEAN, resources {_RESOURCES},"
     + ",".join(f" {name} {_ACCESS_ITEMS}" for name in ITEM_LISTS)
     + f", rowFilterPolicyItems {_FILTER_ITEMS}, dataMaskPolicyItems {_MASK_ITEMS}"
@@ -59,7 +60,7 @@ def _has(keys: str, name: str) -> Column:
 
 def with_root_keys(docs: DataFrame) -> DataFrame:
     """Adds ``keys`` (NULL unless the text is a whole JSON object)."""
-    return docs.withColumn("keys", F.expr("json_object_keys(json)"))
+    return computed_once(docs, keys=F.expr("json_object_keys(json)"))
 
 
 def document_errors(docs: DataFrame) -> DataFrame:
@@ -102,21 +103,22 @@ def unwrap_policies(docs: DataFrame) -> DataFrame:
     Result: source, shape, service_name, block_pos, section, pos, policy_json.
     A test-case file is a list of blocks, every other file is one block.
     """
-    root = F.from_json("json", _ROOT_SCHEMA)
     cases = _has("keys", "testCases")
-    blocks = (
-        with_root_keys(docs)
-        .withColumn("root", root)
-        .withColumn("cases", cases)
-        .withColumn("deltas", ~cases & _has("keys", "policyDeltas") & ~_has("keys", "policies"))
-        .select(
+    roots = computed_once(
+        with_root_keys(docs),
+        root=F.from_json("json", _ROOT_SCHEMA),
+        cases=cases,
+        deltas=~cases & _has("keys", "policyDeltas") & ~_has("keys", "policies"),
+    )
+    blocks = computed_once(
+        roots.select(
             "source", "cases", "deltas", "root",
             F.posexplode(
                 F.when(F.col("cases"), F.col("root.testCases.servicePolicies")).otherwise(F.array("json"))
             ).alias("block_pos", "block_json"),
-        )
-        .withColumn("block_keys", F.expr("json_object_keys(block_json)"))
-        .withColumn("block", F.from_json("block_json", _BLOCK_SCHEMA))
+        ),
+        block_keys=F.expr("json_object_keys(block_json)"),
+        block=F.from_json("block_json", _BLOCK_SCHEMA),
     )
     listed = _has("block_keys", "policies")
     single = (
@@ -156,10 +158,11 @@ def parse_policies(unwrapped: DataFrame) -> DataFrame:
     an absent key only takes the default.
     """
     lists = [*ITEM_LISTS, "rowFilterPolicyItems", "dataMaskPolicyItems"]
-    parsed = (
-        unwrapped.withColumn("p", F.from_json("policy_json", POLICY_SCHEMA))
-        .withColumn("policy_keys", F.expr("json_object_keys(policy_json)"))
-        .withColumn("policy_key", F.concat_ws("#", "source", *ORDER))
+    parsed = computed_once(
+        unwrapped,
+        p=F.from_json("policy_json", POLICY_SCHEMA),
+        policy_keys=F.expr("json_object_keys(policy_json)"),
+        policy_key=F.concat_ws("#", "source", *ORDER),
     )
     resources = F.col("p.resources")
     broken = F.col("policy_keys").isNull() | (
@@ -195,16 +198,10 @@ def infer_policy_type(declared: Column, present: Column, has_masks: Column, has_
 
 def normalise_policies(parsed: DataFrame) -> DataFrame:
     """Policies with defaults; ``resources`` keeps only the value lists, in file order."""
-    raw = F.expr("try_variant_get(try_parse_json(policy_json), '$.policyType')")
-    # A JSON string is never equal to a number, so "1" counts as some other type.
-    numeric = F.when(
-        ~F.expr("coalesce(schema_of_variant(try_variant_get(try_parse_json(policy_json), '$.policyType')), 'VOID')").isin(
-            "STRING", "VOID"
-        ),
-        F.expr("try_variant_get(try_parse_json(policy_json), '$.policyType', 'double')"),
-    )
-    present = raw.isNotNull() & ~F.expr(
-        "coalesce(is_variant_null(try_variant_get(try_parse_json(policy_json), '$.policyType')), true)"
+    # Only a JSON number fills the typed field; text counts as some other type, JSON null as absent.
+    numeric = F.col("p.policyType")
+    present = numeric.isNotNull() | (
+        _has("policy_keys", "policyType") & F.get_json_object("policy_json", "$.policyType").isNotNull()
     )
     return parsed.filter("NOT broken").select(
         "policy_key", "source", "shape", "service_name", *ORDER,
