@@ -120,5 +120,8 @@ AUDIT_TABLES = {
     ),
 }
 
-# Characters Python-written exports treat as white space (fixed values).
-SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# --- fixed values: characters that count as white space -------------------------
+ASCII_SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+OTHER_SPACES = (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)

@@ -7,19 +7,31 @@ from pyspark.sql import Column, functions as F
 from palisade import constants as C
 
 
+# Single characters only, which a regular expression tests by table look-up.
+ASCII_CLASS = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f]"
+UNICODE_CLASS = r"(?U)[\s\x1c\x1d\x1e\x1f]"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{C.SPACE_CLASS}+|{C.SPACE_CLASS}+\z", "")
+    return F.btrim(text, F.lit(C.ASCII_SPACES + C.OTHER_SPACES))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def format_body(sql: Column) -> Column:
     """Collapse runs of blanks, trim line ends, drop blank lines, end with ``;``.
 
-    Regular expressions only: no higher-order function, so rows stay in codegen. Text
-    that is clean already, as most grants are, is looked at once and left alone.
+    No higher-order function, so rows stay in codegen; each pass runs only on text that
+    can need it, and the wide white-space test only on text beyond ASCII.
     """
     packed = F.regexp_replace(strip(sql), "  +", " ")
-    tidy = F.regexp_replace(packed, rf"{C.SPACE_CLASS}*\n", "\n")
-    lines = F.when(sql.rlike(rf"  |\A{C.SPACE_CLASS}|{C.SPACE_CLASS}\n|{C.SPACE_CLASS}\z"), tidy).otherwise(sql)
+    lines = (
+        F.when(~sql.contains("\n"), packed)
+        .when(_is_ascii(sql), F.regexp_replace(packed, ASCII_CLASS + r"+\n", "\n"))
+        .otherwise(F.regexp_replace(packed, UNICODE_CLASS + r"+\n", "\n"))
+    )
     return F.concat(F.regexp_replace(lines, r";\z", ""), F.lit(";"))
 
 
