@@ -11,7 +11,7 @@ from palisade.operators.privileges import (
     explode_accesses, explode_principals, location_privilege, map_principal, map_privilege,
 )
 from palisade.operators.resources import (
-    first_value, has_resource, is_table_path, object_keyword, resource_values, routed,
+    has_resource, is_table_path, object_keyword, resource_values, routed,
 )
 from palisade.operators.statements import raw_rows
 
