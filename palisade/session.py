@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +27,11 @@ def build_session(app: str = "palisade", master: str | None = None, **extra: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder the session names.
 
-    Only where the session names none (local tests) is a temporary folder used.
+    Where the session names none, a folder of the warehouse is used, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "palisade-scratch")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
