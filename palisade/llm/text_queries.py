@@ -10,7 +10,7 @@ from palisade.llm.registry import query, table
 _QUALITY_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM base),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM base),
 wins AS (SELECT rid, i, ws[i : i + 4] AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
 rep AS (SELECT rid, sum(least(5, coalesce(nx - i, 5)))::BIGINT AS n FROM
@@ -19,7 +19,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
         len(ls)::BIGINT AS n_lines,
-        len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1]))::BIGINT AS n_stutters,
+        len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutters,
         length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_exclaims,
         length(regexp_replace(t, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_upper
       FROM w LEFT JOIN rep USING (rid)),
