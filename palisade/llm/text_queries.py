@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import quality
+from palisade.llm import quality, secrets
 from palisade.llm.registry import query, table
 
 _QUALITY_SQL = r"""
@@ -42,3 +42,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.passes("base")).alias("base_failed"), quality.passes(quality.PRODUCTION).alias("kept"),
         m["fail_bits"].alias("fail_bits"),
     )
+
+
+@query("op8_zstd_novelty_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
