@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import mixing, near_dup, packing
+from palisade.llm import mixing, near_dup, packing, ring
 from palisade.llm.registry import query, table
 
 _NEAR_SQL = r"""
@@ -38,3 +38,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_bounded_load_ring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)

@@ -35,6 +35,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=~-]+")
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_secret client_id "
     "auth authorization bearer credential credentials signature session cookie certificate BEGIN END RSA PRIVATE KEY "
+    "/usr/local/share/lib/bin/home/etc/var/src/main/test/tmp/opt/data/ .py .js .java .json .xml .html .txt "
     "username user_name user_id account_id tenant_id project_id config configuration settings environment variable "
     "default example placeholder changeme your_api_key_here undefined null true false return function class import from "
     "export const let var public static void string integer boolean private protected interface implements extends "
@@ -49,7 +50,7 @@ class Novelty:
     """When a candidate is reported: ``least`` characters, ``share`` new bytes per byte, ``reach`` characters after a sensitive word."""
 
     least: int = 16
-    share: float = 0.8
+    share: float = 0.95
     reach: int = 48
     around: int = 256
     level: int = 3
