@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import mixing, near_dup, packing, ring
+from palisade.llm import mixing, near_dup, packing, ring, topk
 from palisade.llm.registry import query, table
 
 _NEAR_SQL = r"""
@@ -43,3 +43,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bounded_load_ring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op10_kd_tree_top_k", _TOPK_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import quality, secrets
+from palisade.llm import language, quality, secrets
 from palisade.llm.registry import query, table
 
 _QUALITY_SQL = r"""
@@ -47,3 +47,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_zstd_novelty_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_rank_order_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
