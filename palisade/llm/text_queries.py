@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import language, quality, secrets
+from palisade.llm import html_text, language, preference, quality, secrets
 from palisade.llm.registry import query, table
 
 _QUALITY_SQL = r"""
@@ -52,3 +52,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_rank_order_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op6_composite_text_density")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+_PREFERENCE_SQL = r"""
+WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations),
+b AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn, role, text) AS pos,
+        '<|im_start|>' || role || chr(10) AS head FROM t),
+r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS shown FROM b),
+f AS (SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, coalesce(c.pos, j.pos) AS pos,
+        c.turn IS NOT DISTINCT FROM j.turn AND c.role IS NOT DISTINCT FROM j.role AND c.text IS NOT DISTINCT FROM j.text
+          AND c.pos IS NOT NULL AND j.pos IS NOT NULL AS same
+      FROM (FROM r WHERE chosen) c FULL JOIN (FROM r WHERE NOT chosen) j ON c.pair_id = j.pair_id AND c.pos = j.pos),
+n AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS k FROM f GROUP BY pair_id),
+o AS (SELECT r.*, k, pos <= k AS shared, coalesce(sum(length(shown)) OVER (PARTITION BY r.pair_id, chosen, pos <= k ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM r JOIN n ON r.pair_id = n.pair_id),
+m AS (SELECT *, (off + length(head))::VARCHAR || ':' || (off + length(shown))::VARCHAR AS span FROM o)
+SELECT pair_id, max(k)::BIGINT AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (shared AND chosen), '') AS prompt,
+  count(*) FILTER (NOT shared AND chosen)::BIGINT AS chosen_turns,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (NOT shared AND chosen), '') AS chosen,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT shared AND chosen AND role = 'assistant'), '') AS chosen_mask,
+  count(*) FILTER (NOT shared AND NOT chosen)::BIGINT AS rejected_turns,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (NOT shared AND NOT chosen), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT shared AND NOT chosen AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY pair_id
+"""
+
+
+@query("op2_preference_formatting", _PREFERENCE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected one of pair n."""
+    return preference.preferences(preference.paired_by_id(table(spark, sf_dir, "conversations")))
