@@ -6,6 +6,8 @@ come from VARIANT, where a missing key is SQL NULL and a JSON null is not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade import constants as C
@@ -13,7 +15,9 @@ from palisade.functions.once import computed_once
 from palisade.functions.text import strip
 from palisade.sources.documents import with_root_keys
 
-FINDING = "STRUCT<rule: STRING, severity: STRING, message: STRING>"
+FINDINGS = (
+    "array<struct<check: int, list: string, item_pos: int, step: int, rule: string, severity: string, message: string>>"
+)
 
 
 def _finding(rule: str, severity: str, message: Column | str, when: Column) -> Column:
@@ -26,40 +30,39 @@ def _has(keys: str, name: str) -> Column:
     return F.coalesce(F.array_contains(keys, name), F.lit(False))
 
 
-def _get(column: str, path: str, as_type: str | None = None) -> Column:
-    suffix = f", '{as_type}'" if as_type else ""
-    return F.expr(f"try_variant_get({column}, '{path}'{suffix})")
+def _get(value: Column | str, path: str, as_type: str = "variant") -> Column:
+    return F.try_variant_get(value, path, as_type)
 
 
-def _kind(column: str, path: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get({column}, '{path}'))")
+def _kind(value: Column | str, path: str) -> Column:
+    return F.schema_of_variant(_get(value, path))
 
 
-def _is_array(column: str, path: str) -> Column:
-    return F.startswith(_kind(column, path), F.lit("ARRAY"))
+def _is_array(value: Column | str, path: str) -> Column:
+    return _kind(value, path).startswith("ARRAY")
 
 
-def _is_object(column: str, path: str) -> Column:
-    return F.startswith(_kind(column, path), F.lit("OBJECT"))
+def _is_object(value: Column | str, path: str) -> Column:
+    return _kind(value, path).startswith("OBJECT")
 
 
-def _filled(column: str, path: str) -> Column:
+def _filled(value: Column | str, path: str) -> Column:
     """Truthy in the sense of a script: present, not null, not empty, not false or 0."""
-    kind = _kind(column, path)
-    listed = F.size(_get(column, path, "array<variant>"))
+    kind = _kind(value, path)
+    listed = F.size(_get(value, path, "array<variant>"))
     return (
         F.when(kind.startswith("ARRAY"), listed > 0)
-        .when(kind.startswith("OBJECT"), F.size(_get(column, path, "map<string,variant>")) > 0)
+        .when(kind.startswith("OBJECT"), F.size(_get(value, path, "map<string,variant>")) > 0)
         .when(kind == "VOID", F.lit(False))
-        .otherwise(F.coalesce(~_get(column, path, "string").isin("", "0", "false"), F.lit(False)))
+        .otherwise(F.coalesce(~_get(value, path, "string").isin("", "0", "false"), F.lit(False)))
     )
 
 
 # --- envelope ------------------------------------------------------------------------
 
 
-def envelope_findings(docs: DataFrame) -> DataFrame:
-    """(source, rule, severity, message) about the shape of each export."""
+def _with_envelope(docs: DataFrame) -> DataFrame:
+    """(source, envelope): the findings about the shape of each export as an array."""
     rooted = computed_once(
         with_root_keys(docs).filter("keys IS NOT NULL"),
         policies_text=F.from_json("json", "policies STRING")["policies"],
@@ -88,8 +91,12 @@ def envelope_findings(docs: DataFrame) -> DataFrame:
         _finding("policies_type", "E", "'policies' field must be a list",
                  usual & _has("keys", "policies") & ~F.coalesce(F.col("policies_text").startswith("["), F.lit(False))),
     )
-    rows = rooted.select("source", F.explode(F.array_compact(findings)).alias("f"))
-    return rows.select("source", "f.rule", "f.severity", "f.message")
+    return rooted.select("source", F.array_compact(findings).alias("envelope"))
+
+
+def envelope_findings(docs: DataFrame) -> DataFrame:
+    """(source, rule, severity, message) about the shape of each export."""
+    return _with_envelope(docs).select("source", F.inline("envelope"))
 
 
 def detected_keys(keys: Column) -> Column:
@@ -148,24 +155,38 @@ def with_variant(policies: DataFrame) -> DataFrame:
 
 
 KEYS = ("source", "idx", "policy_name")
+#: Where the lists after policyItems and the check for no items stand in the order of checks.
+_LATER, _LAST = 8, 12
+
+
+def _placed(findings: list[Column], check: int, which: str | None = None, item_pos: Column | None = None, step: int | None = None) -> Column:
+    """Those of ``findings`` that hold, each with its place: (check, list, item_pos, step)."""
+    pos = F.lit(0) if item_pos is None else item_pos
+    return F.transform(
+        F.array_compact(F.array(*findings)),
+        lambda f, i: F.struct(
+            F.lit(check).alias("check"), F.lit(which).cast("string").alias("list"), pos.cast("int").alias("item_pos"),
+            (i if step is None else F.lit(step)).cast("int").alias("step"),
+            f["rule"].alias("rule"), f["severity"].alias("severity"), f["message"].alias("message"),
+        ),
+    )
 
 
-def _explode_findings(df: DataFrame, findings: list[Column], extra: tuple[str, ...] = ()) -> DataFrame:
-    rows = df.select(*KEYS, *extra, F.posexplode(F.array_compact(F.array(*findings))).alias("step", "f"))
-    return rows.select(*KEYS, *extra, "step", "f.rule", "f.severity", "f.message")
+def _together(*arrays: Column) -> Column:
+    return F.concat(*[F.coalesce(a, F.array().cast(FINDINGS)) for a in arrays])
 
 
-def required_field_findings(policies: DataFrame) -> DataFrame:
+def required_fields() -> Column:
     inherited = F.coalesce(F.length("root_service") > 0, F.lit(False))
 
     def missing(name: str) -> Column:
         gone = _get("v", f"$.{name}").isNull()
         return _finding("required", "E", f"Missing required field: {name}", gone & ~inherited if name == "service" else gone)
 
-    return _explode_findings(policies, [missing(n) for n in ("id", "name", "service", "resources")])
+    return _placed([missing(n) for n in ("id", "name", "service", "resources")], 0)
 
 
-def id_type_findings(policies: DataFrame) -> DataFrame:
+def id_type() -> Column:
     kind = _kind("v", "$.id")
     name = (
         F.when(kind == "STRING", F.lit("str")).when(kind == "VOID", F.lit("NoneType"))
@@ -174,222 +195,188 @@ def id_type_findings(policies: DataFrame) -> DataFrame:
     )
     whole = kind.isin("BIGINT", "BOOLEAN") | kind.rlike(r"^DECIMAL\([0-9]+,0\)$")
     message = F.concat(F.lit("Policy ID must be integer, got <class '"), name, F.lit("'>"))
-    return _explode_findings(policies, [_finding("id_type", "E", message, ~whole)])
+    return _placed([_finding("id_type", "E", message, ~whole)], 1)
 
 
-def name_findings(policies: DataFrame) -> DataFrame:
+def name_text() -> Column:
     bad = _get("v", "$.name").isNotNull() & ((_kind("v", "$.name") != "STRING") | (_get("v", "$.name", "string") == ""))
-    return _explode_findings(policies, [_finding("name", "E", "Policy name must be non-empty string", bad)])
+    return _placed([_finding("name", "E", "Policy name must be non-empty string", bad)], 2)
 
 
-def resource_findings(policies: DataFrame) -> DataFrame:
-    present = _get("v", "$.resources").isNotNull()
-    empty = policies.select(*KEYS, "v", present.alias("present"), _filled("v", "$.resources").alias("filled")).filter("present")
-    none = _explode_findings(empty, [_finding("resources_empty", "E", "Resources section is empty", ~F.col("filled"))])
-    entries = empty.filter("filled").select(
-        *KEYS, F.explode(_get("v", "$.resources", "map<string,variant>")).alias("kind", "r")
-    )
+def resources() -> Column:
+    present, filled = _get("v", "$.resources").isNotNull(), _filled("v", "$.resources")
+    none = _placed([_finding("resources_empty", "E", "Resources section is empty", present & ~filled)], 3)
+
+    def entry(e: Column) -> Column:
+        r = e["value"]
 
-    def named(text: str) -> Column:
-        return F.concat(F.lit("Resource '"), "kind", F.lit("'" + text))
+        def named(text: str) -> Column:
+            return F.concat(F.lit("Resource '"), e["key"], F.lit("'" + text))
 
-    is_object = _is_object("r", "$")
-    values = _get("r", "$.values")
-    count = F.size(_get("r", "$.values", "array<variant>"))
-    return none.unionByName(
-        _explode_findings(
-            entries,
+        is_object, listed = _is_object(r, "$"), _is_array(r, "$.values")
+        values, count = _get(r, "$.values"), F.size(_get(r, "$.values", "array<variant>"))
+        return _placed(
             [
                 _finding("resource_type", "E", named(" must be a dictionary"), ~is_object),
                 _finding("values_missing", "E", named(" missing 'values' field"), is_object & values.isNull()),
-                _finding("values_type", "E", named(" values must be a list"),
-                         is_object & values.isNotNull() & ~_is_array("r", "$.values")),
-                _finding("values_empty", "W", named(" has empty values list"),
-                         is_object & _is_array("r", "$.values") & (count == 0)),
+                _finding("values_type", "E", named(" values must be a list"), is_object & values.isNotNull() & ~listed),
+                _finding("values_empty", "W", named(" has empty values list"), is_object & listed & (count == 0)),
             ],
+            3,
         )
-    )
-
-
-def _list_items(policies: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(policies whose list has another type, items) over the named item lists."""
-    lists = F.array(
-        *[F.struct(F.lit(n).alias("list"), _get("v", f"$.{n}").alias("l")) for n in names]
-    )
-    rows = policies.select(*KEYS, F.explode(lists).alias("e")).select(*KEYS, "e.list", "e.l").filter("l IS NOT NULL")
-    listed = _is_array("l", "$")
-    items = rows.filter(listed).select(
-        *KEYS, "list", F.posexplode(_get("l", "$", "array<variant>")).alias("item_pos", "i")
-    )
-    return rows.filter(~listed), items
 
+    entries = F.map_entries(_get("v", "$.resources", "map<string,variant>"))
+    return _together(none, F.when(present & filled, F.flatten(F.transform(entries, entry))))
 
-def _no_principals() -> Column:
-    return ~(
-        F.coalesce(_filled("i", "$.users"), F.lit(False))
-        | F.coalesce(_filled("i", "$.groups"), F.lit(False))
-        | F.coalesce(_filled("i", "$.roles"), F.lit(False))
-    )
 
+def _item_list(name: str, check: int, label: str, findings: Callable[[Column, Column], list[Column]], wrong: str | None = None,
+               more: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Findings of one item list: its type, then item by item."""
+    present, listed = _get("v", f"$.{name}").isNotNull(), _is_array("v", f"$.{name}")
+    bad = _placed([_finding("list_type", "E", f"{wrong or name} must be a list", present & ~listed)], check, name, F.lit(-1))
 
-def _item_text(label: str, text: str) -> Column:
-    return F.concat(F.lit(label + " "), F.col("item_pos").cast("string"), F.lit(" " + text))
+    def one(item: Column, pos: Column) -> Column:
+        def text(words: str) -> Column:
+            return F.concat(F.lit(label + " "), pos.cast("string"), F.lit(" " + words))
 
+        principals = [_filled(item, f"$.{kind}") for kind in ("users", "groups", "roles")]
+        nobody = ~(F.coalesce(principals[0], F.lit(False)) | F.coalesce(principals[1], F.lit(False)) | F.coalesce(principals[2], F.lit(False)))
+        first = _finding("principals", "W", text("has no users, groups, or roles"), nobody)
+        own = _placed([first, *findings(item, text)], check, name, pos)
+        return own if more is None else _together(own, more(item, pos))
 
-def _with_list_type(bad: DataFrame, label: str, items: DataFrame) -> DataFrame:
-    wrong = _explode_findings(
-        bad.withColumn("item_pos", F.lit(-1)),
-        [_finding("list_type", "E", f"{label} must be a list", F.lit(True))],
-        ("list", "item_pos"),
-    )
-    return wrong.unionByName(items)
+    items = F.transform(_get("v", f"$.{name}", "array<variant>"), one)
+    return _together(bad, F.when(listed, F.flatten(items)))
 
 
-def access_item_findings(policies: DataFrame) -> DataFrame:
+def access_items() -> Column:
     """All four access lists."""
-    bad, items = _list_items(policies, list(C.ITEM_LISTS))
     label = "Policy item"
-    accesses = _get("i", "$.accesses")
-    listed = _is_array("i", "$.accesses")
-    count = F.size(_get("i", "$.accesses", "array<variant>"))
-    per_item = _explode_findings(
-        items,
-        [
-            _finding("principals", "W", _item_text(label, "has no users, groups, or roles"), _no_principals()),
-            _finding("accesses_missing", "W", _item_text(label, "has no 'accesses' field (audit-only policy item)"),
-                     accesses.isNull()),
-            _finding("accesses_type", "E", _item_text(label, "accesses must be a list"), accesses.isNotNull() & ~listed),
-            _finding("accesses_empty", "W", _item_text(label, "has empty accesses list (audit-only policy item)"),
-                     listed & (count == 0)),
-        ],
-        ("list", "item_pos"),
-    )
-    each = items.select(
-        *KEYS, "list", "item_pos", F.explode(_get("i", "$.accesses", "array<variant>")).alias("a")
-    )
-    untyped = _explode_findings(
-        each,
-        [_finding("access_type", "E", _item_text(label, "access missing 'type'"), _get("a", "$.type").isNull())],
-        ("list", "item_pos"),
-    ).withColumn("step", F.lit(2))
-    return _with_list_type(bad, "policyItems", per_item.unionByName(untyped))
-
-
-def filter_item_findings(policies: DataFrame) -> DataFrame:
-    bad, items = _list_items(policies, ["rowFilterPolicyItems"])
-    label = "Row filter item"
-    info, expression = _get("i", "$.rowFilterInfo"), _get("i", "$.rowFilterInfo.filterExpr")
-    findings = _explode_findings(
-        items,
-        [
-            _finding("principals", "W", _item_text(label, "has no users, groups, or roles"), _no_principals()),
-            _finding("info_missing", "E", _item_text(label, "missing 'rowFilterInfo'"), info.isNull()),
-            _finding("filter_missing", "E", _item_text(label, "missing filter expression"),
-                     info.isNotNull() & expression.isNull()),
-            _finding("filter_empty", "E", _item_text(label, "has empty filter expression"),
-                     expression.isNotNull() & ~_filled("i", "$.rowFilterInfo.filterExpr")),
-        ],
-        ("list", "item_pos"),
-    )
-    return _with_list_type(bad, "rowFilterPolicyItems", findings)
-
-
-def mask_item_findings(policies: DataFrame) -> DataFrame:
-    bad, items = _list_items(policies, ["dataMaskPolicyItems"])
-    label = "Masking item"
-    info, kind = _get("i", "$.dataMaskInfo"), _get("i", "$.dataMaskInfo.dataMaskType")
-    value = F.coalesce(_get("i", "$.dataMaskInfo.dataMaskType", "string"), F.lit("None"))
-    findings = _explode_findings(
-        items,
-        [
-            _finding("principals", "W", _item_text(label, "has no users, groups, or roles"), _no_principals()),
-            _finding("info_missing", "E", _item_text(label, "missing 'dataMaskInfo'"), info.isNull()),
-            _finding("mask_missing", "E", _item_text(label, "missing mask type"), info.isNotNull() & kind.isNull()),
-            _finding("mask_unknown", "W", F.concat(_item_text(label, "has unknown mask type: "), value),
+
+    def findings(item: Column, text) -> list[Column]:
+        accesses, listed = _get(item, "$.accesses"), _is_array(item, "$.accesses")
+        count = F.size(_get(item, "$.accesses", "array<variant>"))
+        return [
+            _finding("accesses_missing", "W", text("has no 'accesses' field (audit-only policy item)"), accesses.isNull()),
+            _finding("accesses_type", "E", text("accesses must be a list"), accesses.isNotNull() & ~listed),
+            _finding("accesses_empty", "W", text("has empty accesses list (audit-only policy item)"), listed & (count == 0)),
+        ]
+
+    def one_list(at: int, name: str) -> Column:
+        # The lists after policyItems are looked at once filters and masks are done.
+        check = _LATER + at if at else 4
+
+        def untyped(item: Column, pos: Column) -> Column:
+            message = F.concat(F.lit(label + " "), pos.cast("string"), F.lit(" access missing 'type'"))
+            each = F.transform(
+                _get(item, "$.accesses", "array<variant>"),
+                lambda a: _placed([_finding("access_type", "E", message, _get(a, "$.type").isNull())], check, name, pos, step=2),
+            )
+            return F.flatten(each)
+
+        return _item_list(name, check, label, findings, "policyItems", untyped)
+
+    return _together(*[one_list(at, name) for at, name in enumerate(C.ITEM_LISTS)])
+
+
+def filter_items() -> Column:
+    def findings(item: Column, text) -> list[Column]:
+        info, expression = _get(item, "$.rowFilterInfo"), _get(item, "$.rowFilterInfo.filterExpr")
+        return [
+            _finding("info_missing", "E", text("missing 'rowFilterInfo'"), info.isNull()),
+            _finding("filter_missing", "E", text("missing filter expression"), info.isNotNull() & expression.isNull()),
+            _finding("filter_empty", "E", text("has empty filter expression"),
+                     expression.isNotNull() & ~_filled(item, "$.rowFilterInfo.filterExpr")),
+        ]
+
+    return _item_list("rowFilterPolicyItems", 5, "Row filter item", findings)
+
+
+def mask_items() -> Column:
+    def findings(item: Column, text) -> list[Column]:
+        info, kind = _get(item, "$.dataMaskInfo"), _get(item, "$.dataMaskInfo.dataMaskType")
+        value = F.coalesce(_get(item, "$.dataMaskInfo.dataMaskType", "string"), F.lit("None"))
+        return [
+            _finding("info_missing", "E", text("missing 'dataMaskInfo'"), info.isNull()),
+            _finding("mask_missing", "E", text("missing mask type"), info.isNotNull() & kind.isNull()),
+            _finding("mask_unknown", "W", F.concat(text("has unknown mask type: "), value),
                      kind.isNotNull() & ~value.isin(*C.KNOWN_MASK_TYPES)),
-        ],
-        ("list", "item_pos"),
-    )
-    return _with_list_type(bad, "dataMaskPolicyItems", findings)
+        ]
+
+    return _item_list("dataMaskPolicyItems", 6, "Masking item", findings)
 
 
-def no_items_findings(policies: DataFrame) -> DataFrame:
-    lists = [*C.ITEM_LISTS, "rowFilterPolicyItems", "dataMaskPolicyItems"]
+def no_items() -> Column:
     nothing = F.lit(True)
-    for name in lists:
+    for name in [*C.ITEM_LISTS, "rowFilterPolicyItems", "dataMaskPolicyItems"]:
         nothing = nothing & _get("v", f"$.{name}").isNull()
-    return _explode_findings(
-        policies, [_finding("no_items", "W", "Policy has no policy items (no permissions defined)", nothing)]
-    )
+    return _placed([_finding("no_items", "W", "Policy has no policy items (no permissions defined)", nothing)], _LAST)
+
+
+def check_findings(policies: DataFrame, check: Column) -> DataFrame:
+    """Rows of one check above: KEYS, check, list, item_pos, step, rule, severity, message."""
+    return policies.select(*KEYS, F.inline(check))
+
+
+def with_findings(policies: DataFrame) -> DataFrame:
+    """KEYS and ``findings``: all findings of a policy as one array, made in one pass over its row."""
+    checks = [required_fields(), id_type(), name_text(), resources(), access_items(), filter_items(), mask_items(), no_items()]
+    return computed_once(policies.select(*KEYS, "root_service", "v"), findings=_together(*checks)).select(*KEYS, "findings")
 
 
 def policy_findings(policies: DataFrame) -> DataFrame:
     """Every policy-level finding; (idx, check, item_pos, step) is the order they are met in."""
-    access = access_item_findings(policies)
-    later = F.array_position(F.array(*map(F.lit, list(C.ITEM_LISTS)[1:])), F.col("list"))
-    parts = [
-        required_field_findings(policies), id_type_findings(policies), name_findings(policies),
-        resource_findings(policies), access, filter_item_findings(policies), mask_item_findings(policies),
-        no_items_findings(policies),
-    ]
-    last = len(parts) + len(C.ITEM_LISTS)
-    union = None
-    for check, part in enumerate(parts):
-        # The lists after policyItems are looked at once filters and masks are done.
-        place = F.lit(check) if part is not access else F.when(later > 0, F.lit(len(parts)) + later).otherwise(F.lit(check))
-        place = F.lit(last) if check == len(parts) - 1 else place
-        item = F.col("item_pos") if "item_pos" in part.columns else F.lit(0)
-        row = part.select(
-            *KEYS, place.cast("int").alias("check"), item.cast("int").alias("item_pos"), "step", "rule", "severity", "message"
-        )
-        union = row if union is None else union.unionByName(row)
-    return union
+    return with_findings(policies).select(*KEYS, F.inline("findings"))
+
+
+def _count(array: str, severity: str) -> Column:
+    return F.size(F.filter(array, lambda f: f["severity"] == severity)).cast("bigint")
 
 
 def export_findings(docs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     """(source, severity, message): envelope findings, empty exports, and policy findings
     under ``[name]``. ``policies`` may pass in the parsed policies of these files from a
-    written table, so that the rule groups do not each parse them again."""
+    written table."""
     if policies is None:
         policies = with_variant(exported_policies(docs))
     inner = policy_findings(policies).select(
         "source", "severity", F.concat(F.lit("["), "policy_name", F.lit("] "), "message").alias("message")
     )
-    outer = envelope_findings(docs)
-    refused = outer.filter("severity = 'E'").select("source").distinct()
-    known = with_root_keys(docs).filter("keys IS NOT NULL").select("source")
-    empty = (
-        known.join(refused, "source", "left_anti")
-        .join(policies.select("source"), "source", "left_anti")
-        .select("source", F.lit("W").alias("severity"), F.lit("Export contains no policies").alias("message"))
+    empty = _export_counts(docs, policies).filter("empty").select(
+        "source", F.lit("W").alias("severity"), F.lit("Export contains no policies").alias("message")
     )
-    return inner.unionByName(outer.select("source", "severity", "message")).unionByName(empty)
+    return inner.unionByName(envelope_findings(docs).select("source", "severity", "message")).unionByName(empty)
 
 
-def validation_verdict(docs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """(source, is_valid, errors, warnings) per export."""
-    counts = export_findings(docs, policies).groupBy("source").agg(
-        F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings")
-    )
-    known = with_root_keys(docs).filter("keys IS NOT NULL").select("source")
+def _export_counts(docs: DataFrame, policies: DataFrame) -> DataFrame:
+    """(source, errors, warnings, empty) per export, from counts per file and per policy in one aggregate."""
     zero = F.lit(0).cast("bigint")
-    return known.join(counts, "source", "left").select(
-        "source",
-        (F.coalesce("errors", zero) == 0).alias("is_valid"),
-        F.coalesce("errors", zero).alias("errors"),
-        F.coalesce("warnings", zero).alias("warnings"),
+    files = _with_envelope(docs).select(
+        "source", _count("envelope", "E").alias("refused"), _count("envelope", "E").alias("e"), _count("envelope", "W").alias("w"),
+        zero.alias("policies"), F.lit(1).cast("bigint").alias("files"),
+    )
+    each = with_findings(policies).select(
+        "source", zero.alias("refused"), _count("findings", "E").alias("e"), _count("findings", "W").alias("w"),
+        F.lit(1).cast("bigint").alias("policies"), zero.alias("files"),
+    )
+    sums = files.unionByName(each).groupBy("source").agg(*[F.sum(c).alias(c) for c in ("refused", "e", "w", "policies", "files")])
+    empty = (F.col("policies") == 0) & (F.col("refused") == 0)
+    return sums.filter("files > 0").select(
+        "source", F.col("e").alias("errors"), (F.col("w") + empty.cast("bigint")).alias("warnings"), empty.alias("empty")
     )
 
 
-def policy_verdicts(policies: DataFrame, findings: DataFrame) -> DataFrame:
+def validation_verdict(docs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """(source, is_valid, errors, warnings) per export."""
+    if policies is None:
+        policies = with_variant(exported_policies(docs))
+    counts = _export_counts(docs, policies)
+    return counts.select("source", (F.col("errors") == 0).alias("is_valid"), "errors", "warnings")
+
+
+def policy_verdicts(policies: DataFrame) -> DataFrame:
     """(source, idx, policy_name, errors, warnings), policies without findings included."""
-    counts = findings.groupBy("source", "idx").agg(
-        F.count_if(F.col("severity") == "E").alias("errors"), F.count_if(F.col("severity") == "W").alias("warnings")
-    )
-    zero = F.lit(0).cast("bigint")
-    return policies.select(*KEYS).join(counts, ["source", "idx"], "left").select(
-        *KEYS, F.coalesce("errors", zero).alias("errors"), F.coalesce("warnings", zero).alias("warnings")
-    )
+    return with_findings(policies).select(*KEYS, _count("findings", "E").alias("errors"), _count("findings", "W").alias("warnings"))
 
 
 def validation_totals(verdicts: DataFrame) -> DataFrame:
@@ -409,10 +396,10 @@ def validation_totals(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def validation_details(findings: DataFrame) -> DataFrame:
+def validation_details(policies: DataFrame) -> DataFrame:
     """Findings of the policies that have at least one error."""
-    invalid = findings.filter("severity = 'E'").select("source", "idx").distinct()
-    return findings.join(invalid, ["source", "idx"], "left_semi")
+    invalid = with_findings(policies).filter(F.exists("findings", lambda f: f["severity"] == "E"))
+    return invalid.select(*KEYS, F.inline("findings"))
 
 
 # --- lint of statement text -----------------------------------------------------------------

@@ -131,19 +131,19 @@ def _finding_query(name: str, check, cte: str, extra: tuple[str, ...] = ()):
 
     @query(name, f"SELECT {columns} FROM {cte}")
     def run(spark, sf_dir):
-        return check(_policies(spark, sf_dir)).select(*extra, "source", "idx", "policy_name", "severity", "message")
+        return validate.check_findings(_policies(spark, sf_dir), check()).select(*extra, "source", "idx", "policy_name", "severity", "message")
 
     return run
 
 
-_finding_query("validate_required_fields", validate.required_field_findings, "v_required")
-_finding_query("validate_id_type", validate.id_type_findings, "v_id")
-_finding_query("validate_name", validate.name_findings, "v_name")
-_finding_query("validate_resources", validate.resource_findings, "v_resources")
-_finding_query("validate_access_items", validate.access_item_findings, "v_access", ("list", "item_pos"))
-_finding_query("validate_filter_items", validate.filter_item_findings, "v_filter", ("item_pos",))
-_finding_query("validate_mask_items", validate.mask_item_findings, "v_mask", ("item_pos",))
-_finding_query("validate_has_items", validate.no_items_findings, "v_none")
+_finding_query("validate_required_fields", validate.required_fields, "v_required")
+_finding_query("validate_id_type", validate.id_type, "v_id")
+_finding_query("validate_name", validate.name_text, "v_name")
+_finding_query("validate_resources", validate.resources, "v_resources")
+_finding_query("validate_access_items", validate.access_items, "v_access", ("list", "item_pos"))
+_finding_query("validate_filter_items", validate.filter_items, "v_filter", ("item_pos",))
+_finding_query("validate_mask_items", validate.mask_items, "v_mask", ("item_pos",))
+_finding_query("validate_has_items", validate.no_items, "v_none")
 
 
 @query("validate_envelope", "SELECT source, rule, CASE WHEN rule IN ('no_policies', 'policies_type') THEN 'E' ELSE 'W' END AS severity FROM v_envelope")
@@ -161,9 +161,28 @@ def validation_verdict(spark, sf_dir):
     return validate.validation_verdict(fx.validation_documents(spark, sf_dir), _policies(spark, sf_dir))
 
 
+@query(
+    "export_findings",
+    """SELECT source, severity, '[' || policy_name || '] ' || message AS message FROM v_all UNION ALL
+    SELECT source, CASE WHEN rule IN ('no_policies', 'policies_type') THEN 'E' ELSE 'W' END, CASE rule
+      WHEN 'deltas' THEN 'Detected incremental update format (''policyDeltas''). Policies will be extracted from each delta''s ''policy'' field.'
+      WHEN 'zones' THEN 'Detected ''securityZones'' in this file. Security zone boundaries have no direct Unity Catalog equivalent — policies will be translated ignoring zone scope.'
+      WHEN 'test_cases' THEN 'Detected ACL provider test format (''testCases'' key). Policies will be extracted from each testCase''s servicePolicies block.'
+      WHEN 'side_keys' THEN 'Detected Ranger test file format (keys: ' || CASE e WHEN 0 THEN 'serviceName, tests' WHEN 5 THEN 'serviceName' ELSE 'serviceDef' END
+        || '). serviceDef and tests sections will be ignored — only ''policies'' will be translated.'
+      WHEN 'tag_info' THEN 'Detected ''tagPolicyInfo'' section. Tag-based policies will be extracted and translated.'
+      WHEN 'no_policies' THEN 'Export JSON missing ''policies'' field. Expected format: {"policies": [...]}'
+      ELSE '''policies'' field must be a list' END FROM v_envelope
+    UNION ALL SELECT source, 'W', 'Export contains no policies' FROM vfiles WHERE source NOT IN (SELECT source FROM vp) AND source NOT IN
+      (SELECT source FROM v_envelope WHERE rule IN ('no_policies', 'policies_type'))""",
+)
+def export_findings(spark, sf_dir):
+    """Every message an export gets, policy findings under the policy's name."""
+    return validate.export_findings(fx.validation_documents(spark, sf_dir), _policies(spark, sf_dir))
+
+
 def _verdicts(spark, sf_dir):
-    policies = _policies(spark, sf_dir)
-    return validate.policy_verdicts(policies, validate.policy_findings(policies))
+    return validate.policy_verdicts(_policies(spark, sf_dir))
 
 
 @query(
@@ -184,8 +203,7 @@ def validation_totals(spark, sf_dir):
     f"SELECT {_FINDING} FROM v_all WHERE (source, idx) IN (SELECT (source, idx) FROM v_all WHERE severity = 'E')",
 )
 def validation_details(spark, sf_dir):
-    findings = validate.policy_findings(_policies(spark, sf_dir))
-    return validate.validation_details(findings).select("source", "idx", "policy_name", "severity", "message")
+    return validate.validation_details(_policies(spark, sf_dir)).select("source", "idx", "policy_name", "severity", "message")
 
 
 @query(
