@@ -90,9 +90,10 @@ def effective_mask(kind: Column, fallback: str) -> Column:
     return F.when(kind.isin(*MASKS), kind).otherwise(F.lit(fallback))
 
 
-def mask_text(kind: Column, argument: Column, fallback: str) -> Column:
-    """SQL text of the mask body for a mask type held in a column."""
-    template = F.coalesce(F.element_at(literal_map(MASKS), kind), F.lit(MASKS[fallback]))
+def mask_text(kind: Column, argument: Column, fallback: str, custom: Mapping[str, str] | None = None) -> Column:
+    """SQL text of the mask body for a mask type held in a column; ``custom`` adds or replaces templates."""
+    templates = {**MASKS, **(custom or {})}
+    template = F.coalesce(F.element_at(literal_map(templates), kind), F.lit(templates[fallback]))
     return F.replace(template, F.lit("{column}"), argument)
 
 

@@ -25,13 +25,14 @@ def policy_summary(policies: DataFrame, errors: DataFrame) -> DataFrame:
     return counts.crossJoin(errors.agg(F.count(F.lit(1)).alias("errors")))  # one row by one row
 
 
-def dry_run_plan(statements: DataFrame) -> DataFrame:
-    """Every translated policy is skipped; nothing is executed."""
-    return statements.groupBy("policy_key", "policy_type").agg(
-        F.count(F.lit(1)).cast("int").alias("total_statements")
-    ).select(
+def dry_run_plan(outputs: DataFrame, statements: DataFrame) -> DataFrame:
+    """Every output policy is skipped, those without a statement as well; nothing is executed."""
+    keys = ["policy_key", "policy_type"]
+    counts = statements.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return outputs.select(*keys).join(counts, keys, "left").select(
         "policy_key", "policy_type", F.lit("skipped").alias("status"),
-        F.lit("Dry run - not executed").alias("message"), F.lit(0).alias("executed_count"), "total_statements",
+        F.lit("Dry run - not executed").alias("message"), F.lit(0).alias("executed_count"),
+        F.coalesce("n", F.lit(0)).alias("total_statements"),
     )
 
 
@@ -42,14 +43,21 @@ def _errors_text(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def apply_outcomes_skip(outcomes: DataFrame) -> DataFrame:
-    """Errors are skipped over: any error makes the policy partial."""
+def _per_policy(outputs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts for every output policy; one without a statement has executed all of its 0 statements."""
+    zero = F.lit(0)
+    joined = outputs.select("policy_key").distinct().join(counts, "policy_key", "left")
+    return joined.withColumns({c: F.coalesce(c, zero) for c in ("executed_count", "total_statements")})
+
+
+def apply_outcomes_skip(outputs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Errors are skipped over: any error makes the policy partial. One row per policy of ``outputs``."""
     counts = outcomes.groupBy("policy_key").agg(
         F.count_if("ok").cast("int").alias("executed_count"), F.count(F.lit(1)).cast("int").alias("total_statements")
     )
     done = F.col("executed_count") == F.col("total_statements")
     executed = F.col("executed_count").cast("string")
-    return counts.join(_errors_text(outcomes), "policy_key", "left").select(
+    return _per_policy(outputs, counts).join(_errors_text(outcomes), "policy_key", "left").select(
         "policy_key",
         F.when(done, F.lit("success")).otherwise(F.lit("partial")).alias("status"),
         F.when(done, F.concat(F.lit("Successfully executed "), executed, F.lit(" statements")))
@@ -61,20 +69,27 @@ def apply_outcomes_skip(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def apply_outcomes_strict(outcomes: DataFrame) -> DataFrame:
-    """Stop at the first error; what ran before it counts."""
-    first = outcomes.groupBy("policy_key").agg(
-        F.min(F.when(~F.col("ok"), F.col("statement_idx"))).alias("stop"),
-        F.min_by("error", F.when(~F.col("ok"), F.col("statement_idx"))).alias("error_details"),
-        F.count(F.lit(1)).cast("int").alias("total_statements"),
+def apply_outcomes_strict(outputs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Stop at the first error; what ran before it counts. One row per policy of ``outputs``.
+
+    Outcomes are summed up per chunk of statements first: a chunk is all done, or it has a first error
+    and a number of statements before that. The chunks before the first one with an error count in full.
+    """
+    failed = F.when(~F.col("ok"), F.col("statement_idx"))
+    chunks = outcomes.withColumn("chunk", F.floor(F.col("statement_idx") / OUTCOMES_PER_CHUNK)).groupBy("policy_key", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min(failed).alias("stop"), F.min_by("error", failed).alias("error"),
+        F.array_sort(F.collect_list("statement_idx")).alias("places"),
     )
-    ran = (
-        outcomes.join(first.select("policy_key", "stop"), "policy_key")
-        .groupBy("policy_key")
-        .agg(F.count_if(F.col("stop").isNull() | (F.col("statement_idx") < F.col("stop"))).cast("int").alias("executed_count"))
+    before = F.size(F.filter("places", lambda i: F.col("stop").isNull() | (i < F.col("stop"))))
+    per = chunks.select("policy_key", F.struct("chunk", before.alias("ran"), "stop", "error").alias("c"), "n").groupBy("policy_key").agg(
+        F.sum("n").cast("int").alias("total_statements"), F.min_by("c.error", "c.stop").alias("error_details"),
+        F.min("c.stop").alias("stop"), F.array_sort(F.collect_list("c")).alias("parts"),
     )
+    first = F.coalesce(F.array_min(F.transform(F.filter("parts", lambda c: c["stop"].isNotNull()), lambda c: c["chunk"])), F.lit(2**62))
+    ran = F.aggregate(F.filter("parts", lambda c: c["chunk"] <= first), F.lit(0), lambda a, c: a + c["ran"])
+    counts = per.select("policy_key", "total_statements", "stop", "error_details", ran.alias("executed_count"))
     executed = F.col("executed_count").cast("string")
-    return first.join(ran, "policy_key").select(
+    return _per_policy(outputs, counts).select(
         "policy_key",
         F.when(F.col("stop").isNull(), F.lit("success")).otherwise(F.lit("error")).alias("status"),
         F.when(F.col("stop").isNull(), F.concat(F.lit("Successfully executed "), executed, F.lit(" statements")))

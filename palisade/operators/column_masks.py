@@ -50,13 +50,13 @@ def pass_through(items: DataFrame, config: Config, map_users: bool = True) -> Da
     )
 
 
-def mask_body(kind: Column, whens: Column, column: Column, fallback: str) -> Column:
-    masked = mask_text(kind, column, fallback)
+def mask_body(kind: Column, whens: Column, column: Column, fallback: str, config: Config) -> Column:
+    masked = mask_text(kind, column, fallback, config.masks)
     return F.when(whens.isNotNull(), case_body(F.replace(whens, F.lit(SLOT), column), masked)).otherwise(masked)
 
 
 def mask_statement_pair(
-    rows: DataFrame, policy_type: str, fallback: str, prefix: Column, table_name: Column, table: Column, **order
+    rows: DataFrame, policy_type: str, fallback: str, prefix: Column, table_name: Column, table: Column, config: Config, **order
 ) -> DataFrame:
     """The function and the ALTER that attaches it, from ``column``, ``mask_kind``, ``whens``."""
     kind, column = F.col("mask_kind"), F.col("column")
@@ -65,7 +65,7 @@ def mask_statement_pair(
     create = F.concat(
         F.lit("CREATE OR REPLACE FUNCTION "), function, F.lit("("), column, F.lit(" "), sql_type,
         F.lit(")\nRETURNS "), sql_type, F.lit("\nRETURN\n  "),
-        mask_body(kind, F.col("whens"), column, fallback),
+        mask_body(kind, F.col("whens"), column, fallback, config),
     )
     attach = F.concat(
         F.lit("ALTER TABLE "), table, F.lit("\nALTER COLUMN "), column, F.lit("\nSET MASK "), function
@@ -95,7 +95,7 @@ def column_mask_statements(policies: DataFrame, items: DataFrame, config: Config
     parts = F.col("parts")
     return mask_statement_pair(
         rows, "COLUMN_MASK", RESOURCE_FALLBACK,
-        F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.get(parts, F.lit(2)), F.col("resource_path"),
+        F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.get(parts, F.lit(2)), F.col("resource_path"), config,
         may_head=(F.col("obj_pos") == 0) & (F.col("part") == 0),
     )
 

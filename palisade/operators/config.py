@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,3 +16,5 @@ class Config:
     schema: str = DEFAULT_SCHEMA
     # (mapping_type, source_value, target_value) overrides, or None
     mapping: DataFrame | None = None
+    # mask type: SQL text over {column}; adds to or replaces the known ones
+    masks: Mapping[str, str] | None = None

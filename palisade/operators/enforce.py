@@ -97,7 +97,7 @@ def tagged_columns(resource_tags: DataFrame, table: str, tag: str, columns: Sequ
     """The data frame's own columns that carry a tag: at most one row per column."""
     wanted = [f"{table}.{c}" for c in columns]
     rows = resource_tags.filter((F.col("tag") == tag) & F.col("path").isin(wanted)).select("path").distinct()
-    found = {row["path"] for row in rows.limit(len(wanted)).collect()}
+    found = {row["path"] for row in rows.collect()}
     return [c for c in columns if f"{table}.{c}" in found]
 
 
@@ -134,27 +134,33 @@ def secured_view(
     return secured
 
 
-def rows_visible_per_principal(
-    principals: DataFrame, rules: Sequence[FilterRule], data: DataFrame
-) -> DataFrame:
+#: Predicates counted in one pass over the data.
+PREDICATES_PER_PASS = 200
+
+
+def rows_visible_per_principal(principals: DataFrame, rules: DataFrame, data: DataFrame) -> DataFrame:
     """(user_name, visible) without joining principals to data.
 
-    The data is read once for one count per rule; each principal then looks up the
-    count of the first rule that names it. ``principals`` is (user_name, groups).
+    ``principals`` is (user_name, groups), ``rules`` a table of (rule_pos, kind, name, predicate): principals
+    are joined to the rules that name them, and the first one decides; without a rule every row is visible.
+    The data is read once per PREDICATES_PER_PASS distinct predicates in use, whatever the number of rules.
     """
-    counts = data.agg(
-        F.count(F.lit(1)).alias("b0"),
-        *[F.count_if(F.expr(r.predicate)).alias(f"b{i}") for i, r in enumerate(rules, 1)],
-    )
-    per_branch = counts.select(
-        F.posexplode(F.array(*[F.col(f"b{i}") for i in range(len(rules) + 1)])).alias("branch", "visible")
-    )
-    branch = F.lit(0)
-    for i in range(len(rules), 0, -1):
-        rule = rules[i - 1]
-        named = F.col("user_name") == rule.name if rule.kind == "user" else F.array_contains("groups", rule.name)
-        branch = F.when(named, F.lit(i)).otherwise(branch)
-    return principals.withColumn("branch", branch).join(per_branch, "branch").select("user_name", "visible")
+    mine = F.array(F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("name")))
+    groups = F.transform("groups", lambda g: F.struct(F.lit("group").alias("kind"), g.alias("name")))
+    named = principals.select("user_name", F.explode(F.concat(mine, F.coalesce(groups, mine))).alias("p"))
+    hit = named.select("user_name", "p.kind", "p.name").distinct().join(rules, ["kind", "name"])
+    first = hit.groupBy("user_name").agg(F.min(F.struct("rule_pos", "predicate")).alias("rule"))
+    decided = principals.join(first, "user_name", "left").select("user_name", F.col("rule.predicate").alias("predicate"))
+    # Texts of predicates become part of the plan, so they are the one thing read here.
+    texts = sorted(r["predicate"] for r in hit.select("predicate").distinct().collect())
+    counts = data.agg(F.count(F.lit(1)).alias("visible")).select(F.lit(None).cast("string").alias("predicate"), "visible")
+    for at in range(0, len(texts), PREDICATES_PER_PASS):
+        part = texts[at : at + PREDICATES_PER_PASS]
+        row = data.agg(*[F.count_if(F.expr(text)).alias(f"b{i}") for i, text in enumerate(part)])
+        pairs = F.array(*[F.struct(F.lit(text).alias("predicate"), F.col(f"b{i}").alias("visible")) for i, text in enumerate(part)])
+        counts = counts.unionByName(row.select(F.inline(pairs)))
+    found = decided["predicate"].eqNullSafe(counts["predicate"])
+    return decided.join(counts, found).select("user_name", "visible")
 
 
 # --- SQL functions ----------------------------------------------------------------------

@@ -317,7 +317,7 @@ def tag_mask_supplements(
     rows = tagged_columns_of_table(mine, resource_tags).join(per_policy, "policy_key")
     return mask_statement_pair(
         rows, "ACCESS_TAG", RESOURCE_FALLBACK, F.concat(F.lit(config.catalog + "."), F.get(parts, F.lit(0))), F.get(parts, F.lit(1)),
-        _table_name(F.col("table_key"), config),
+        _table_name(F.col("table_key"), config), config,
         section=MASKS, obj_key=F.col("table_key"), item_pos=F.col("path_pos"), obj_sub=F.lit(""),
         may_head=F.col("first_table"),
     )
@@ -361,7 +361,7 @@ def tag_mask_rows(policies: DataFrame, masks: DataFrame, resource_tags: DataFram
     rows = targets.join(open_to, "policy_key", "left").join(tag_to_columns(resource_tags, config), ["scope", "tag"])
     prefix = F.concat_ws(".", F.lit(config.catalog), F.col("db"))
     return mask_statement_pair(
-        rows, "COLUMN_MASK_TAG", TAG_FALLBACK, prefix, F.col("tbl"), F.concat_ws(".", prefix, F.col("tbl")),
+        rows, "COLUMN_MASK_TAG", TAG_FALLBACK, prefix, F.col("tbl"), F.concat_ws(".", prefix, F.col("tbl")), config,
         item_pos=F.col("path_pos"),
     )
 

@@ -44,6 +44,16 @@ def _outcomes(spark, sf_dir):
     return fx.relation(spark, sf_dir, fx.outcomes_sql, "lineitem")
 
 
+def _outputs(spark, sf_dir):
+    """Every policy is applied, also those without a line."""
+    return fx.inputs(spark, sf_dir).policies.select("policy_key")
+
+
+def _statements(spark, sf_dir):
+    run, c = fx.inputs(spark, sf_dir), config(spark, sf_dir)
+    return fx.staged(spark, sf_dir, "statements", lambda: translate.translate_all(run, c))
+
+
 # --- sinks -----------------------------------------------------------------------------------
 
 _NUMBERED = f"""SELECT priority AS source, policy_key, CAST(row_number() OVER (PARTITION BY priority ORDER BY policy_key, {o.ORDER}) AS BIGINT) AS stmt_no,
@@ -106,7 +116,7 @@ def append_translation_log(spark, sf_dir):
     """One log row per run of 64 policies."""
     run, c = fx.inputs(spark, sf_dir), config(spark, sf_dir)
     source = F.concat(F.lit("b"), F.expr("policy_key div 64").cast("string")).alias("source")
-    statements = fx.staged(spark, sf_dir, "statements", lambda: translate.translate_all(run, c))
+    statements = _statements(spark, sf_dir)
     outputs = translate.output_policies(run, statements).select(source)
     errors = translate.translation_errors(run, c).select(source, F.col("policy_key").alias("pos"), "message")
     schema = audit_schema(spark)
@@ -119,7 +129,8 @@ def append_translation_log(spark, sf_dir):
 
 
 _SKIP = """SELECT policy_key, CAST(count(*) FILTER (ok) AS INTEGER) AS executed_count, CAST(count(*) AS INTEGER) AS total_statements,
-  string_agg(error, '; ' ORDER BY statement_idx) AS error_details FROM outcomes GROUP BY policy_key"""
+  string_agg(error, '; ' ORDER BY statement_idx) AS error_details FROM outcomes GROUP BY policy_key
+  UNION ALL SELECT policy_key, 0, 0, NULL FROM base WHERE policy_key NOT IN (SELECT policy_key FROM outcomes)"""
 _SKIP = f"""SELECT policy_key, CASE WHEN executed_count = total_statements THEN 'success' ELSE 'partial' END AS status,
   CASE WHEN executed_count = total_statements THEN 'Successfully executed ' || executed_count || ' statements'
     ELSE 'Completed with errors: ' || executed_count || '/' || total_statements || ' successful' END AS message,
@@ -131,7 +142,7 @@ _SKIP = f"""SELECT policy_key, CASE WHEN executed_count = total_statements THEN
     f"SELECT CAST(policy_key AS VARCHAR) AS policy_id, 'ACCESS' AS policy_type, status, message, executed_count, total_statements, error_details, CAST(NULL AS VARCHAR) AS applied_by FROM ({_SKIP}) t",
 )
 def append_apply_log(spark, sf_dir):
-    results = audit.apply_outcomes_skip(_outcomes(spark, sf_dir)).withColumns(
+    results = audit.apply_outcomes_skip(_outputs(spark, sf_dir), _outcomes(spark, sf_dir)).withColumns(
         {"policy_id": F.col("policy_key").cast("string"), "policy_type": F.lit("ACCESS")}
     )
     schema = audit_schema(spark)
@@ -159,16 +170,16 @@ def create_audit_tables(spark, sf_dir):
 @query(
     "dry_run_plan",
     """SELECT policy_key, policy_type, 'skipped' AS status, 'Dry run - not executed' AS message, 0 AS executed_count,
-      CAST(count(*) AS INTEGER) AS total_statements FROM all_sql GROUP BY policy_key, policy_type""",
+      CAST(count(sql) AS INTEGER) AS total_statements FROM touts LEFT JOIN all_sql USING (policy_key, policy_type) GROUP BY policy_key, policy_type""",
 )
 def dry_run_plan(spark, sf_dir):
-    run = fx.inputs(spark, sf_dir)
-    return audit.dry_run_plan(translate.translate_all(run, config(spark, sf_dir)))
+    run, statements = fx.inputs(spark, sf_dir), _statements(spark, sf_dir)
+    return audit.dry_run_plan(translate.output_policies(run, statements), statements)
 
 
 @query("apply_outcomes_skip", _SKIP)
 def apply_outcomes_skip(spark, sf_dir):
-    return audit.apply_outcomes_skip(_outcomes(spark, sf_dir))
+    return audit.apply_outcomes_skip(_outputs(spark, sf_dir), _outcomes(spark, sf_dir))
 
 
 @query(
@@ -177,10 +188,11 @@ def apply_outcomes_skip(spark, sf_dir):
       CASE WHEN stop IS NULL THEN 'Successfully executed ' || n || ' statements' ELSE 'Failed after ' || n || ' statements' END AS message,
       CAST(n AS INTEGER) AS executed_count, CAST(total AS INTEGER) AS total_statements, error_details FROM (
       SELECT policy_key, stop, count(*) AS total, count(*) FILTER (stop IS NULL OR statement_idx < stop) AS n, max(error) FILTER (statement_idx = stop) AS error_details
-      FROM (SELECT *, min(CASE WHEN NOT ok THEN statement_idx END) OVER (PARTITION BY policy_key) AS stop FROM outcomes) t GROUP BY policy_key, stop) s""",
+      FROM (SELECT *, min(CASE WHEN NOT ok THEN statement_idx END) OVER (PARTITION BY policy_key) AS stop FROM outcomes) t GROUP BY policy_key, stop) s
+      UNION ALL SELECT policy_key, 'success', 'Successfully executed 0 statements', 0, 0, NULL FROM base WHERE policy_key NOT IN (SELECT policy_key FROM outcomes)""",
 )
 def apply_outcomes_strict(spark, sf_dir):
-    return audit.apply_outcomes_strict(_outcomes(spark, sf_dir))
+    return audit.apply_outcomes_strict(_outputs(spark, sf_dir), _outcomes(spark, sf_dir))
 
 
 @query(

@@ -339,14 +339,21 @@ def secured_view(spark, sf_dir):
     "rows_visible_per_principal",
     """SELECT user_name, CASE WHEN user_name = 'user_7' THEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')
       WHEN segment_group = 'MACHINERY' THEN (SELECT count(*) FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
-      WHEN nation_group = 'NATION_3' THEN (SELECT count(*) FROM orders WHERE o_totalprice > 200000)
-      ELSE (SELECT count(*) FROM orders) END AS visible FROM fxprin""",
+      WHEN n_nationkey % 3 < 2 THEN (SELECT count(*) FROM orders WHERE o_totalprice > 1000 * (n_nationkey % 10) AND o_custkey % 2 = n_nationkey % 3)
+      ELSE (SELECT count(*) FROM orders) END AS visible FROM fxprin JOIN nation ON n_name = nation_group""",
 )
 def rows_visible_per_principal(spark, sf_dir):
     people = fx.relation(spark, sf_dir, fx.principals_sql, "customer", "nation", "region").select(
         "user_name", F.array("segment_group", "nation_group").alias("groups")
     )
-    rules = [*ORDER_FILTERS, FilterRule("group", "NATION_3", "o_totalprice > 200000")]
+    fixed = spark.createDataFrame([(i, r.kind, r.name, r.predicate) for i, r in enumerate(ORDER_FILTERS)], "rule_pos int, kind string, name string, predicate string")
+    # Two of three nations have a rule of their own, in a table.
+    n = F.col("n_nationkey")
+    nations = fx.table(spark, sf_dir, "nation").filter(n % 3 < 2).select(
+        (n + 10).cast("int").alias("rule_pos"), F.lit("group").alias("kind"), F.col("n_name").alias("name"),
+        F.format_string("o_totalprice > %d AND o_custkey %% 2 = %d", (n % 10 * 1000).cast("int"), (n % 3).cast("int")).alias("predicate"),
+    )
+    rules = fixed.unionByName(nations)
     return enforce.rows_visible_per_principal(people, rules, fx.table(spark, sf_dir, "orders"))
 
 

@@ -56,6 +56,7 @@ FROM (SELECT o_orderkey AS k, min(o_custkey) AS c, min(o_orderstatus) AS st, min
 
 
 def items_sql(d: Dialect, lineitem: str = "lineitem") -> str:
+    """One item per line; line numbers repeat, so the place follows from all columns."""
     return f"""
 SELECT policy_key, item_pos, CASE WHEN item_pos = 7 THEN 'deny' ELSE 'allow' END AS kind, s1, s2, p1, p2,
   CASE WHEN s1 % 3 = 0 THEN 'p_' || CAST(s1 AS STRING) END AS u1,
@@ -77,10 +78,13 @@ SELECT policy_key, item_pos, CASE WHEN item_pos = 7 THEN 'deny' ELSE 'allow' END
        WHEN 1 THEN 'region IN (''WEST'', ''CENTRAL'')  AND order_date >= ''2024-01-01''' WHEN 2 THEN 'TRUE' WHEN 3 THEN ''
        WHEN 4 THEN 'dept!=''hr'' OR name LIKE ''A%''' ELSE 'status IS NOT NULL AND CURRENT_DATE > day' END END AS filter_expr,
   rf, ls, qmin, qmax
-FROM (SELECT l_orderkey AS policy_key, CAST(l_linenumber AS BIGINT) AS item_pos, min(l_suppkey) AS s1, max(l_suppkey) AS s2,
-        min(l_partkey) AS p1, max(l_partkey) AS p2, min(l_quantity) AS qmin, max(l_quantity) AS qmax,
-        max(l_returnflag) AS rf, max(l_linestatus) AS ls
-      FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l"""
+FROM (SELECT l_orderkey AS policy_key, l_suppkey AS s1, l_partkey AS p1, l_quantity AS qmin, l_quantity AS qmax,
+        l_suppkey + CASE WHEN l_partkey % 3 = 0 THEN l_linenumber ELSE 0 END AS s2,
+        l_partkey + CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber ELSE 0 END AS p2,
+        l_returnflag AS rf, l_linestatus AS ls,
+        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+          l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS item_pos
+      FROM {lineitem}) AS l"""
 
 
 def resource_tags_sql(d: Dialect, part: str = "part") -> str:
@@ -305,7 +309,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, sf_dir, "mapping", lambda: relation(spark, sf_dir, mapping_sql, "supplier").coalesce(1))
+    return staged(spark, sf_dir, "mapping", lambda: relation(spark, sf_dir, mapping_sql, "supplier"))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palisade import constants as C
 from palisade.functions import identifiers as ids
 from palisade.operators import column_masks, filters, grants, resources, statements, tags, translate
 from palisade.operators.config import Config
@@ -277,6 +280,19 @@ def column_mask_statements(spark, sf_dir):
     )
 
 
+_CUSTOM = {"CUSTOM": "CONCAT(LEFT({column}, 1), '***')", "MASK": "'hidden'"}
+_ARMS = " ".join(f"WHEN {o.lit(k)} THEN {o.lit(v)}" for k, v in C.MASKS.items())
+o.CTES["r_mask_own"] = o.CTES["r_mask"].replace(_ARMS, " ".join(f"WHEN {o.lit(k)} THEN {o.lit(v)}" for k, v in {**C.MASKS, **_CUSTOM}.items()))
+
+
+@query("custom_mask_statements", f"SELECT policy_key, obj_pos, part, sql FROM ({o.finish('r_mask_own')}) f")
+def custom_mask_statements(spark, sf_dir):
+    """Column mask statements where the run brings mask types of its own."""
+    policies, c = fx.policies_frame(spark, sf_dir), replace(config(spark, sf_dir), masks=_CUSTOM)
+    rows = column_masks.column_mask_statements(policies, fx.mask_items(fx.fx_items(spark, sf_dir)), c)
+    return statements.finish_known(rows, policies).select("policy_key", "obj_pos", "part", "sql")
+
+
 # --- tags -----------------------------------------------------------------------------------------------
 
 
@@ -299,6 +315,17 @@ def merge_tag_pairs(spark, sf_dir):
     return rows.drop("scope").withColumnRenamed("column", "column_name")
 
 
+@query(
+    "tag_path_findings",
+    """SELECT DISTINCT path, CASE WHEN len(string_split(path, '.')) NOT IN (2, 3) THEN 'Resource tag path needs two or three parts'
+      ELSE 'Resource tag on every column of a table' END AS message FROM rtags
+    WHERE len(string_split(path, '.')) NOT IN (2, 3) OR (len(string_split(path, '.')) = 3 AND split_part(path, '.', 3) = '*')""",
+)
+def tag_path_findings(spark, sf_dir):
+    """Tagged paths that no statement can be made of, or that stand for every column."""
+    return tags.path_findings(fx.resource_tags(spark, sf_dir)).select("path", "message")
+
+
 @query("tag_catalog", "SELECT section, table_key, col AS column_name, pair_key, pair_value FROM pairs WHERE section < 2")
 def tag_catalog(spark, sf_dir):
     rows = tags.tag_catalog(fx.resource_tags(spark, sf_dir), fx.attributes(spark, sf_dir))

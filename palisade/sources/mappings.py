@@ -25,8 +25,9 @@ def with_override(
     fallback = F.col(value) if default is None else default
     if mapping is None:
         return df.withColumn(out, fallback)
-    chosen = mapping.filter(F.col("mapping_type") == kind).select(
-        F.col("source_value").alias(value), F.col("target_value").alias("__override")
+    # A value that is listed twice must not double the rows it is looked up for.
+    chosen = mapping.filter(F.col("mapping_type") == kind).groupBy(F.col("source_value").alias(value)).agg(
+        F.max("target_value").alias("__override")
     )
     joined = df.join(chosen, value, "left")
     return joined.withColumn(out, F.coalesce("__override", fallback)).drop("__override")
