@@ -64,7 +64,7 @@ def plan_overflow(loads: dict[int, int], owners: list[int], shards: int, slack:
                 room[shard] -= take
             if n > take:
                 moving.append((home, first + take, n - take))
-    return [(arc, first, shard) for arc, parts in stretches.items() for first, _, shard in sorted(parts)]
+    return sorted((arc, first, shard) for arc, parts in stretches.items() for first, _, shard in parts)
 
 
 def plan_evening(held: dict[int, int]) -> dict[int, list[tuple[int, int]]]:

@@ -71,6 +71,7 @@ def sketch(mins: np.ndarray) -> np.ndarray:
 def mismatches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of differing minima (by two bits each) between all rows of ``a`` and of ``b``."""
     half = SKETCH_WORDS // 2
+    a, b = a.view(np.uint64), b.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
     out = np.zeros((len(a), len(b)), np.int32)
     for w in range(half):
         x = a[:, None, w] ^ b[None, :, w]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import mixing, near_dup, packing, preference, ring, topk
 from palisade.llm.components import components
+from palisade.llm.shingles import minima, mismatches, sketch
 from palisade.llm.tokens import Encoder
 from tests.llm.conftest import ODD
 
@@ -74,7 +75,7 @@ def test_plan_is_as_good_as_one_piece_at_a_time():
     for limits in (packing.Limits(128), packing.Limits(128, 4, 9000)):
         lengths = np.minimum(rng.geometric(0.03, 1500), 94)
         rows = packing.plan(dict(Counter(lengths.tolist())), limits)
-        used = max(first + math.ceil(0) for _, _, _, first, _ in rows) + 1
+        used = max(first for _, _, _, first, _ in rows) + 1
         assert used <= best_fit(lengths, limits) * 1.01 + 1
     with pytest.raises(ValueError):
         packing.plan({200: 1}, packing.Limits(128))
@@ -310,6 +311,15 @@ def test_a_new_shard_moves_little_before_overflow():
     assert [x for x in b if x[1] < 40] == a
 
 
+def test_sketches_estimate_similarity():
+    rng, errors = np.random.default_rng(0), []
+    for _ in range(200):
+        base = rng.integers(0, 2**63, 46, dtype=np.uint64) * np.uint64(2)
+        a, b = (sketch(minima(np.unique(x)))[None] for x in (base[:43], base[3:]))
+        errors.append(int(mismatches(a, b)[0, 0]) - 256 * 0.75 * (1 - 40 / 46))
+    assert abs(np.mean(errors)) < 2 and np.std(errors) < 7
+
+
 # --- top k --------------------------------------------------------------------------------------------
 
 
