@@ -10,7 +10,7 @@ from palisade.functions.ordering import numbered, ordered_text
 from palisade.operators import column_masks, filters, grants, tags
 from palisade.operators.config import Config
 from palisade.operators.privileges import explode_principals, map_principal
-from palisade.operators.resources import not_translatable, reason_lines, routed, type_list
+from palisade.operators.resources import not_translatable, reason_lines, resource_values, routed, type_list
 from palisade.operators.statements import ORDER, finish, finish_known, raw_rows
 from palisade.session import write_through
 
@@ -213,3 +213,53 @@ def principals_text(attribution: DataFrame) -> DataFrame:
     return ordered_text(
         attribution, ["policy_key"], ["section", "obj_pos", "item_pos", "prin_pos"], "label", ", ", "principals", chunk
     )
+
+
+# --- the output policies themselves ------------------------------------------------------
+
+
+def _list_text(values: Column) -> Column:
+    """A list the way a script prints it: ``['a', 'b']``."""
+    return F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))
+
+
+def output_policy_table(run: Inputs, statements: DataFrame, config: Config) -> DataFrame:
+    """(policy_key, policy_id, policy_type, description, resource, principals), one row per output policy.
+
+    A policy's own description goes before the one made from its object; paths and policies that can't be
+    translated always get a made one. ``principals`` is the ordered list as text, '' for none.
+    """
+    kinds = output_policies(run, statements)
+    paths = _list_text(F.when(F.size(resource_values("path")) > 0, resource_values("path")).otherwise(resource_values("url")))
+    tag_list = F.array_join(F.array_sort(F.array_distinct(resource_values("tag"))), ", ")
+    tag = F.get(resource_values("tag"), F.lit(0))
+    p = routed(run.policies, config).select(
+        "policy_key", "policy_id", "name", F.nullif(F.coalesce("description", F.lit("")), F.lit("")).alias("own"), "route",
+        "resource_path", paths.alias("paths"), tag_list.alias("tag_list"), tag.alias("tag"), type_list().alias("types"),
+    )
+    kind = F.col("policy_type")
+    lost = F.when(F.col("route") == "row_filter", F.lit("row filter policy")).when(
+        F.col("route") == "column_mask", F.lit("column mask policy")
+    ).otherwise(F.lit("policy"))
+    made = (
+        F.when(kind == "EXTERNAL_LOCATION", F.concat(F.lit("External Location grant for path(s): "), "paths"))
+        .when(kind == "NOT_TRANSLATABLE", F.concat(F.lit("Cannot translate "), lost, F.lit(" '"), "name", F.lit("' to Unity Catalog")))
+        .when(F.col("own").isNotNull(), F.col("own"))
+        .when(kind == "ACCESS", F.concat(F.lit("Access policy for "), "resource_path"))
+        .when(kind == "ROW_FILTER", F.concat(F.lit("Row filter for "), "resource_path"))
+        .when(kind == "COLUMN_MASK", F.concat(F.lit("Column masking for "), "resource_path"))
+        .when(kind == "ACCESS_TAG", F.concat(F.lit("Tag-based access for: "), "tag_list"))
+        .when(kind == "COLUMN_MASK_TAG", F.concat(F.lit("Tag-based column masking for "), "tag"))
+    )
+    placeholder = F.concat(F.lit(f"{config.catalog}.{config.schema}.<table_with_"), "tag", F.lit(">"))
+    resource = (
+        F.when(kind == "EXTERNAL_LOCATION", F.concat(F.lit("EXTERNAL LOCATION "), "paths"))
+        .when(kind == "NOT_TRANSLATABLE", F.col("types"))
+        .when(kind == "ACCESS_TAG", F.concat(F.lit("TAG "), "tag_list"))
+        .when(kind == "COLUMN_MASK_TAG", placeholder)
+        .otherwise(F.col("resource_path"))
+    )
+    who = principals_text(principal_attribution(run, config))
+    rows = kinds.join(p, "policy_key").join(who, "policy_key", "left")
+    named = F.when(kind == "NOT_TRANSLATABLE", F.lit("")).otherwise(F.coalesce("principals", F.lit("")))
+    return rows.select("policy_key", "policy_id", kind, made.alias("description"), resource.alias("resource"), named.alias("principals"))

@@ -12,7 +12,7 @@ from palisade.plans import fixtures as fx
 from palisade.plans import oracle as o
 from palisade.plans.registry import query
 from palisade.plans.translation_queries import (
-    _FILTER_ERRORS, _MASK_ERRORS, _TAG_MASK_ERRORS, config, numbered_statements,
+    _ATTRIBUTION, _DISTINCT, _FILTER_ERRORS, _MASK_ERRORS, _TAG_MASK_ERRORS, config, numbered_statements,
 )
 from palisade.session import scratch_dir
 from palisade.sources import documents as docs
@@ -105,6 +105,33 @@ o.CTES["touts"] = (
 )
 
 
+_WHO = f"""SELECT policy_key, string_agg(label, ', ' ORDER BY section, obj_pos, item_pos, prin_pos) AS principals FROM ({_ATTRIBUTION}
+    UNION ALL SELECT policy_key, place[1], 0, place[2], place[3], label FROM ({_DISTINCT}) d) a GROUP BY policy_key"""
+_PATH_LIST = """SELECT policy_key, '[''' || string_agg(path, ''', ''' ORDER BY obj_pos) || ''']' AS pathlist FROM paths GROUP BY policy_key"""
+
+
+@query(
+    "output_policies",
+    f"""SELECT policy_key, policy_id, t.policy_type,
+      CASE t.policy_type WHEN 'EXTERNAL_LOCATION' THEN 'External Location grant for path(s): ' || pathlist
+        WHEN 'NOT_TRANSLATABLE' THEN 'Cannot translate ' || CASE route WHEN 'row_filter' THEN 'row filter policy' WHEN 'column_mask' THEN 'column mask policy'
+          ELSE 'policy' END || ' ''' || name || ''' to Unity Catalog'
+        ELSE coalesce(nullif(description, ''), CASE t.policy_type WHEN 'ACCESS' THEN 'Access policy for ' || res WHEN 'ROW_FILTER' THEN 'Row filter for ' || res
+          WHEN 'COLUMN_MASK' THEN 'Column masking for ' || res WHEN 'ACCESS_TAG' THEN 'Tag-based access for: ' || taglist
+          ELSE 'Tag-based column masking for ' || tag1 END) END AS description,
+      CASE t.policy_type WHEN 'EXTERNAL_LOCATION' THEN 'EXTERNAL LOCATION ' || pathlist
+        WHEN 'NOT_TRANSLATABLE' THEN CASE WHEN len(kinds) = 0 THEN '[]' ELSE '[''' || array_to_string(kinds, ''', ''') || ''']' END
+        WHEN 'ACCESS_TAG' THEN 'TAG ' || taglist WHEN 'COLUMN_MASK_TAG' THEN 'main.ranger_migration.<table_with_' || tag1 || '>' ELSE res END AS resource,
+      CASE t.policy_type WHEN 'NOT_TRANSLATABLE' THEN '' ELSE coalesce(principals, '') END AS principals
+    FROM touts t JOIN (SELECT * EXCLUDE (policy_type), array_to_string(list_sort(list_distinct(list_filter([tag1, tag2], lambda x: x IS NOT NULL))), ', ') AS taglist
+      FROM pol) p USING (policy_key) LEFT JOIN ({_PATH_LIST}) l USING (policy_key) LEFT JOIN ({_WHO}) w USING (policy_key)""",
+)
+def output_policies(spark, sf_dir):
+    """What a run makes of each policy: its kind, description, object and principals."""
+    run = fx.inputs(spark, sf_dir)
+    return translate.output_policy_table(run, _statements(spark, sf_dir), config(spark, sf_dir))
+
+
 @query(
     "append_translation_log",
     """SELECT source AS metadata, CAST(n AS INTEGER) AS ranger_policy_count, CAST(coalesce(u, 0) AS INTEGER) AS uc_policy_count,
