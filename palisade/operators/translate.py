@@ -104,13 +104,41 @@ def output_policies(run: Inputs, statements: DataFrame) -> DataFrame:
     return statements.select("policy_key", "policy_type").unionByName(masks).distinct()
 
 
-def number_statements(statements: DataFrame, keys: list[str], tiers: list[str], order: list[str]) -> DataFrame:
-    """``stmt_no`` of ``stmt_total`` per source."""
-    return numbered(statements, keys, [F.col(c) for c in order], tiers, "stmt_no", "stmt_total")
+POLICIES_PER_TIER = 4096
+ROWS_PER_TIER = 512
 
 
-def statement_order() -> list[str]:
-    return list(ORDER)
+def number_statements(statements: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """``stmt_no`` of ``stmt_total`` per ``keys``: policies by ``place``, statements in their own order.
+
+    The last column of ``place`` is a number. Rows are counted in three tiers: runs of policies; object and
+    run of items; item and run of principals. So neither a huge policy nor an item of a million
+    users is one window. The input is read once per tier: start from a written table.
+    """
+    run = F.floor(F.col(place[-1]) / POLICIES_PER_TIER)
+    tiers = {
+        "__policies": F.struct(*place[:-1], run.alias("run")),
+        "__items": F.struct(
+            place[-1], *[c for c in ORDER if c not in ("item_pos", "prin_pos", "acc_pos", "part")],
+            F.floor(F.col("item_pos") / ROWS_PER_TIER).alias("items"),
+        ),
+        "__principals": F.struct("item_pos", F.floor(F.col("prin_pos") / ROWS_PER_TIER).alias("principals")),
+    }
+    order = [F.col(c) for c in (*place, *ORDER)]
+    placed = numbered(statements.withColumns(tiers), keys, order, list(tiers), "stmt_no", "stmt_total")
+    return placed.drop(*tiers).withColumns({c: F.col(c).cast("bigint") for c in ("stmt_no", "stmt_total")})
+
+
+def file_statements(statements: DataFrame, policies: DataFrame) -> DataFrame:
+    """Statements of ingested policies with ``source`` and their number there, in the order of the file.
+
+    ``policies`` is that of ``documents.policy_tables``: block, section and place say where in the file a policy is.
+    """
+    places = policies.select(
+        "policy_key", "source", F.col("block_pos").alias("file_block"), F.col("section").alias("file_section"), F.col("pos").alias("file_pos")
+    )
+    rows = write_through(statements.join(places, "policy_key"), "file_order")
+    return number_statements(rows, ["source"], ["file_block", "file_section", "file_pos"])
 
 
 # --- who an output policy is about --------------------------------------------------

@@ -506,15 +506,10 @@ def number_statements(spark, sf_dir):
 
 
 def numbered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements per source in policy order; tiers of 4096 policies, then one policy.
-
-    Numbering reads its input once per tier, so it starts from a written table.
-    """
+    """Statements per source in policy order."""
     run = fx.inputs(spark, sf_dir)
     sources = run.policies.select("policy_key", F.col("priority").alias("source"))
     rows = fx.staged(
         spark, sf_dir, "statements", lambda: translate.translate_all(run, config(spark, sf_dir))
-    ).join(sources, "policy_key").withColumn("tier", F.expr("policy_key div 4096"))
-    order = ["policy_key", *statements.ORDER]
-    placed = translate.number_statements(rows, ["source"], ["tier", "policy_key", "section", "obj_key"], order)
-    return placed.withColumns({c: F.col(c).cast("bigint") for c in ("stmt_no", "stmt_total")})
+    ).join(sources, "policy_key")
+    return translate.number_statements(rows, ["source"], ["policy_key"])

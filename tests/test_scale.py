@@ -1,13 +1,17 @@
 """Skew, ordering and plan shape."""
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions.ordering import numbered, ordered_text
-from palisade.operators import enforce
+from palisade.operators import enforce, translate
+from palisade.operators.config import Config
 from palisade.operators.enforce import FilterRule, MaskRule, Principal
+from palisade.operators.translate import Inputs
 from palisade.plans import fixtures as fx
 from palisade.sources import documents, sinks
 
@@ -52,6 +56,36 @@ def test_script_of_a_hot_source_is_several_ordered_files(spark, tmp_path):
     assert [line for line in text.splitlines() if line.startswith("GRANT")] == [r[3] for r in rows[:900]]
 
 
+def test_a_file_of_many_policies_keeps_its_order(spark):
+    policy = lambda i: {
+        "id": 100 - i, "name": f"p{i}", "policyType": 0, "resources": {"database": {"values": ["d"]}, "table": {"values": [f"t{i}"]}},
+        "policyItems": [{"users": [f"u{k}" for k in range(3)], "accesses": [{"type": "select"}, {"type": "update"}]}],
+    }
+    docs = spark.createDataFrame([("f", json.dumps({"policies": [policy(i) for i in range(25)]}))], "source string, json string")
+    t = documents.policy_tables(docs)
+    empty = lambda kinds: spark.createDataFrame([], kinds)
+    run = Inputs(
+        t.policies.withColumn("scope", F.lit("")), t.access_items, t.filter_items, t.mask_items, empty("scope string, tag string"),
+        empty("scope string, tag string, attr_pos int, attr_key string, attr_value string"),
+        empty("scope string, path string, path_pos bigint, tag_pos bigint, tag string"),
+    )
+    rows = translate.file_statements(translate.translate_all(run, Config()), t.policies).orderBy("stmt_no").collect()
+    grants = [re.search(r"GRANT (\w+) ON TABLE \S+\.(t\d+) TO `(u\d)`", r.sql).groups() for r in rows]
+    assert [g[1:] for g in grants[::2]] == [(f"t{i}", f"u{k}") for i in range(25) for k in range(3)]
+    assert [r.stmt_no for r in rows] == list(range(1, 151)) and {r.stmt_total for r in rows} == {150}
+
+
+def test_numbering_splits_a_hot_item_and_a_hot_policy(spark):
+    rows = [(1, 0, "", 0, p, a) for p in range(1500) for a in range(2)] + [(1, 0, "", i, 0, 0) for i in range(1, 700)] + [(2, 0, "o", 0, 0, 0)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, section int, obj_key string, item_pos long, prin_pos int, acc_pos int").withColumns(
+        {"source": F.lit("s"), "obj_pos": F.lit(0), "obj_sub": F.lit(""), "part": F.lit(0)}
+    )
+    got = translate.number_statements(df, ["source"], ["k"]).orderBy("stmt_no").collect()
+    assert [(r.k, r.section, r.obj_key, r.item_pos, r.prin_pos, r.acc_pos) for r in got] == sorted(rows, key=lambda r: r[:2] + r[3:])
+    assert [r.stmt_no for r in got] == list(range(1, len(rows) + 1))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -76,7 +110,7 @@ def test_a_row_filter_never_adds_rows_and_unlisted_principals_see_all(spark):
 
 def test_visible_rows_needs_no_cross_join_of_principals_and_data(spark):
     people = spark.createDataFrame([("u", ["g"]), ("x", [])], "user_name string, groups array<string>")
-    rules = [FilterRule("group", "g", "o_orderstatus = 'F'")]
+    rules = spark.createDataFrame([(0, "group", "g", "o_orderstatus = 'F'"), (1, "user", "u", "true")], "rule_pos int, kind string, name string, predicate string")
     df = enforce.rows_visible_per_principal(people, rules, fx.table(spark, SF, "orders"))
     assert "Cartesian" not in _plan(df)
     assert dict(map(tuple, df.collect()))["x"] == fx.table(spark, SF, "orders").count()
