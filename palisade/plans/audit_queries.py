@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from palisade import constants as C
 from palisade.operators import audit, translate, validate
 from palisade.operators.config import Config
 from palisade.plans import fixtures as fx
@@ -60,18 +61,23 @@ _NUMBERED = f"""SELECT priority AS source, policy_key, CAST(row_number() OVER (P
   CAST(count(*) OVER (PARTITION BY priority) AS BIGINT) AS stmt_total, sql FROM all_sql JOIN base USING (policy_key)"""
 
 
+_RULE = o.lit(C.SCRIPT_RULE)
+
+
 @query(
     "write_sql_script",
-    f"SELECT source, '-- Statement ' || stmt_no || ' of ' || stmt_total AS banner FROM ({_NUMBERED}) t",
+    f"""SELECT source, stmt_no, {_RULE} || chr(10) || '-- Statement ' || stmt_no || ' of ' || stmt_total || chr(10) || {_RULE} || chr(10) || {o.strip('sql')} AS block
+    FROM ({_NUMBERED}) t""",
 )
 def write_sql_script(spark, sf_dir):
-    """Write one script per source, read the scripts back and list their banners."""
+    """Write one script per source, read the scripts back and take them apart at the banners."""
     path = scratch_dir(spark, "scripts")
     sinks.write_sql_script(numbered_statements(spark, sf_dir), path)
-    lines = spark.read.schema("value string, source string").text(path)
-    return lines.filter(F.col("value").rlike("^-- Statement [0-9]+ of [0-9]+$")).select(
-        "source", F.col("value").alias("banner")
-    )
+    files = spark.read.schema("value string, source string").text(path, wholetext=True)
+    blocks = F.split("value", f"(?m)(?=^{C.SCRIPT_RULE}\n-- Statement [0-9]+ of [0-9]+\n)")
+    rows = files.select("source", F.explode(blocks).alias("block")).filter("block <> ''")
+    number = F.regexp_extract("block", "-- Statement ([0-9]+) of", 1).cast("bigint")
+    return rows.select("source", number.alias("stmt_no"), F.regexp_replace("block", "\n+\\z", "").alias("block"))
 
 
 @query("append_history", "SELECT event_id, CAST(event_id % 7 AS INTEGER) AS policies FROM events ORDER BY ts DESC, event_id LIMIT 200")
