@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import mixing, near_dup, packing, quality, secrets
+from palisade.llm.text import free_names
 from palisade.session import write_through
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the production policy."""
-    return quality.ledger(docs).filter(quality.passes(quality.PRODUCTION)).select(*docs.columns)
+    (bits,) = free_names(docs, "__ledger")
+    judged = quality.ledger(docs, out=bits)
+    return judged.filter(quality.passes(quality.PRODUCTION, column=bits)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,33 +94,33 @@ def _measured(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
     return computed_once(df, **{names[4]: F.coalesce(total, F.lit(0).cast("long"))}).drop(places), names
 
 
-def ledger(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with one struct column ``ledger``: the measurements and ``fail_bits``.
+def ledger(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, out: str = "ledger") -> DataFrame:
+    """``docs`` with one struct column ``out``: the measurements and ``fail_bits``.
 
     A null text counts as an empty one: all measurements are 0, and the rules see zeros. Rows are
     judged one by one, so repeated rows, ties and an empty table need no special treatment. All
-    other columns are kept; a column of ``docs`` called ``ledger`` is an error.
+    other columns are kept; a column of ``docs`` that is called ``out`` is replaced.
     """
-    if "ledger" in (c.lower() for c in docs.columns):
-        raise ValueError("docs already has a column named ledger")
-    kept = list(docs.columns)
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
     df, names = _measured(docs, text)
     measures = F.struct(*[F.col(n).alias(m) for n, m in zip(names, MEASURES)])
-    df = df.select(*[F.col(f"`{c}`") for c in kept], measures.alias("ledger"))
+    df = df.select(*[F.col(f"`{c}`") for c in kept], measures.alias(out))
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
-        fails = F.expr(_over_struct(rule.fails))
+        fails = F.expr(_over_struct(rule.fails, out))
         bits = bits + F.when(fails, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return df.withColumn("ledger", F.col("ledger").withField("fail_bits", bits))
+    return df.withColumn(out, F.col(out).withField("fail_bits", bits))
 
 
-def _over_struct(sql: str) -> str:
-    return re.sub(rf"\b({'|'.join(MEASURES)})\b", r"ledger.\1", sql)
+def _over_struct(sql: str, struct: str) -> str:
+    return re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"`{struct}`.\1", sql)
 
 
-def passes(policy: str, policies: Mapping[str, Sequence[str]] = POLICIES, rules: Sequence[Rule] = RULES) -> Column:
+def passes(
+    policy: str, policies: Mapping[str, Sequence[str]] = POLICIES, rules: Sequence[Rule] = RULES, column: str = "ledger"
+) -> Column:
     """True where no rule of the policy failed; reads only the stored bits."""
-    return F.col("ledger.fail_bits").bitwiseAND(F.lit(mask_of(policies[policy], rules)).cast("long")) == 0
+    return F.col(column)["fail_bits"].bitwiseAND(F.lit(mask_of(policies[policy], rules)).cast("long")) == 0
 
 
 def ablations(
