@@ -30,7 +30,9 @@ TREES, DEPTH = 16, 6
 #: Members of a node that is compared as it is.
 LEAF = 384
 #: Full sets compared in one task are at most two blocks; above BLOCKS blocks a group goes by its nodes.
-BLOCK, BLOCKS = 192, 24
+BLOCK, BLOCKS = 96, 48
+#: Texts that a Python worker holds as objects at a time.
+TEXTS = 256
 #: Standard deviations that a sketch may err before a true link is missed.
 SLACK = 4.8
 assert TREES * DEPTH <= MINHASHES
@@ -38,10 +40,16 @@ assert TREES * DEPTH <= MINHASHES
 _SKETCH_TYPE = "doc_id bigint, th bigint, n_shingles bigint, vid binary, tokens array<int>, sketch array<bigint>"
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, vids, tokens, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text or "", known, width)
@@ -123,7 +131,7 @@ def _with_sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches):
             kept, sets = [], []
             vids = batch.column(0).to_pylist()
             for i, text in enumerate(batch.column(2).to_pylist()):
