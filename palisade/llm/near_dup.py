@@ -4,7 +4,8 @@ Documents with the same shingle set are one vertex. In each of ``trees`` indepen
 vertices branch by one selected minwise token per level. A node with few members is compared
 exhaustively on 512-bit minwise sketches; a larger one branches on, and one that is still large at
 the last level is taken as one group of candidates. Two sets of similarity s are compared in one
-tree with probability at least s^depth, so the number of trees sets the recall.
+tree with probability at least s^depth, so the number of trees sets the recall; a lower threshold
+takes more of them.
 
 The sketches only propose: inside every group of candidates all full shingle sets are intersected,
 and only links at or above the threshold count. A group too large for one task is compared in pairs
@@ -46,7 +47,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
-def _sketched(width: int):
+def _trees(threshold: int) -> int:
+    """Trees that miss a pair at ``threshold`` no more often than TREES miss one at 0.85, as far as there are minima."""
+    miss = lambda share: math.log(1 - share**DEPTH)
+    wanted = TREES if threshold >= 85 else math.ceil(TREES * miss(0.85) / miss(max(1, threshold) / 100))
+    return min(wanted, MINHASHES // DEPTH)
+
+
+def _sketched(width: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in _parts(batches):
@@ -57,7 +65,7 @@ def _sketched(width: int):
                 if len(s):
                     m = minima(s)
                     vids.append(set_id(s))
-                    tokens.append(m[: TREES * DEPTH].view(np.int32))
+                    tokens.append(m[: trees * DEPTH].view(np.int32))
                     sketches.append(sketch(m))
                 else:
                     vids.append(None)
@@ -198,9 +206,9 @@ def _pairs_of_blocks(key: str, vid: str, size: str):
     return F.when(F.col(size) <= 2 * BLOCK, F.array(F.xxhash64(key))).otherwise(pairs)
 
 
-def _branched(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _branched(vertices: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     """Members of small nodes (node, vid) and of nodes that stay large (node, vid, cnt)."""
-    rows = vertices.select("vid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select(
+    rows = vertices.select("vid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select(
         F.xxhash64("t", F.get("tokens", F.col("t") * DEPTH)).alias("node"), "vid",
         F.slice("tokens", F.col("t") * DEPTH + 2, DEPTH - 1).alias("rest"),
     )
@@ -234,11 +242,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5, doc_id
     Repeated doc_ids with different texts are different documents. An empty table gives an empty
     table. Further columns of ``docs`` are not looked at.
     """
-    spark = docs.sparkSession
+    trees = _trees(threshold)
     source = docs.select(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text")
     )
-    sketches = write_through(source.mapInArrow(_sketched(width), _SKETCH_TYPE), "sketches")
+    sketches = write_through(source.mapInArrow(_sketched(width, trees), _SKETCH_TYPE), "sketches")
     with_set = sketches.filter("n_shingles > 0")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
     vertices = write_through(
@@ -248,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5, doc_id
         ),
         "vertices",
     )
-    leaves, large = _branched(vertices.select("vid", "tokens"))
+    leaves, large = _branched(vertices.select("vid", "tokens"), trees)
     members = leaves.join(vertices.select("vid", "n", "sketch"), "vid").groupBy("node").agg(
         F.collect_list(F.struct("vid", "n", "sketch")).alias("members")
     )

@@ -63,6 +63,28 @@ def test_one_of_each_group_stays(stages):
     assert {r.doc_id for r in made.collect()} == {r.component_id for r in found} and made.count() < given.count()
 
 
+def test_near_copies_at_0_8_go(spark):
+    from tests.llm.test_corpus_operators import components_of, shingles
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = [f"w{i}" for i in range(200)]
+    # One changed word in the middle of n makes (n - 9) / (n + 1) of the 5-word shingles common: 0.80, 0.82, 0.84 and below 0.8.
+    made = []
+    for k, n in enumerate((49, 54, 60, 46)):
+        text = words[k * 30 : k * 30 + n]
+        made += [(10**6 + 2 * k, " ".join(text)), (10**6 + 2 * k + 1, " ".join([*text[: n // 2], "other", *text[n // 2 + 1 :]]))]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in made], docs.schema))
+    rows = docs.select("doc_id", "text").collect()
+    sets = [shingles(r.text) for r in rows]
+    want = {}
+    for root, r, s in zip(components_of(sets, 80), rows, sets):
+        if s:
+            want[root] = min(want.get(root, r.doc_id), r.doc_id)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert {r.doc_id for r in got if shingles(r.text)} == set(want.values())
+    assert {i for i, _ in made} - {r.doc_id for r in got} == {10**6 + 1, 10**6 + 3, 10**6 + 5}
+
+
 def test_no_secret_is_left(stages):
     given, made = stages[2]
     assert any(base_spans(r.text) for r in given.collect())
