@@ -3,14 +3,20 @@
 Beside the patterns, a candidate is a long run of token characters that follows a sensitive word. Its
 novelty is what it adds to the compressed size of its surroundings, per byte, when the zstandard
 compressor already knows a dictionary of common identifiers. Names, paths and words repeat what stands
-around them or in the dictionary and cost little; keys and passwords cost nearly all their bytes.
+around them or in the dictionary and cost little; keys and passwords cost nearly all their bytes, or,
+where the compressor writes fewer bits for each character of a small alphabet, what random characters of
+that alphabet cost in the same place. A long candidate is judged by its stretches, so that length
+does not lower the verdict.
 Everything is within a row: no shuffle, memory is one Arrow batch.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -45,12 +51,40 @@ IDENTIFIERS = (
 )
 
 
+#: Whole alphabets of encodings; a candidate of other characters is taken to be of all letters of its cases, digits and signs.
+_ALPHABETS = ("0123456789ABCDEF", "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + "234567")
+#: Random strings that a candidate is held against.
+_SAMPLES = 3
+
+
+def _alphabet(run: str) -> str:
+    """The characters that a run is drawn from."""
+    own = set(run)
+    for one in _ALPHABETS:
+        if own.issubset(one):
+            return one
+    kinds = [kind for kind in (string.ascii_uppercase, string.ascii_lowercase, string.digits) if not own.isdisjoint(kind)]
+    return "".join(sorted(own.union(*kinds)))
+
+
+@functools.lru_cache(4096)
+def _sample(alphabet: str, n: int, seed: int) -> bytes:
+    return "".join(random.Random(seed).choices(alphabet, k=n)).encode()
+
+
+def _is_mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
 @dataclass(frozen=True)
 class Novelty:
-    """When a candidate is reported: ``least`` characters, ``share`` new bytes per byte, ``reach`` characters after a sensitive word."""
+    """When a candidate is reported: ``least`` characters, ``reach`` characters after a sensitive word, and of one stretch of
+    ``width`` characters ``share`` new bytes per byte, or ``like`` times the new bytes of random characters of its alphabet."""
 
     least: int = 16
     share: float = 0.95
+    like: float = 0.85
+    width: int = 32
     reach: int = 48
     around: int = 256
     level: int = 3
@@ -78,13 +112,26 @@ class Scanner:
         found.sort()
         return found
 
-    def share(self, text: str, start: int, end: int) -> float:
-        """Bytes that text[start:end] adds to its compressed surroundings, per byte of its own."""
-        a = self.novelty.around
-        before, after = text[max(0, start - a) : start], text[end : end + a]
-        around = (before + after).encode("utf-8", "surrogatepass")
-        value = text[start:end].encode("utf-8", "surrogatepass")
-        return (len(self.compress(around + value)) - len(self.compress(around))) / len(value)
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        """Whether text[start:end], or a stretch of it, adds to its compressed surroundings what a random string would."""
+        n = self.novelty
+        around = (text[max(0, start - n.around) : start] + text[end : end + n.around]).encode("utf-8", "surrogatepass")
+        known = len(self.compress(around))
+        width = min(n.width, end - start)
+        drawn = None
+        for at in [*range(start, end - width, max(1, width // 2)), end - width]:
+            value = text[at : at + width]
+            if not _is_mixed(value):
+                continue
+            added = len(self.compress(around + value.encode())) - known
+            if added >= n.share * width:
+                return True
+            if drawn is None:
+                alphabet = _alphabet(text[start:end])
+                drawn = sum(len(self.compress(around + _sample(alphabet, width, k))) - known for k in range(_SAMPLES)) / _SAMPLES
+            if added >= n.like * drawn:
+                return True
+        return False
 
     def novel(self, text: str, taken: Sequence[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Incompressible strings in sensitive context that no base span touches."""
@@ -99,8 +146,7 @@ class Scanner:
                 seen = max(seen, end)
                 if end - start < n.least or any(s < end and start < e for s, _, e, _ in taken):
                     continue
-                mixed = any(c.isdigit() for c in text[start:end]) and any(c.isalpha() for c in text[start:end])
-                if mixed and self.share(text, start, end) >= n.share:
+                if self.is_novel(text, start, end):
                     found.append((start, 3, end, start))
         return found
 

@@ -92,6 +92,32 @@ def test_secrets_base_rules_and_novelty(make_docs, odd_docs):
     assert spans[106] == ""
 
 
+def test_long_keys_of_every_alphabet_are_novel():
+    rng, scanner = random.Random(11), secrets.Scanner(secrets.Novelty())
+    letters_ = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ("0123456789ABCDEF", letters_ + "0123456789", letters_.upper() + "234567", letters_ + letters_.upper() + "0123456789+/")
+    prose = [
+        "The committee met again in the spring, when the river had gone down and most of the roads were open to carts. ",
+        "Nobody could say how the lamp had been moved, for the door was locked and its only key lay in a drawer upstairs. ",
+    ]
+    code = [
+        "def load(path, key=None):\n    with open(path) as f:\n        return {k: int(v) for k, v in json.load(f).items()}\n\n",
+        "for (int i = 0; i < n; ++i) {\n  if (buf[i] == 0x1F) return -1;\n  out->size += width * 4;\n}\n",
+    ]
+    for alphabet in alphabets:
+        for n in (16, 24, 32, 48, 64, 88, 128, 172, 256, 512, 1000, 2000):
+            found = 0
+            for k in range(20):
+                key = "".join(rng.choices(alphabet, k=n))
+                around = rng.choices((prose, code)[k % 2], k=6)
+                before = "".join(around[:3]) + "key = "
+                spans = scanner.spans(before + key + "\n" + "".join(around[3:]))[1]
+                found += any(s <= len(before) and e >= len(before) + n for s, _, e, _ in spans)
+            assert found == 20 if n > 32 else found >= 16, (alphabet, n, found)
+    for name in ("index_page_number_12_of_the_list_of_index_pages_and_numbers_of_the_example_document_version_2", "user_name_" * 9 + "1"):
+        assert scanner.spans("".join(prose) + "the key is " + name + " and " + "".join(prose))[1] == []
+
+
 def test_redaction_leaves_no_secret(make_docs, odd_docs, no_docs):
     out = secrets.redact(make_docs(SECRETS).unionByName(odd_docs), length="n_chars")
     rows = out.collect()
