@@ -3,8 +3,8 @@
 A node of the page tree has a density: its characters per tag, where characters and tags inside links
 count against it. The sum over a node's children is large where many dense blocks stand side by side,
 so the subtree with the largest sum is the article. The least density on the way from it up to the body
-is the threshold: parts of the subtree that lie below it, and that are mostly links, are left out, as
-are elements that never hold an article's text (menus, headers, footers, forms, scripts, comments and
+is the threshold: blocks elsewhere that reach it widen the subtree to the wrapper of them all, and
+parts that lie below it, and that are mostly links, are left out, as are elements that never hold an article's text (menus, headers, footers, forms, scripts, comments and
 the like, by element name, role, or a word of their class or id).
 
 Everything happens within a row; memory is one Arrow batch and one page's tree.
@@ -215,17 +215,32 @@ def _main(root: Node) -> tuple[Node, float]:
         return root, 0.0
     best = max(candidates, key=lambda n: (n.total, -n.tags))
     # The sum peaks at the node whose children are the blocks; one that is marked as the article, or the
-    # wrapper that holds nearly all of what is left of the page, is that node's better boundary.
-    for up in _path(best):
-        if up in marked:
-            best = up
-    body = next((n for n in order if n.name == "body"), root)
+    # wrapper of all blocks that reach the threshold, is that node's better boundary.
+    if inside := [up for up in _path(best) if up in marked]:
+        return inside[-1], min(n.density for n in _to_body(inside[-1]))
+    path = _to_body(best)
+    threshold = min(n.density for n in path)
+    places = {id(n): i for i, n in enumerate(path)}
+    widest = 0
+    for n in order:
+        # Where the way up from here meets the path.
+        place = places.setdefault(id(n), places.get(id(n.parent), 0))
+        if place > widest and (_own(n) >= threshold if n is path[place] else _is_dense(n, threshold)):
+            widest = place
+    return path[widest], threshold
+
+
+def _to_body(node: Node) -> list[Node]:
     path = []
-    for up in _path(best):
+    for up in _path(node):
         path.append(up)
-        if up is body:
+        if up.name == "body":
             break
-    return best, min(n.density for n in path)
+    return path
+
+
+def _is_dense(node: Node, threshold: float) -> bool:
+    return node.name not in _INLINE and node.chars > 0 and node.density >= threshold and node.link_chars * 2 <= node.chars
 
 
 def _blocks(node: Node, threshold: float) -> list[str]:

@@ -190,6 +190,20 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_every_section_of_an_article_is_kept():
+    line = "word " * 39 + "last."
+    links = "<div><ul>" + "".join(f"<li><a href=x{i}>Item {i}</a></li>" for i in range(12)) + "</ul></div>"
+    for tag in ("section", "div"):
+        for sections in range(2, 11):
+            for paragraphs in (1, 3, 10, 20):
+                blocks = [[f"Part {i}", *(f"{i} {j} {line}" for j in range(paragraphs))] for i in range(sections)]
+                body = "".join(f"<{tag}><h2>{b[0]}</h2>" + "".join(f"<p>{x}</p>" for x in b[1:]) + f"</{tag}>" for b in blocks)
+                want = "\n".join(["Title", *(x for b in blocks for x in b)])
+                for page in (f"<body>{links}<div id=content><h1>Title</h1>{body}</div>{links}</body>", f"<body><h1>Title</h1>{body}{links}</body>"):
+                    assert html_text.main_text(page) == want, (tag, sections, paragraphs)
+    assert html_text.main_text(f"<main><body><p>{line}</p></body></main>") == line
+
+
 def test_pages_of_the_test_tables(spark):
     import html
 
