@@ -5,7 +5,8 @@ count against it. The sum over a node's children is large where many dense block
 so the subtree with the largest sum is the article. The least density on the way from it up to the body
 is the threshold: blocks elsewhere that reach it widen the subtree to the wrapper of them all, and
 parts that lie below it, and that are mostly links, are left out, as are elements that never hold an article's text (menus, headers, footers, forms, scripts, comments and
-the like, by element name, role, or a word of their class or id).
+the like, by element name, role, or a word of their class or id). A form or a class or id of that kind
+says little where it wraps the page: such a mark goes if most of the text, or the only article, is inside.
 
 Everything happens within a row; memory is one Arrow batch and one page's tree.
 """
@@ -45,6 +46,14 @@ _NEVER_WORDS = {
     "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "reader",
     "search", "form", "toolbar", "skip", "copyright", "legal", "disclaimer", "tracking", "hidden",
 }
+#: Elements that may as well wrap a whole page, and words that never name such a wrapper.
+_WRAPPERS = {"form", "fieldset"}
+_NEVER_WRAPPERS = {
+    "hidden", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "cookie", "cookies", "consent", "gdpr",
+    "advert", "adverts", "advertisement", "advertising", "adsense", "related", "recommended", "recommendations",
+}
+#: Share of the unlinked text of a page that is most of it.
+_MOST = 0.75
 #: A start tag of one of these ends an open element of the second set.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -55,39 +64,43 @@ _HAVING = {"has", "with", "no", "without"}
 
 
 class Node:
-    __slots__ = ("name", "never", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "never", "wraps", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, never: bool, parent: Node | None) -> None:
-        self.name, self.never, self.parent = name, never, parent
+    def __init__(self, name: str, never: bool, parent: Node | None, wraps: bool = False) -> None:
+        self.name, self.never, self.parent, self.wraps = name, never, parent, wraps  # wraps: never, unless it wraps the page
         self.children: list[Node | str] = []
 
 
-def _is_never(name: str, attributes: str, parent: Node) -> bool:
-    if name in _NEVER:
-        return True
+def _is_never(name: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether that is undone where it wraps the page."""
+    if name in _NEVER and name not in _WRAPPERS:
+        return True, False
     # A header inside an article holds its title; elsewhere it is the page's.
     if name == "header":
         up = parent
         while up is not None and up.name not in ("article", "main"):
             up = up.parent
-        return up is None
+        return up is None, False
+    never = wraps = name in _WRAPPERS
     if not attributes.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return never, wraps
     for m in _NAMED.finditer(attributes):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
-            return True
+            return True, False
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+            return True, False
         if key == "role" and value.strip().lower() in _NEVER_ROLES:
-            return True
+            return True, False
         if key in ("class", "id"):
             # Each name by its words; "has-sidebar" speaks of something else.
             for one in value.split():
                 words = _WORDS.findall(one)
                 if not _HAVING.intersection(words[:1]) and not _NEVER_WORDS.isdisjoint(w.lower() for w in words):
-                    return True
-    return False
+                    never = wraps = True
+                    if not _NEVER_WRAPPERS.isdisjoint(w.lower() for w in words):
+                        return True, False
+    return never, wraps
 
 
 def parse(page: str) -> Node:
@@ -120,7 +133,8 @@ def parse(page: str) -> Node:
         if name in ("html", "body") and at.parent is not None and any(c.name == name for c in _path(at)):
             continue
         at = _closed_before(name, at)
-        node = Node(name, _is_never(name, attributes, at), at)
+        never, wraps = _is_never(name, attributes, at)
+        node = Node(name, never, at, wraps)
         if name == "main":
             for up in _path(at):
                 up.never = False
@@ -131,9 +145,40 @@ def parse(page: str) -> Node:
             continue
         if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
             at = node
+    _unmark(root)
     return root
 
 
+def _unmark(root: Node) -> None:
+    """Clears the marks of elements that wrap the page: most of its unlinked text, or its article where no other is in sight."""
+    stack, text = [(root, False, False)], {}
+    order, wrappers, articles = [], [], []
+    while stack:
+        node, linked, within = stack.pop()
+        order.append(node)
+        linked, within = linked or node.name == "a", within or node.never
+        text[node] = 0 if linked else sum(len(c) - c.count(" ") for c in node.children if isinstance(c, str) and c.strip())
+        if node.never:
+            wrappers.append(node)
+        if node.name in ("article", "main"):
+            articles.append((node, within))
+        stack += [(c, linked, within) for c in node.children if not isinstance(c, str) and (not c.never or c.wraps)]
+    if not wrappers:
+        return
+    for node in reversed(order):
+        if node is not root:
+            text[node.parent] += text[node]
+    articles = [(n, within) for n, within in articles if text[n]]
+    if any(not within for _, within in articles):
+        return
+    if articles:
+        for up in _path(max((n for n, _ in articles), key=text.get)):
+            up.never = False
+    for node in wrappers:
+        if text[node] >= _MOST * text[root] > 0:
+            node.never = False
+
+
 def _path(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node

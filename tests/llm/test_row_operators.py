@@ -204,6 +204,23 @@ def test_every_section_of_an_article_is_kept():
     assert html_text.main_text(f"<main><body><p>{line}</p></body></main>") == line
 
 
+def test_an_article_within_a_wrapper_of_the_page_is_kept():
+    line = "word " * 39 + "last."
+    text = "".join(f"<p>{i} {line}</p>" for i in range(4))
+    want = "\n".join(f"{i} {line}" for i in range(4))
+    rest = "<nav><a href=x>Menu</a></nav><div class=sidebar><p>Beside the article.</p></div><section id=comments><article><p>A reader says so.</p></article></section>"
+    wrappers = ["form id=aspnetForm action=x", *(f"div class='{c}'" for c in ("content-sidebar-wrap", "page header-top", "search-page", "legal-text", "form-page"))]
+    wrappers += ["div id='reader-view'", "fieldset"]
+    for wrapper in wrappers:
+        end = wrapper.split()[0]
+        for article in (f"<article>{text}</article>", f"<div>{text}</div>", f"<main>{text}</main>"):
+            assert html_text.main_text(f"<body><{wrapper}>{article}{rest}</{end}></body>") == want, (wrapper, article[:9])
+        assert html_text.main_text(f"<body><article>{text}</article><{wrapper}><p>{line}</p></{end}></body>") == want
+    assert html_text.main_text(f"<body><div id=comments><article>{text}</article></div><p>Short page.</p></body>") == "Short page."
+    for hidden in ("style='display:none'", "hidden", "aria-hidden=true"):
+        assert html_text.main_text(f"<body><form {hidden}>{text}</form><p>In sight.</p></body>") == "In sight."
+
+
 def test_pages_of_the_test_tables(spark):
     import html
 
