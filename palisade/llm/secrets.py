@@ -38,6 +38,9 @@ _LEAST_VALUE = 8
 
 _CONTEXT = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature", re.IGNORECASE | re.ASCII)
 _RUN = re.compile(r"[A-Za-z0-9+/_=~-]+")
+#: What goes on with a candidate after white space (lines of a key) or a dot (parts of a token); what ends a key.
+_NEXT = re.compile(r"(?:\s+|\.)([A-Za-z0-9+/_=~-]+)")
+_LAST = re.compile(r"\s*-----END")
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_secret client_id "
     "auth authorization bearer credential credentials signature session cookie certificate BEGIN END RSA PRIVATE KEY "
@@ -139,6 +142,8 @@ class Scanner:
         for word in _CONTEXT.finditer(text):
             for run in _RUN.finditer(text, max(word.end(), seen), min(len(text), word.end() + n.reach)):
                 start = run.start()
+                if start < seen:
+                    continue
                 # A run that the sensitive word is part of, or that began before the reach, is no candidate of its own.
                 if start == word.end() and text[start - 1 : start].isalnum():
                     continue
@@ -147,9 +152,27 @@ class Scanner:
                 if end - start < n.least or any(s < end and start < e for s, _, e, _ in taken):
                     continue
                 if self.is_novel(text, start, end):
-                    found.append((start, 3, end, start))
+                    for start, end in self.continued(text, start, end, taken):
+                        found.append((start, 3, end, start))
+                        seen = max(seen, end)
         return found
 
+    def continued(self, text: str, start: int, end: int, taken: Sequence[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+        """A reported run and those that carry it on: novel, as long as the one before, or the rest before the end of a key."""
+        while True:
+            yield start, end
+            after, length = _NEXT.match(text, end), end - start
+            if not after:
+                return
+            start, end = after.span(1)
+            if any(s < end and start < e for s, _, e, _ in taken):
+                return
+            if end - start < self.novelty.least:
+                if not _LAST.match(text, end):
+                    return
+            elif not (end - start == length and _is_mixed(text[start:end])) and not self.is_novel(text, start, end):
+                return
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
         base = self.base(text)
         return base, sorted(base + self.novel(text, base))

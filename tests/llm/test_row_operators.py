@@ -118,6 +118,22 @@ def test_long_keys_of_every_alphabet_are_novel():
         assert scanner.spans("".join(prose) + "the key is " + name + " and " + "".join(prose))[1] == []
 
 
+def test_every_line_of_a_key_is_novel():
+    rng, scanner = random.Random(12), secrets.Scanner(secrets.Novelty())
+    draw = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    for kind in ("RSA PRIVATE KEY", "PRIVATE KEY"):
+        for end in ("\n", "\r\n", "\n    "):
+            lines = [draw(64) for _ in range(25)] + [draw(10) + "=="]
+            text = f"Keep this.\n-----BEGIN {kind}-----{end}" + end.join(lines) + f"{end}-----END {kind}-----\nThe end of the story is here, with 12 words."
+            got = [text[s:e] for s, _, e, _ in scanner.spans(text)[1]]
+            assert got == lines
+    parts = [draw(n).replace("+", "-").replace("/", "_") for n in (60, 200, 43)]
+    text = "Authorization: Bearer " + ".".join(parts) + " was sent to www.example.com"
+    assert [text[s:e] for s, _, e, _ in scanner.spans(text)[1]] == parts
+    text = "the auth key is " + draw(40) + " an_ordinary_name_of_words and then other words follow"
+    assert [e - s for s, _, e, _ in scanner.spans(text)[1]] == [40]
+
+
 def test_redaction_leaves_no_secret(make_docs, odd_docs, no_docs):
     out = secrets.redact(make_docs(SECRETS).unionByName(odd_docs), length="n_chars")
     rows = out.collect()
