@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import mixing, near_dup, packing, ring, topk
+from palisade.llm import alignment, mixing, near_dup, packing, ring, topk
 from palisade.llm.registry import query, table
+from palisade.session import write_through
 
 _NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -58,3 +59,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 @query("op10_kd_tree_top_k", _TOPK_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op13_fragment_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    n_links = F.aggregate("links", F.lit(0).cast("bigint"), lambda total, x: total + x["n"]).alias("n_links")
+    rows = write_through(rows.select("row", "doc_id", "n_a", "n_b", "n_groups", n_links, digest, "links"), "alignment")
+    scores = alignment.link_scores(rows, write_through(alignment.pair_counts(rows), "pairs"))
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("bigint")).alias(name)
+    return rows.drop("links").join(scores, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"
+    )
