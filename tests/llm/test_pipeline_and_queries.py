@@ -59,7 +59,7 @@ def test_one_of_each_group_stays(stages):
     from palisade.llm import near_dup
 
     given, made = stages[1]
-    found = near_dup.near_duplicates(given).collect()
+    found = near_dup.near_duplicates(given, threshold=80).collect()
     assert {r.doc_id for r in made.collect()} == {r.component_id for r in found} and made.count() < given.count()
 
 
