@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import alignment, mixing, near_dup, packing, ring, topk
+from palisade.llm import alignment, merkle, mixing, near_dup, packing, ring, topk
 from palisade.llm.registry import query, table
 from palisade.session import write_through
 
@@ -61,6 +63,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, b:
+  xor(s // 256, list_reduce(list_prepend(xor(s % 256, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)))"""
+_FIELDS = ", ".join(
+    f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")
+)
+_LEAF_SQL = "sha256(concat(" + _FIELDS + "))"
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _levels_sql(name: str, start: str) -> str:
+    """All levels of all trees: (tree, level, place, n, digest)."""
+    return f"""{name}(tree, level, place, n, digest) AS (SELECT tree, 0, place, n, digest FROM {start} UNION ALL
+  SELECT tree, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE n > 1
+  GROUP BY tree, level, place // 16, n)"""
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, {_LEAF_SQL.format(text="text")} AS leaf, CASE WHEN xor({_CRC32}, 4294967295::BIGINT) % 5 = 0
+    THEN {_LEAF_SQL.format(text=_LOWER_SQL)} ELSE {_LEAF_SQL.format(text="text")} END AS given FROM documents),
+l AS (SELECT rid, doc_id, leaf AS digest, given, coalesce('s' || source, '-') AS tree, source,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d),
+{_levels_sql("s", "l")},
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, count(*) OVER () AS sources
+    FROM (SELECT s.tree AS of, s.digest, any_value(l.source) AS source FROM s JOIN l USING (tree) WHERE s.n = 1 GROUP BY ALL)),
+t0 AS (SELECT '' AS tree, rank AS place, sources AS n, digest FROM r),
+{_levels_sql("t", "t0")},
+a AS (SELECT * FROM s UNION ALL SELECT * FROM t),
+c(rid, tree, level, place, n, folded, proof) AS (SELECT rid, tree, 0, place, n, given, '' FROM l UNION ALL
+  SELECT rid, tree, level, place, n, folded, proof FROM (
+    SELECT c.rid, c.tree, c.level + 1 AS level, c.place // 16 AS place, (c.n + 15) // 16 AS n,
+      sha256(string_agg(CASE WHEN a.place = c.place THEN c.folded ELSE a.digest END, '' ORDER BY a.place)) AS folded,
+      c.proof || coalesce(string_agg(a.digest, '' ORDER BY a.place) FILTER (a.place <> c.place), '') AS proof
+    FROM c JOIN a ON a.tree = c.tree AND a.level = c.level AND a.place // 16 = c.place // 16 WHERE c.n > 1
+    GROUP BY c.rid, c.tree, c.level, c.place, c.n, c.proof
+    UNION ALL SELECT c.rid, '', 0, r.rank, r.sources, c.folded, c.proof FROM c JOIN r ON c.tree = r.of WHERE c.n = 1))
+SELECT l.doc_id, l.digest AS leaf, r.digest AS subroot, root.digest AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root,
+  c.folded = root.digest AS verified
+FROM c JOIN l USING (rid) JOIN r ON r.of = l.tree, (SELECT digest FROM t WHERE n = 1) root WHERE c.tree = '' AND c.n = 1
+"""
+
+
+@query("op12_recursive_merkle_manifest", _MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = docs.select("source", "doc_id", merkle.leaf(*fields(F.col("text"))).alias("leaf"), F.when(chosen, merkle.leaf(*fields(lower))).alias("given"))
+    return merkle.climb(merkle.build(rows.withColumn("given", F.coalesce("given", "leaf"))))
+
+
 @query("op13_fragment_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
