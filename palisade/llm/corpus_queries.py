@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import alignment, merkle, mixing, near_dup, packing, ring, topk
+from palisade.llm import alignment, merkle, mixing, near_dup, packing, ring, topk, winnowing
 from palisade.llm.registry import query, table
 from palisade.session import write_through
 
@@ -63,6 +63,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+_WINNOW_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(10, len(w)) AS m FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS t FROM bi),
+di AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw)),
+h AS (SELECT DISTINCT rid, m, i, t FROM (SELECT rid, m, i, array_to_string(w[i : i + m - 1], ' ') AS t FROM di) SEMI JOIN bw USING (m, t)),
+n AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS pos FROM h) GROUP BY rid),
+k AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item FROM h JOIN bw USING (m, t)) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
+@query("op11_winnowing_decontamination", _WINNOW_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 _CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, b:
   xor(s // 256, list_reduce(list_prepend(xor(s % 256, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)))"""
 _FIELDS = ", ".join(
