@@ -11,7 +11,7 @@ from palisade.plans import oracle as o
 from palisade.plans.registry import query
 from palisade.session import scratch_dir
 from palisade.sources import documents as docs
-from palisade.sources import tags
+from palisade.sources import export_ranges, tags
 
 POS = "block_pos, section, pos"
 POS_COLUMNS = ("block_pos", "section", "pos")
@@ -35,6 +35,29 @@ def read_policy_documents(spark, sf_dir):
     return rows.select(F.get_json_object("policy_json", "$.id").alias("policy_id"), "shape")
 
 
+@query(
+    "read_large_export",
+    """SELECT CAST(export AS INTEGER) AS export, CAST(row_number() OVER (PARTITION BY export ORDER BY k, block_pos, section, pos) AS INTEGER) AS pos, policy_id
+    FROM (SELECT *, CAST(policy_id AS BIGINT) AS k, CAST(policy_id AS BIGINT) // 20000 AS export FROM doc WHERE shape = 'standard') d""",
+)
+def read_large_export(spark, sf_dir):
+    """Write policies as few large exports, each one JSON object, and read these in ranges of 1 MB."""
+    rows = _unwrapped(spark, sf_dir).filter("shape = 'standard'")
+    rows = rows.withColumn("k", F.get_json_object("policy_json", "$.id").cast("bigint")).withColumn("export", F.expr("k div 20000"))
+    ends = F.array(F.struct(F.lit(-1).alias("ord"), F.lit('{"serviceName": "svc", "policies": [null').alias("line")), F.struct(F.lit(1).alias("ord"), F.lit("]}").alias("line")))
+    lines = rows.select("export").distinct().select("export", F.inline(ends)).withColumn("k", F.lit(0).cast("bigint"))
+    place = F.struct(*POS_COLUMNS)
+    lines = lines.select("export", "ord", "k", F.lit(None).cast("struct<block_pos: int, section: int, pos: int>").alias("place"), "line").unionByName(
+        rows.select("export", F.lit(0).alias("ord"), "k", place.alias("place"), F.concat(F.lit(","), "policy_json").alias("line"))
+    )
+    path = scratch_dir(spark, "large_exports")
+    lines.repartition("export").sortWithinPartitions("export", "ord", "k", "place").select("export", "line").write.partitionBy("export").text(path)
+    found, _ = export_ranges.read_large_exports(spark, path, range_bytes=1 << 20)
+    policies = docs.unwrap_large_exports(found).filter("policy_json IS NOT NULL")
+    export = F.regexp_extract("source", "export=([0-9]+)", 1).cast("int").alias("export")
+    return policies.select(export, "pos", F.get_json_object("policy_json", "$.id").alias("policy_id"))
+
+
 def _unwrap_query(name: str, shape: str):
     @query(name, f"SELECT source, {POS}, policy_id, service_name FROM doc WHERE shape = '{shape}'")
     def run(spark, sf_dir):
@@ -200,7 +223,7 @@ def validation_totals(spark, sf_dir):
 
 @query(
     "validation_details",
-    f"SELECT {_FINDING} FROM v_all WHERE (source, idx) IN (SELECT (source, idx) FROM v_all WHERE severity = 'E')",
+    f"SELECT {_FINDING} FROM (SELECT *, bool_or(severity = 'E') OVER (PARTITION BY source, idx) AS bad FROM v_all) v WHERE bad",
 )
 def validation_details(spark, sf_dir):
     return validate.validation_details(_policies(spark, sf_dir)).select("source", "idx", "policy_name", "severity", "message")

@@ -151,6 +151,37 @@ def unwrap_policies(docs: DataFrame) -> DataFrame:
     )
 
 
+def unwrap_large_exports(rows: DataFrame) -> DataFrame:
+    """``unwrap_policies`` for exports that came in elements and shells (``export_ranges.read_large_exports``).
+
+    Positions count the elements of a list, so those of deltas without a policy leave gaps.
+    """
+    shells = rows.filter("key IS NULL").select("source", F.col("text").alias("json"))
+    heads = computed_once(with_root_keys(shells), block=F.from_json("json", "serviceName STRING"))
+    cases, listed = _has("keys", "testCases"), _has("keys", "policies")
+    heads = heads.select("source", F.col("block.serviceName").alias("service_name"), cases.alias("cases"), listed.alias("listed"))
+    # One row per file, and the driver holds the list of files.
+    parts = rows.filter("key IS NOT NULL").join(F.broadcast(heads), "source")
+    value = F.when(F.col("text") != "null", F.col("text"))
+    delta = F.from_json("text", "policy STRING")["policy"]
+    chosen = F.when(F.col("key") == "policies", value).otherwise(delta)
+    flat = parts.filter(~F.col("cases") & ((F.col("key") == "policies") | ((F.col("key") == "policyDeltas") & ~F.col("listed"))))
+    flat = flat.select(
+        "source", F.when(F.col("key") == "policies", "standard").otherwise("policyDeltas").alias("shape"), "service_name",
+        F.lit(0).alias("block_pos"), F.lit(0).alias("section"), F.col("pos").cast("int").alias("pos"), chosen.alias("policy_json"),
+    ).filter((F.col("shape") == "standard") | (F.regexp_replace("policy_json", r"\s", "") != "{}"))
+    one = F.concat(F.lit('{"testCases":['), "text", F.lit("]}"))
+    # The place of the case rides along in the name of its source.
+    blocks = unwrap_policies(
+        parts.filter(F.col("key") == "testCases").select(F.concat("pos", F.lit(" "), "source").alias("source"), one.alias("json"))
+    )
+    name = F.col("source")
+    blocks = blocks.withColumns({
+        "block_pos": F.substring_index(name, " ", 1).cast("int"), "source": F.substr(name, F.instr(name, " ") + 1),
+    })
+    return unwrap_policies(shells).unionByName(flat).unionByName(blocks)
+
+
 def parse_policies(unwrapped: DataFrame) -> DataFrame:
     """Adds the parsed policy ``p``, its key list, its key and ``broken``.
 
