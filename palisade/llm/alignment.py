@@ -112,26 +112,31 @@ def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
     return distinct, np.bincount(at, np.concatenate(times), len(distinct)).astype(np.int64)
 
 
-def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
-    """Ends that both have; each is ascending."""
-    if not len(ends_a) or not len(ends_b):
-        return ends_a[:0]
-    return ends_a[ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a]
+def _cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For two ascending lists of ends: where each end of one would stand in the other, and whether it is there."""
+    in_b, in_a = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+    return in_b, in_a, np.append(ends_b, -1)[in_b] == ends_a, np.append(ends_a, -1)[in_a] == ends_b
 
 
 def _closed(s: Spellings, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray]:
     """Number and text of the groups, links and their times, of tokens that begin and end together."""
-    ends_a, ends_b = np.cumsum(s.size_a[a]), np.cumsum(s.size_b[b])
-    cuts = _common(ends_a, ends_b)
-    ends = np.union1d(ends_a, ends_b)
-    links = (a[np.searchsorted(ends_a, ends)].astype(np.int64) << 32) | b[np.searchsorted(ends_b, ends)]
+    in_b, in_a, cut_a, cut_b = _cuts(np.cumsum(s.size_a[a]), np.cumsum(s.size_b[b]))
+    # Up to each end one token of both is on its way; an end of both counts once.
+    inner = ~cut_b
+    links = np.concatenate([(a.astype(np.int64) << 32) | b[in_b], (a[in_a[inner]].astype(np.int64) << 32) | b[inner]])
     keys, times = np.unique(links, return_counts=True)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    upto_a, upto_b = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    upto_a, upto_b = np.flatnonzero(cut_a) + 1, np.flatnonzero(cut_b) + 1
     shown = np.empty(len(a) + len(b), np.int64)
-    shown[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = a + np.where(ends_a == cuts[group_a], len(s.bytes_a), 0)
-    shown[np.arange(len(b)) + upto_a[group_b]] = s.first_b + b + np.where(ends_b == cuts[group_b], len(s.bytes_b), 0)
-    return len(cuts), "".join(map(s.shown.__getitem__, shown.tolist()))[:-1], keys, times
+    shown[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = a + cut_a * len(s.bytes_a)
+    shown[np.arange(len(b)) + upto_a[group_b]] = s.first_b + b + cut_b * len(s.bytes_b)
+    return len(upto_a), "".join(map(s.shown.__getitem__, shown.tolist()))[:-1], keys, times
+
+
+def whole(s: Spellings, data: bytes) -> Fragment:
+    """The finished fragment of a whole text: nothing in it is open."""
+    a, b, sound = s.spell(data)
+    return Fragment(len(a), len(b), **dict(zip(("n_groups", "groups", "keys", "times"), _closed(s, a, b)))) if sound else Fragment()
 
 
 def fragment(s: Spellings, data: bytes, at: int, low: int, high: int) -> Fragment:
@@ -145,7 +150,7 @@ def fragment(s: Spellings, data: bytes, at: int, low: int, high: int) -> Fragmen
     ends_a, ends_b = at + np.cumsum(s.size_a[a]), at + np.cumsum(s.size_b[b])
     in_a, in_b = (ends_a > low) & (ends_a <= high), (ends_b > low) & (ends_b <= high)
     a, b, ends_a, ends_b = a[in_a], b[in_b], ends_a[in_a], ends_b[in_b]
-    cuts = _common(ends_a, ends_b)
+    cuts = ends_a[_cuts(ends_a, ends_b)[2]]
     if not len(cuts):
         return Fragment(len(a), len(b), a, b)
     pre_a, pre_b = np.searchsorted(ends_a, cuts[0], "right"), np.searchsorted(ends_b, cuts[0], "right")
@@ -276,7 +281,7 @@ def _short(paths: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             found = []
             for text in part["text"].to_pylist():
                 data = b" " + (text or "").encode()
-                found.append(finished(s, fragment(s, data, 0, 0, len(data))) if text else Fragment())
+                found.append(whole(s, data) if text else Fragment())
             yield pa.RecordBatch.from_pydict({"row": part["row"], "doc_id": part["doc_id"], **_counts(found)})
 
 
