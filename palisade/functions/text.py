@@ -92,6 +92,24 @@ def condition_to_sql(kind: Column, values: Column, entries: Column) -> Column:
     )
 
 
+def conditions_to_sql(conditions: Column) -> Column:
+    """One predicate per condition of an item, in order; ``conditions`` is the JSON text of a list of objects or of one object.
+
+    Absent or unreadable conditions give an empty array. Of an object only values that are lists count.
+    """
+    texts = F.when(F.startswith(F.ltrim(conditions), F.lit("[")), F.from_json(conditions, "array<string>")).otherwise(F.array(conditions))
+    read = F.transform(texts, lambda text: F.from_json(text, "map<string, string>"))
+    known = F.filter(F.coalesce(read, F.array().cast("array<map<string, string>>")), lambda c: c.isNotNull())
+
+    def predicate(condition: Column) -> Column:
+        listed = F.map_filter(condition, lambda _, value: F.coalesce(F.startswith(value, F.lit("[")), F.lit(False)))
+        lists = F.transform_values(listed, lambda _, value: F.from_json(value, "array<string>"))
+        kind = F.try_element_at(condition, F.lit("type"))
+        return condition_to_sql(kind, F.try_element_at(lists, F.lit("values")), lists)
+
+    return F.transform(known, predicate)
+
+
 def user_test(name: Column) -> Column:
     return F.concat(F.lit("    WHEN current_user() = '"), name, F.lit("'\n      THEN "))
 

@@ -7,13 +7,16 @@ security barrier: keep direct table access closed where it has to be one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palisade.constants import MASK_SQL_TYPE_DEFAULT, MASK_SQL_TYPES
 from palisade.functions.masks import RESOURCE_FALLBACK, TAG_FALLBACK, mask_expr, mask_sql, mask_type
+from palisade.functions.once import computed_once
+from palisade.operators.resources import resource_values, with_route
+from palisade.operators.tags import tags_to_tables
 
 
 @dataclass(frozen=True)
@@ -39,13 +42,6 @@ class MaskRule:
     pass_groups: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
-class FilterItem:
-    predicate: str
-    users: tuple[str, ...] = ()
-    groups: tuple[str, ...] = field(default_factory=tuple)
-
-
 def is_named(principal: Principal, kind: str, name: str) -> Column:
     if kind == "user":
         return F.lit(principal.user) == F.lit(name)
@@ -93,38 +89,106 @@ def apply_row_filter(df: DataFrame, principal: Principal, rules: Sequence[Filter
     return df.filter(filter_condition(principal, rules))
 
 
-def tagged_columns(resource_tags: DataFrame, table: str, tag: str, columns: Sequence[str]) -> list[str]:
-    """The data frame's own columns that carry a tag: at most one row per column."""
-    wanted = [f"{table}.{c}" for c in columns]
-    rows = resource_tags.filter((F.col("tag") == tag) & F.col("path").isin(wanted)).select("path").distinct()
-    found = {row["path"] for row in rows.collect()}
-    return [c for c in columns if f"{table}.{c}" in found]
+# --- tags decide: rules of one table, compiled from relations ----------------------------------
+
+
+def _named() -> Column:
+    """Array of (kind, name) in list order: users before groups."""
+    one = lambda kind: F.transform(F.coalesce(kind + "s", F.array().cast("array<string>")), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    return F.concat(one("user"), one("group"))
+
+
+def _mapped(names: Sequence, mapping: DataFrame | None) -> Callable[[str], str]:
+    """Names as the catalog knows them; only the names in use are looked up."""
+    if mapping is None or not names:
+        return lambda name: name
+    rows = mapping.filter((F.col("mapping_type") == "principal") & F.col("source_value").isin(sorted(names)))
+    known = {r["source_value"]: r["target_value"] for r in rows.collect()}
+    return lambda name: known.get(name, name)
+
+
+def active_tag_filter(
+    resource_tags: DataFrame, policies: DataFrame, filter_items: DataFrame, table: str
+) -> DataFrame:
+    """The one filter item of all tag policies that stays active on ``table``; no row where no tag of it is meant.
+
+    Every item with an expression is attached in turn, policy by policy and item by item, and each replaces the one
+    before it. Policies come in the order of their keys, items in list order.
+    """
+    meant = tags_to_tables(with_route(policies).filter("route = 'tag_access'"), resource_tags).filter(F.col("table_key") == table)
+    used = filter_items.filter("filter_expr <> ''").join(meant.select("policy_key"), "policy_key")
+    last = F.max_by(F.struct("policy_key", "item_pos", "users", "groups", "filter_expr"), F.struct("policy_key", "item_pos"))
+    return used.agg(last.alias("item")).filter("item IS NOT NULL").select("item.*")
+
+
+def compile_tag_filter(
+    resource_tags: DataFrame, policies: DataFrame, filter_items: DataFrame, table: str, principal: Principal,
+    mapping: DataFrame | None = None,
+) -> Column | None:
+    """The condition of ``table`` for one principal, or None where no tag policy reaches it."""
+    item = active_tag_filter(resource_tags, policies, filter_items, table).first()
+    if item is None:
+        return None
+    named = [("user", n) for n in item["users"] or []] + [("group", n) for n in item["groups"] or []]
+    mapped = _mapped({n for _, n in named}, mapping)
+    rules = [FilterRule(kind, mapped(n), item["filter_expr"]) for kind, n in named]
+    return filter_condition(principal, rules) if rules else F.expr(item["filter_expr"])
+
+
+def apply_tag_row_filter(
+    df: DataFrame, resource_tags: DataFrame, policies: DataFrame, filter_items: DataFrame, table: str, principal: Principal,
+    mapping: DataFrame | None = None,
+) -> DataFrame:
+    """Filter ``df``, the rows of ``table``, where the table or one of its columns carries a tag of a policy with row filters."""
+    condition = compile_tag_filter(resource_tags, policies, filter_items, table, principal, mapping)
+    return df if condition is None else df.filter(condition)
+
+
+def active_tag_masks(
+    resource_tags: DataFrame, policies: DataFrame, mask_items: DataFrame, table: str, columns: Sequence[str]
+) -> DataFrame:
+    """(column, mask_type, users, groups) of the last tag mask policy on each tagged column of ``table``.
+
+    A policy masks by its first type that masks; ``users`` and ``groups`` are those it lets see the value. Policies
+    without such a type mask nothing.
+    """
+    meant = with_route(policies).filter("route = 'tag_mask'").select("policy_key", "scope", F.get(resource_values("tag"), F.lit(0)).alias("tag"))
+    paths = resource_tags.filter(F.col("path").isin([f"{table}.{c}" for c in columns]))
+    reached = paths.select("scope", "tag", F.substring_index("path", ".", -1).alias("column")).distinct().join(meant, ["scope", "tag"])
+    real = F.when((F.col("mask_type") != "MASK_NONE") & (F.col("mask_type") != ""), F.col("item_pos"))
+    kinds = mask_items.join(reached.select("policy_key").distinct(), "policy_key", "left_semi").groupBy("policy_key").agg(
+        F.min_by(F.when(real.isNotNull(), F.col("mask_type")), real).alias("mask_type")
+    )
+    last = reached.join(kinds.filter("mask_type IS NOT NULL"), "policy_key").groupBy("column").agg(
+        F.max_by(F.struct("policy_key", "mask_type"), "policy_key").alias("p")
+    )
+    last = last.select("column", "p.policy_key", "p.mask_type")
+    open_to = mask_items.filter("mask_type = 'MASK_NONE'").select("policy_key", F.explode(_named()).alias("who"))
+    open_to = open_to.join(last.select("policy_key"), "policy_key", "left_semi").groupBy("policy_key").agg(F.collect_set("who").alias("who"))
+    return last.join(open_to, "policy_key", "left").select("column", "mask_type", F.coalesce("who", F.array().cast("array<struct<kind: string, name: string>>")).alias("who"))
+
+
+def compile_tag_masks(
+    resource_tags: DataFrame, policies: DataFrame, mask_items: DataFrame, table: str, columns: Sequence[str],
+    mapping: DataFrame | None = None,
+) -> list[MaskRule]:
+    """At most one rule per column of ``table``. Users of tag masks keep their own names, groups are mapped."""
+    rows = active_tag_masks(resource_tags, policies, mask_items, table, columns).collect()
+    mapped = _mapped({w["name"] for r in rows for w in r["who"] if w["kind"] == "group"}, mapping)
+    of = lambda r, kind, name: tuple(sorted(name(w["name"]) for w in r["who"] if w["kind"] == kind))
+    return [MaskRule(r["column"], r["mask_type"], of(r, "user", str), of(r, "group", mapped)) for r in rows]
 
 
 def apply_tag_mask(
-    df: DataFrame, resource_tags: DataFrame, table: str, tag: str, kind: str,
-    principal: Principal, pass_users: Sequence[str] = (), pass_groups: Sequence[str] = (),
+    df: DataFrame, resource_tags: DataFrame, policies: DataFrame, mask_items: DataFrame, table: str, principal: Principal,
+    mapping: DataFrame | None = None,
 ) -> DataFrame:
-    """Mask every column of ``table`` that carries ``tag``, in one projection."""
-    rules = [
-        MaskRule(c, kind, tuple(pass_users), tuple(pass_groups))
-        for c in tagged_columns(resource_tags, table, tag, df.columns)
-    ]
+    """Mask every column of ``table`` that carries the tag of a tag mask policy, in one projection."""
+    rules = compile_tag_masks(resource_tags, policies, mask_items, table, df.columns, mapping)
     masked = {r.column: masked_for(principal, r, fallback=TAG_FALLBACK) for r in rules}
     return df.select(*[masked[c].alias(c) if c in masked else F.col(c) for c in df.columns])
 
 
-def apply_tag_row_filter(df: DataFrame, principal: Principal, items: Sequence[FilterItem]) -> DataFrame:
-    """Only one filter can be active per table: the last item with an expression."""
-    active = [i for i in items if i.predicate]
-    if not active:
-        return df
-    item = active[-1]
-    rules = [FilterRule("user", u, item.predicate) for u in item.users]
-    rules += [FilterRule("group", g, item.predicate) for g in item.groups]
-    return apply_row_filter(df, principal, rules) if rules else df.filter(F.expr(item.predicate))
-
-
 def secured_view(
     df: DataFrame, name: str, principal: Principal, filters: Sequence[FilterRule], masks: Sequence[MaskRule]
 ) -> DataFrame:
@@ -134,8 +198,119 @@ def secured_view(
     return secured
 
 
-#: Predicates counted in one pass over the data.
+# --- many principals -----------------------------------------------------------------------
+
+#: Predicates of no indexed form that are counted in one pass over the data.
 PREDICATES_PER_PASS = 200
+#: Rows of the index up to which it is sent to every task; beyond, data and index meet in a shuffle.
+BROADCAST_KEYS = 100_000
+_WHOLE = "*"
+_CONJUNCT = r"(?i)^\s*([a-z_][a-z0-9_]*(?:\s*%\s*[1-9][0-9]{0,8})?)\s*(=|>=|<=|>|<|IN\b)\s*(-?[0-9]{1,15}|'[^']*'|\(.*\))\s*$"
+_LISTED = r"(?i)^\(\s*(?:'[^']*'(?:\s*,\s*'[^']*')*|-?[0-9]{1,15}(?:\s*,\s*-?[0-9]{1,15})*)\s*\)$"
+
+
+def predicate_index(predicates: DataFrame) -> DataFrame:
+    """(predicate, shape, key, bound) of SQL predicates that compare columns with values; NULL shape for all others.
+
+    A predicate of equalities and IN (one list at most) and at most one comparison, joined by AND, is indexed. Its ``shape`` is
+    a struct (terms, kinds, ranged, op): the terms compared for equality in name order, whether their values are texts,
+    and the term and operator of the comparison. ``key`` holds the values, a row for each value of a list; ``bound`` is the
+    number compared with. A term is a column or a column modulo a number.
+    """
+    pieces = F.split("predicate", r"(?i)\s+AND\s+")
+    part = lambda c, i: F.regexp_extract(c, _CONJUNCT, i)
+
+    def parsed(c: Column) -> Column:
+        raw = part(c, 3)
+        items = F.when(F.startswith(raw, F.lit("(")), F.regexp_extract_all(raw, F.lit("('[^']*'|-?[0-9]+)"), F.lit(1))).otherwise(F.array(raw))
+        kinds = F.startswith(F.get(items, F.lit(0)), F.lit("'"))
+        clean = F.transform(items, lambda v: F.when(kinds, F.substring_index(F.substr(v, F.lit(2)), "'", 1)).otherwise(v.cast("bigint").cast("string")))
+        op = F.upper(part(c, 2))
+        term = F.lower(F.regexp_replace(part(c, 1), r"\s", ""))
+        return F.struct(term.alias("term"), F.when(op == "IN", "=").otherwise(op).alias("op"), kinds.alias("text"), F.array_distinct(clean).alias("items"))
+
+    fits = F.forall(pieces, lambda c: F.rlike(c, F.lit(_CONJUNCT)) & ((~F.startswith(part(c, 3), F.lit("("))) | (F.rlike(part(c, 3), F.lit(_LISTED)) & (F.upper(part(c, 2)) == "IN"))))
+    fits = fits & F.forall(pieces, lambda c: (F.upper(part(c, 2)) != "IN") | F.startswith(part(c, 3), F.lit("(")))
+    rows = computed_once(predicates.select("predicate").distinct(), parts=F.when(fits, F.array_sort(F.transform(pieces, parsed))))
+    same = F.filter("parts", lambda p: p["op"] == "=")
+    ranged = F.filter("parts", lambda p: p["op"] != "=")
+    usable = (
+        (F.size(ranged) <= 1) & (F.size(F.array_distinct(F.transform(same, lambda p: p["term"]))) == F.size(same))
+        & (F.size(F.filter(same, lambda p: F.size(p["items"]) > 1)) <= 1) & ~F.exists(ranged, lambda p: p["text"])
+    )
+    shape = F.struct(
+        F.transform(same, lambda p: p["term"]).alias("terms"), F.transform(same, lambda p: p["text"]).alias("kinds"),
+        F.get(ranged, F.lit(0))["term"].alias("ranged"), F.get(ranged, F.lit(0))["op"].alias("op"),
+    )
+    lists = F.filter(same, lambda p: F.size(p["items"]) > 1)
+    choices = F.coalesce(F.get(lists, F.lit(0))["items"], F.array(F.lit("")))
+    keys = F.transform(choices, lambda v: F.transform(same, lambda p: F.when(F.size(p["items"]) > 1, v).otherwise(F.get(p["items"], F.lit(0)))))
+    rows = computed_once(rows, shape=F.when(F.coalesce(usable, F.lit(False)), shape), keys=keys)
+    return rows.select(
+        "predicate", "shape", F.explode_outer(F.when(F.col("shape").isNotNull(), F.col("keys"))).alias("key"),
+        F.get(F.get(ranged, F.lit(0))["items"], F.lit(0)).try_cast("double").alias("bound"),
+    )
+
+
+def _readable(data: DataFrame, shape) -> Column | None:
+    """(key, x) of a data row for a shape, or None where the columns or their types are not those of the values."""
+    whole, numbers = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
+    known = {f.name.lower(): f.dataType.simpleString() for f in data.schema}
+
+    def kind(term: str) -> str:
+        name, _, by = term.partition("%")
+        return "" if by and known.get(name) not in whole else known.get(name, "")
+
+    fits = all(kind(t) == "string" if text else kind(t) in whole for t, text in zip(shape["terms"], shape["kinds"]))
+    if not fits or (shape["ranged"] and kind(shape["ranged"]) not in whole | numbers):
+        return None
+    key = F.array(*[F.expr(t).cast("string") for t in shape["terms"]]).cast("array<string>")
+    x = F.expr(shape["ranged"]).cast("double") if shape["ranged"] else F.lit(None).cast("double")
+    kept = ~F.exists(key, lambda v: v.isNull())
+    if shape["ranged"]:
+        # NaN is above every number.
+        kept = kept & x.isNotNull() & (F.lit(not shape["op"].startswith("<")) | ~F.isnan(x))
+    return F.when(kept, F.struct(key.alias("key"), (-x if (shape["op"] or "").startswith("<") else x).alias("x")))
+
+
+def _index_counts(data: DataFrame, index: DataFrame, shapes: list) -> DataFrame:
+    """(predicate, visible) of indexed predicates from one scan of ``data``; the NULL predicate counts all rows.
+
+    Bounds of one key are an ascending list, so a row counts once for its key, at the last bound it passes; a
+    running sum over the bounds gives the rest.
+    """
+    texts = [r["name"] for r in shapes]
+    found = [_readable(data, r["shape"]) for r in shapes]
+    place = F.struct(F.lit(_WHOLE).alias("shape"), F.array().cast("array<string>").alias("key"), F.lit(None).cast("double").alias("x"))
+    places = [F.when(f.isNotNull(), F.struct(F.lit(t).alias("shape"), f["key"].alias("key"), f["x"].alias("x"))) for t, f in zip(texts, found)]
+    rows = data.select(F.inline(F.array_compact(F.array(place, *places))))
+    lower = F.col("shape.op").startswith("<")
+    bound = F.when(F.coalesce(lower, F.lit(False)), -F.col("bound")).otherwise(F.col("bound"))
+    keyed = index.select(
+        F.to_json("shape").alias("shape"), "key", F.coalesce(F.endswith("shape.op", F.lit("=")), F.lit(False)).alias("touching"),
+        F.struct(bound.alias("bound"), "predicate").alias("p"),
+    )
+    every = data.sparkSession.range(1).select(
+        F.lit(_WHOLE).alias("shape"), F.array().cast("array<string>").alias("key"), F.lit(False).alias("touching"),
+        F.struct(F.lit(None).cast("double").alias("bound"), F.lit(None).cast("string").alias("predicate")).alias("p"),
+    )
+    keyed = keyed.unionByName(every).groupBy("shape", "key", "touching").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    keyed = keyed.withColumn("bounds", F.col("ps.bound"))
+    known = F.broadcast(keyed) if sum(r["keys"] for r in shapes) <= BROADCAST_KEYS else keyed
+    x = F.col("x")
+    passed = F.when(x.isNull(), F.size("bounds")).otherwise(
+        F.size(F.filter("bounds", lambda b: F.when(F.col("touching"), b <= x).otherwise(b < x)))
+    )
+    met = rows.join(known.select("shape", "key", "touching", "bounds"), ["shape", "key"])
+    met = met.groupBy("shape", "key", "touching", passed.alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    listed = keyed.select("shape", "key", "touching", F.posexplode("ps").alias("pos", "p"))
+    listed = listed.select("shape", "key", "touching", F.col("pos") + 1, F.lit(0).cast("bigint"), F.lit(True), "p.predicate").toDF(
+        "shape", "key", "touching", "pos", "n", "listed", "predicate"
+    )
+    both = listed.unionByName(met.withColumns({"listed": F.lit(False), "predicate": F.lit(None).cast("string")}))
+    # One key's bounds and the counts between them.
+    later = Window.partitionBy("shape", "key", "touching").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("n", F.sum("n").over(later)).filter("listed").groupBy("predicate").agg(F.sum("n").cast("bigint").alias("visible"))
 
 
 def rows_visible_per_principal(principals: DataFrame, rules: DataFrame, data: DataFrame) -> DataFrame:
@@ -143,7 +318,8 @@ def rows_visible_per_principal(principals: DataFrame, rules: DataFrame, data: Da
 
     ``principals`` is (user_name, groups), ``rules`` a table of (rule_pos, kind, name, predicate): principals
     are joined to the rules that name them, and the first one decides; without a rule every row is visible.
-    The data is read once per PREDICATES_PER_PASS distinct predicates in use, whatever the number of rules.
+    Predicates of the indexed forms are counted in one scan of the data, however many they are. What the driver learns of
+    them is their shapes, which follow from the data's columns. Texts of other forms become part of the plan.
     """
     mine = F.array(F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("name")))
     groups = F.transform("groups", lambda g: F.struct(F.lit("group").alias("kind"), g.alias("name")))
@@ -151,14 +327,18 @@ def rows_visible_per_principal(principals: DataFrame, rules: DataFrame, data: Da
     hit = named.select("user_name", "p.kind", "p.name").distinct().join(rules, ["kind", "name"])
     first = hit.groupBy("user_name").agg(F.min(F.struct("rule_pos", "predicate")).alias("rule"))
     decided = principals.join(first, "user_name", "left").select("user_name", F.col("rule.predicate").alias("predicate"))
-    # Texts of predicates become part of the plan, so they are the one thing read here.
-    texts = sorted(r["predicate"] for r in hit.select("predicate").distinct().collect())
-    counts = data.agg(F.count(F.lit(1)).alias("visible")).select(F.lit(None).cast("string").alias("predicate"), "visible")
-    for at in range(0, len(texts), PREDICATES_PER_PASS):
-        part = texts[at : at + PREDICATES_PER_PASS]
-        row = data.agg(*[F.count_if(F.expr(text)).alias(f"b{i}") for i, text in enumerate(part)])
-        pairs = F.array(*[F.struct(F.lit(text).alias("predicate"), F.col(f"b{i}").alias("visible")) for i, text in enumerate(part)])
-        counts = counts.unionByName(row.select(F.inline(pairs)))
+    index = predicate_index(rules)
+    shaped = index.groupBy(F.to_json("shape").alias("name"), "shape").agg(F.count(F.lit(1)).alias("keys")).collect()
+    shapes = [r for r in shaped if r["shape"] is not None and _readable(data, r["shape"]) is not None]
+    in_index = F.to_json("shape").isin([r["name"] for r in shapes]) if shapes else F.lit(False)
+    counts = _index_counts(data, index.filter(in_index), shapes)
+    if len(shapes) < len(shaped):
+        texts = sorted(r["predicate"] for r in index.filter(~F.coalesce(in_index, F.lit(False))).select("predicate").distinct().collect())
+        for at in range(0, len(texts), PREDICATES_PER_PASS):
+            part = texts[at : at + PREDICATES_PER_PASS]
+            row = data.agg(*[F.count_if(F.expr(text)).alias(f"b{i}") for i, text in enumerate(part)])
+            pairs = F.array(*[F.struct(F.lit(text).alias("predicate"), F.col(f"b{i}").alias("visible")) for i, text in enumerate(part)])
+            counts = counts.unionByName(row.select(F.inline(pairs)))
     found = decided["predicate"].eqNullSafe(counts["predicate"])
     return decided.join(counts, found).select("user_name", "visible")
 

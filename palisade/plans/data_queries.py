@@ -8,7 +8,7 @@ from palisade import constants as C
 from palisade.functions import identifiers as ids
 from palisade.functions import masks, text
 from palisade.operators import enforce
-from palisade.operators.enforce import FilterItem, FilterRule, MaskRule, Principal
+from palisade.operators.enforce import FilterRule, MaskRule, Principal
 from palisade.plans import fixtures as fx
 from palisade.plans import oracle as o
 from palisade.plans.registry import query
@@ -288,29 +288,91 @@ def apply_row_filter(spark, sf_dir):
     return rows.select("c_custkey", "c_name")
 
 
-def _bindings(spark):
-    """Tags of the driver tables' columns (settings, joined to nothing that grows)."""
-    rows = [
-        ("public.customer.c_name", "PII"), ("public.documents.text", "PII"), ("public.conversations.text", "PII"),
-        ("public.customer.c_acctbal", "FINANCIAL"), ("public.orders.o_totalprice", "FINANCIAL"),
-    ]
-    return spark.createDataFrame(rows, "path string, tag string")
+# Three tables of data under names that tags know: the first and the last tagged one, and one without a tag.
+_TAGGED_TABLES = ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey")
+_READER = Principal("p_9", ("grp_R", "uc_4"))
+
+
+def _table_names(resource_tags, parts: int) -> list[str]:
+    key = F.substring_index("path", ".", 2)
+    named = resource_tags.filter((F.size(F.split("path", r"\.")) >= parts) & ~F.endswith("path", F.lit("*")))
+    row = named.agg(F.min(key).alias("first"), F.max(key).alias("last")).first()
+    return [row["first"], row["last"], "db.untagged"]
+
+
+_TABLES_SQL = """SELECT unnest(['customer', 'supplier', 'nation']) AS which, unnest([min(k), max(k), 'db.untagged']) AS k
+  FROM (SELECT parts[1] || '.' || parts[2] AS k FROM tparts WHERE len(parts) >= {parts} AND parts[len(parts)] <> '*') x"""
+_IDS_SQL = "SELECT 'customer' AS which, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'nation', n_nationkey FROM nation"
+_MASKED_COLUMNS = [f"col{i}" for i in range(7)]
+
 
+def _tag_mask_sql() -> str:
+    def shown(i: int) -> str:
+        v, kind = f"strftime(DATE '1992-01-01' + CAST((id + {i}) % 2000 AS INTEGER), '%Y-%m-%d')", f"kind{i}"
+        masked = f"""CASE {kind} WHEN 'MASK' THEN 'XXXXX' WHEN 'MASK_SHOW_LAST_4' THEN repeat('X', 6) || right({v}, 4)
+          WHEN 'MASK_SHOW_FIRST_4' THEN left({v}, 4) || repeat('X', 6) WHEN 'MASK_NULL' THEN NULL
+          WHEN 'MASK_DATE_SHOW_YEAR' THEN left({v}, 4) || '-01-01' WHEN 'MASK_TIMESTAMP_SHOW_DATE' THEN {v} || ' 00:00:00'
+          WHEN 'MASK_REDACT' THEN '[REDACTED]' ELSE sha256({v}) END"""
+        plain = f"CASE WHEN {kind} = 'MASK_TIMESTAMP_SHOW_DATE' THEN {v} || ' 00:00:00' ELSE {v} END"
+        return f"CASE WHEN {kind} IS NULL OR sees{i} THEN {plain} ELSE {masked} END AS col{i}"
 
-@query("apply_tag_mask", "SELECT doc_id, sha256(text) AS text, lang, source FROM documents")
+    rules = ", ".join(
+        f"max(CASE WHEN col = 'col{i}' THEN mask_kind END) AS kind{i}, coalesce(bool_or(col = 'col{i}' AND sees), false) AS sees{i}" for i in range(7)
+    )
+    return f"""SELECT which, id, {", ".join(map(shown, range(7)))} FROM ({_IDS_SQL}) d JOIN ({_TABLES_SQL.format(parts=3)}) t USING (which)
+      LEFT JOIN (SELECT k, {rules} FROM (
+        SELECT k, col, mask_kind, EXISTS (SELECT 1 FROM who w WHERE w.policy_key = r.p AND w.mask_type = 'MASK_NONE'
+          AND (w.ptype = 'user' AND w.pname = 'p_9' OR w.ptype = 'group' AND w.principal IN ('grp_R', 'uc_4'))) AS sees
+        FROM (SELECT c.db || '.' || c.tbl AS k, c.col, max(pol.policy_key) AS p FROM tcolumns c JOIN pol ON pol.tag1 = c.tag JOIN mkind USING (policy_key)
+          WHERE route = 'tag_mask' AND mask_kind IS NOT NULL GROUP BY ALL) r JOIN mkind m ON m.policy_key = r.p) x GROUP BY k) y USING (k)"""
+
+
+@query("apply_tag_mask", _tag_mask_sql())
 def apply_tag_mask(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").drop("n_chars")
-    return enforce.apply_tag_mask(docs, _bindings(spark), "public.documents", "PII", "SHUFFLE", Principal("user_5"))
+    """Columns masked for one reader as the tags and the tag mask policies say."""
+    policies, masks = fx.policies_frame(spark, sf_dir), fx.mask_items(fx.fx_items(spark, sf_dir))
+    tags, out = fx.resource_tags(spark, sf_dir), None
+    for (name, key), table in zip(_TAGGED_TABLES, _table_names(tags, 3)):
+        day = lambda i: F.date_add(F.lit("1992-01-01").cast("date"), ((F.col(key) + i) % 2000).cast("int")).cast("string")
+        data = fx.table(spark, sf_dir, name).select(
+            F.lit(name).alias("which"), F.col(key).cast("bigint").alias("id"), *[day(i).alias(c) for i, c in enumerate(_MASKED_COLUMNS)]
+        )
+        shown = enforce.apply_tag_mask(data, tags, policies, masks, table, _READER, fx.mapping(spark, sf_dir))
+        shown = shown.withColumns({c: F.col(c).cast("string") for c in _MASKED_COLUMNS})
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
+_PEOPLE_SQL = """SELECT which, id, CASE id % 4 WHEN 0 THEN 'WEST' WHEN 1 THEN 'CENTRAL' ELSE 'EAST' END AS region,
+  CASE id % 3 WHEN 0 THEN '2023-06-01' ELSE '2024-02-01' END AS order_date, CASE id % 5 WHEN 0 THEN 'hr' ELSE 'it' END AS dept,
+  CASE id % 2 WHEN 0 THEN 'Ann' ELSE 'Bob' END AS name, CASE id % 7 WHEN 0 THEN NULL ELSE 'open' END AS status,
+  CASE id % 6 WHEN 0 THEN DATE '9999-01-01' ELSE DATE '2020-01-01' END AS day FROM {ids}"""
+# What the expressions of the filter items mean for these rows.
+_VISIBLE_SQL = """CASE filter_expr WHEN 'region = ''WEST''' THEN region = 'WEST'
+  WHEN 'region IN (''WEST'', ''CENTRAL'')  AND order_date >= ''2024-01-01''' THEN region IN ('WEST', 'CENTRAL') AND order_date >= '2024-01-01'
+  WHEN 'dept!=''hr'' OR name LIKE ''A%''' THEN dept <> 'hr' OR name LIKE 'A%'
+  WHEN 'status IS NOT NULL AND CURRENT_DATE > day' THEN status IS NOT NULL AND day < DATE '9999-01-01' ELSE true END"""
 
 
-@query("apply_tag_row_filter", "SELECT conv_id, turn, role FROM conversations WHERE role <> 'system'")
+@query(
+    "apply_tag_row_filter",
+    f"""SELECT which, id, region, dept, status FROM ({_PEOPLE_SQL.format(ids="(" + _IDS_SQL + ") ids")}) d JOIN ({_TABLES_SQL.format(parts=2)}) t USING (which)
+    LEFT JOIN (SELECT table_key AS k, arg_max((i.policy_key, i.item_pos, i.filter_expr), (i.policy_key, i.item_pos)) AS last
+      FROM ttables JOIN items i USING (policy_key) WHERE route = 'tag_access' AND i.filter_expr <> '' GROUP BY table_key) r USING (k)
+    LEFT JOIN (SELECT policy_key, item_pos, bool_or(ptype = 'user' AND principal = 'p_9' OR ptype = 'group' AND principal IN ('grp_R', 'uc_4')) AS mine
+      FROM who WHERE ptype <> 'role' GROUP BY ALL) w ON w.policy_key = last[1] AND w.item_pos = last[2]
+    WHERE last IS NULL OR mine = false OR {_VISIBLE_SQL.replace('filter_expr', 'last[3]')}""",
+)
 def apply_tag_row_filter(spark, sf_dir):
-    items = [
-        FilterItem("role = 'user'", groups=("HOUSEHOLD",)), FilterItem("role <> 'system'", groups=("HOUSEHOLD",)),
-        FilterItem("", users=("user_2",)),
-    ]
-    rows = fx.table(spark, sf_dir, "conversations")
-    return enforce.apply_tag_row_filter(rows, Principal("user_3", ("HOUSEHOLD",)), items).select("conv_id", "turn", "role")
+    """Rows that one reader sees of each table, by its tags and the row filters of tag policies."""
+    policies, filters = fx.policies_frame(spark, sf_dir), fx.filter_items(fx.fx_items(spark, sf_dir))
+    tags, out = fx.resource_tags(spark, sf_dir), None
+    for (name, key), table in zip(_TAGGED_TABLES, _table_names(tags, 2)):
+        ids = fx.table(spark, sf_dir, name).select(F.lit(name).alias("which"), F.col(key).cast("bigint").alias("id"))
+        data = spark.sql(_PEOPLE_SQL, ids=ids)
+        seen = enforce.apply_tag_row_filter(data, tags, policies, filters, table, _READER, fx.mapping(spark, sf_dir))
+        out = seen if out is None else out.unionByName(seen)
+    return out.select("which", "id", "region", "dept", "status")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade import constants as C
+from palisade.functions.text import conditions_to_sql
 from palisade.operators import audit, validate
 from palisade.plans import fixtures as fx
 from palisade.plans import oracle as o
@@ -327,7 +328,21 @@ def normalise_access_items(spark, sf_dir):
     text = F.transform(
         "accesses", lambda a: F.concat(a["type"], F.lit("="), F.coalesce(a["is_allowed"].cast("string"), F.lit("")))
     )
-    return rows.withColumn("accesses", F.array_join(text, ","))
+    return rows.withColumn("accesses", F.array_join(text, ",")).drop("conditions")
+
+
+@query(
+    "item_conditions",
+    """SELECT policy_key, kind, item_pos, CASE WHEN kind = 'deny' THEN coalesce(a, 'TRUE') ELSE coalesce(nullif(array_to_string(list_filter([
+      CASE WHEN g1 IS NOT NULL THEN 'teams = ''' || g1 || '''' END,
+      CASE WHEN b IS NOT NULL THEN 'users IN (''' || a || ''', ''' || b || ''')' WHEN a IS NOT NULL THEN 'users = ''' || a || '''' END
+      ], lambda x: x IS NOT NULL), ' AND '), ''), 'TRUE') END AS predicate
+    FROM (SELECT *, coalesce(u1, u2) AS a, CASE WHEN u1 IS NOT NULL THEN u2 END AS b FROM docitems) d""",
+)
+def item_conditions(spark, sf_dir):
+    """Conditions of access items, from the documents, as predicates."""
+    rows = docs.normalise_access_items(_parsed(spark, sf_dir))
+    return rows.select("policy_key", "kind", "item_pos", F.array_join(conditions_to_sql(F.col("conditions")), " AND ").alias("predicate"))
 
 
 @query(
@@ -336,7 +351,7 @@ def normalise_access_items(spark, sf_dir):
     FROM dockey d JOIN items i ON i.policy_key = d.k WHERE filter_expr IS NOT NULL""",
 )
 def normalise_filter_items(spark, sf_dir):
-    return _joined_lists(docs.normalise_filter_items(_parsed(spark, sf_dir)), "users", "groups")
+    return _joined_lists(docs.normalise_filter_items(_parsed(spark, sf_dir)), "users", "groups").drop("conditions")
 
 
 @query(
@@ -345,7 +360,7 @@ def normalise_filter_items(spark, sf_dir):
     FROM dockey d JOIN items i ON i.policy_key = d.k WHERE mask_type IS NOT NULL""",
 )
 def normalise_mask_items(spark, sf_dir):
-    return _joined_lists(docs.normalise_mask_items(_parsed(spark, sf_dir)), "users", "groups").drop("mask_condition")
+    return _joined_lists(docs.normalise_mask_items(_parsed(spark, sf_dir)), "users", "groups").drop("mask_condition", "conditions")
 
 
 # --- lint ---------------------------------------------------------------------------------------------

@@ -334,17 +334,23 @@ def _document_items(items: DataFrame) -> DataFrame:
         lambda a: a["type"].isNotNull(),
     )
     who = [filled("u1", "u2").alias("users"), filled("g1", "g2", "g3").alias("groups")]
-    access = F.struct(*who, filled("r1", "r2").alias("roles"), accesses.alias("accesses"))
+    expression = F.to_json(F.struct(F.lit("expression").alias("type"), filled("u1", "u2").alias("values")))
+    named = F.to_json(F.struct(filled("g1").alias("teams"), F.lit("x").alias("note"), filled("u1", "u2").alias("users")))
+    conditions = F.when(F.col("kind") == "deny", F.concat(F.lit("["), expression, F.lit("]"))).otherwise(named).alias("conditions")
+    access = F.struct(*who, filled("r1", "r2").alias("roles"), accesses.alias("accesses"), conditions)
     row_filter = F.struct(*who, F.struct(F.col("filter_expr").alias("filterExpr")).alias("rowFilterInfo"))
     mask = F.struct(*who, F.struct(F.col("mask_type").alias("dataMaskType")).alias("dataMaskInfo"))
 
-    def listed(condition, item, name):
+    # A VARIANT has no order, so the text becomes one after the sort.
+    as_json = lambda i: i.withField("conditions", F.parse_json(i["conditions"]))
+
+    def listed(condition, item, name, shown=lambda i: i):
         rows = F.array_sort(F.collect_list(F.when(condition, F.struct("item_pos", item.alias("i")))))
-        return F.nullif(F.transform(rows, lambda r: r["i"]), F.slice(F.transform(rows, lambda r: r["i"]), 1, 0)).alias(name)
+        return F.when(F.size(rows) > 0, F.transform(rows, lambda r: shown(r["i"]))).alias(name)
 
     return items.groupBy("policy_key").agg(
-        listed(F.col("kind") == "allow", access, "policyItems"),
-        listed(F.col("kind") == "deny", access, "denyPolicyItems"),
+        listed(F.col("kind") == "allow", access, "policyItems", as_json),
+        listed(F.col("kind") == "deny", access, "denyPolicyItems", as_json),
         listed(F.col("filter_expr").isNotNull(), row_filter, "rowFilterPolicyItems"),
         listed(F.col("mask_type").isNotNull(), mask, "dataMaskPolicyItems"),
     )

@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palisade.constants import ITEM_LISTS
 from palisade.functions.once import computed_once
 
+# The conditions of an item are a list of objects or one object of lists. Their text is kept as it is: the order of keys
+# is that of the predicates, and a VARIANT would sort them.
 _ACCESS_ITEMS = (
     "ARRAY<STRUCT<users: ARRAY<STRING>, groups: ARRAY<STRING>, roles: ARRAY<STRING>,"
-    " accesses: ARRAY<STRUCT<type: STRING, isAllowed: BOOLEAN>>, delegateAdmin: BOOLEAN>>"
+    " accesses: ARRAY<STRUCT<type: STRING, isAllowed: BOOLEAN>>, delegateAdmin: BOOLEAN, conditions: STRING>>"
 )
 _FILTER_ITEMS = (
-    "ARRAY<STRUCT<users: ARRAY<STRING>, groups: ARRAY<STRING>, rowFilterInfo: STRUCT<filterExpr: STRING>>>"
+    "ARRAY<STRUCT<users: ARRAY<STRING>, groups: ARRAY<STRING>, rowFilterInfo: STRUCT<filterExpr: STRING>, conditions: STRING>>"
 )
 _MASK_ITEMS = (
     "ARRAY<STRUCT<users: ARRAY<STRING>, groups: ARRAY<STRING>,"
-    " dataMaskInfo: STRUCT<dataMaskType: STRING, conditionExpr: STRING>>>"
+    " dataMaskInfo: STRUCT<dataMaskType: STRING, conditionExpr: STRING>, conditions: STRING>>"
 )
 _RESOURCES = "MAP<STRING, STRUCT<values: ARRAY<STRING>, isExcludes: BOOLEAN, isRecursive: BOOLEAN>>"
 POLICY_SCHEMA = (
@@ -40,7 +42,7 @@ ORDER = ("block_pos", "section", "pos")
 
 @dataclass
 class PolicyTables:
-    """Normalised relations; ``policy_key`` joins them, positions carry list order."""
+    """Normalised relations; ``policy_key`` joins them, positions carry list order, ``conditions`` is JSON text."""
 
     policies: DataFrame
     access_items: DataFrame
@@ -288,7 +290,7 @@ def normalise_access_items(parsed: DataFrame) -> DataFrame:
             F.coalesce("i.accesses", F.expr("CAST(array() AS ARRAY<STRUCT<type: STRING, isAllowed: BOOLEAN>>)")),
             lambda a: F.struct(a["type"].alias("type"), a["isAllowed"].alias("is_allowed")),
         ).alias("accesses"),
-        F.coalesce("i.delegateAdmin", F.lit(False)).alias("delegate_admin"),
+        F.coalesce("i.delegateAdmin", F.lit(False)).alias("delegate_admin"), "i.conditions",
     )
 
 
@@ -299,7 +301,7 @@ def normalise_filter_items(parsed: DataFrame) -> DataFrame:
     return rows.select(
         "policy_key", F.col("item_pos").cast("bigint").alias("item_pos"),
         _list("i.users").alias("users"), _list("i.groups").alias("groups"),
-        F.coalesce("i.rowFilterInfo.filterExpr", F.lit("")).alias("filter_expr"),
+        F.coalesce("i.rowFilterInfo.filterExpr", F.lit("")).alias("filter_expr"), "i.conditions",
     )
 
 
@@ -311,7 +313,7 @@ def normalise_mask_items(parsed: DataFrame) -> DataFrame:
         "policy_key", F.col("item_pos").cast("bigint").alias("item_pos"),
         _list("i.users").alias("users"), _list("i.groups").alias("groups"),
         F.coalesce("i.dataMaskInfo.dataMaskType", F.lit("MASK")).alias("mask_type"),
-        F.col("i.dataMaskInfo.conditionExpr").alias("mask_condition"),
+        F.col("i.dataMaskInfo.conditionExpr").alias("mask_condition"), "i.conditions",
     )
 
 

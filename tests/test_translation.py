@@ -248,3 +248,19 @@ def test_policy_type(spark):
     files = [policy(**lists, **({} if d is None else {"policyType": d})) for d, lists, _ in cases]
     rows = run(spark, *files).policies.select("scope", "policy_type").collect()
     assert {r["scope"]: r["policy_type"] for r in rows} == {f"f{i}": c[2] for i, c in enumerate(cases)}
+
+
+def test_conditions_of_items(spark):
+    from palisade.functions.text import conditions_to_sql
+
+    cases = {
+        '[{"type": "expression", "values": ["a > 1", "b"]}]': ["a > 1"], '[{"type":"expression"}]': ["TRUE"],
+        '[{"type":"ip","values":["1","2"]},{"z":["q"],"a":["r"]}]': ["values IN ('1', '2')", "z = 'q' AND a = 'r'"],
+        '{"users":["u","v"],"note":"x","teams":[],"n":3}': ["users IN ('u', 'v')"], "{}": ["TRUE"], "[]": [], None: [], "nonsense": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "c string").select("c", conditions_to_sql(F.col("c")).alias("p")).collect()
+    assert {r.c: r.p for r in rows} == cases
+    item = {"users": ["u"], "accesses": [{"type": "read"}], "conditions": [{"z": [1, 2], "a": ["x"]}]}
+    docs = spark.createDataFrame([("f", json.dumps(policy(policyItems=[item])))], "source string, json string")
+    (row,) = documents.policy_tables(docs).access_items.select(conditions_to_sql(F.col("conditions")).alias("p")).collect()
+    assert row.p == ["z IN ('1', '2') AND a = 'x'"]
