@@ -4,15 +4,17 @@ A node of the page tree has a density: its characters per tag, where characters
 count against it. The sum over a node's children is large where many dense blocks stand side by side,
 so the subtree with the largest sum is the article. The least density on the way from it up to the body
 is the threshold: blocks elsewhere that reach it widen the subtree to the wrapper of them all, and
-parts that lie below it, and that are mostly links, are left out, as are elements that never hold an article's text (menus, headers, footers, forms, scripts, comments and
-the like, by element name, role, or a word of their class or id). A form or a class or id of that kind
-says little where it wraps the page: such a mark goes if most of the text, or the only article, is inside.
+parts that lie below it, and that are mostly links, are left out, as are elements that never hold an article's text (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, comments, by element name or role, or by a class or id all of whose words
+name such a part). A form or a class or id of that kind says little where it wraps the page: such a mark goes if most of
+the text, or the only article, is inside.
 
 Everything happens within a row; memory is one Arrow batch and one page's tree.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -21,10 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.DOTALL
-)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.DOTALL)
+#: One attribute of a start tag; quotes have a meaning only where a value begins.
+_ATTRIBUTE = re.compile(r"""[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
 #: Elements whose content is text, not markup, up to their end tag.
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -37,76 +38,130 @@ _NEVER = {
     "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "input",
     "textarea", "iframe", "object", "embed", "svg", "canvas", "audio", "video", "map", "dialog", "menu", "title", "fieldset", "datalist",
 }
-_NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "note"}
-_NEVER_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pager", "pagination", "header", "masthead", "topbar", "footer",
-    "sidebar", "side", "aside", "rail", "widget", "widgets", "related", "recommended", "recommendations", "share", "sharing", "social",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter",
-    "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "reader",
-    "search", "form", "toolbar", "skip", "copyright", "legal", "disclaimer", "tracking", "hidden",
+_NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+#: What the parts of a page are called that are not its article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+_KINDS = {
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "notice", "notices",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising",
+    "adsense", "banner", "sponsored", "promo", "form", "newsletter", "signup", "login", "search", "comment", "comments", "commentlist", "disqus",
 }
+#: What may stand beside such a word in a name without making it the name of something else.
+_FILLERS = {
+    "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "list", "section", "area", "wrap", "wrapper",
+    "box", "container", "bar", "block", "slot", "unit", "links", "item", "items", "inner", "outer", "widget", "user", "users", "reader", "readers",
+    "mobile", "desktop", "sticky", "fixed", "google", "js", "id", "policy",
+}
+#: The same for all kinds but headers, which hold the title there.
+_OF_ARTICLES = {"post", "entry", "article", "blog", "story"}
+_HEADERS = {"header", "masthead", "banner"}
 #: Elements that may as well wrap a whole page, and words that never name such a wrapper.
 _WRAPPERS = {"form", "fieldset"}
 _NEVER_WRAPPERS = {
-    "hidden", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "cookie", "cookies", "consent", "gdpr",
-    "advert", "adverts", "advertisement", "advertising", "adsense", "related", "recommended", "recommendations",
+    "comment", "comments", "commentlist", "disqus", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "ad", "ads", "advert",
+    "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsored", "promo",
 }
-#: Share of the unlinked text of a page that is most of it.
-_MOST = 0.75
-#: A start tag of one of these ends an open element of the second set.
+#: Share of the unlinked text of a page that is most of it, and share below which articles in sight are teasers.
+_MOST, _TEASER = 0.75, 0.1
+#: A start tag of one of these ends open elements of the second set, up to one of the third.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_HAVING = {"has", "with", "no", "without"}
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "never", "wraps", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "never", "wraps", "children", "parent", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, never: bool, parent: Node | None, wraps: bool = False) -> None:
         self.name, self.never, self.parent, self.wraps = name, never, parent, wraps  # wraps: never, unless it wraps the page
         self.children: list[Node | str] = []
+        self.depth: int = 0 if parent is None else parent.depth + 1
+
+
+class _Open:
+    """Open elements, found by name without a walk."""
+
+    def __init__(self, root: Node) -> None:
+        self.at, self.named, self.blocks = root, {"": [root]}, [root]
+
+    def push(self, node: Node) -> None:
+        self.at = node
+        self.named.setdefault(node.name, []).append(node)
+        if node.name not in _INLINE:
+            self.blocks.append(node)
+
+    def close(self, node: Node) -> None:
+        """Ends ``node``, which is open, and all in it."""
+        while True:
+            ended = self.at
+            self.named[ended.name].pop()
+            if ended.name not in _INLINE:
+                self.blocks.pop()
+            self.at = ended.parent
+            if ended is node:
+                return
+
+    def last(self, name: str) -> Node | None:
+        found = self.named.get(name)
+        return found[-1] if found else None
+
+
+def _attributes(page: str, pos: int) -> tuple[dict[str, str], int]:
+    """Attributes of a start tag, the first of a name counting, and the place after its end."""
+    found: dict[str, str] = {}
+    if page[pos : pos + 1] == ">":
+        return found, pos + 1
+    while pos < len(page):
+        m = _ATTRIBUTE.match(page, pos)
+        pos = max(m.end(), pos + 1) if m.end() == pos and page[pos : pos + 1] != ">" else m.end()
+        if m[1]:
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        if page[pos : pos + 1] == ">":
+            return found, pos + 1
+    return found, len(page)
+
+
+def _kind(name: str) -> str | None:
+    """The kind that a class or id names, if all its words speak of that."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    kinds = [w for w in words if w in _KINDS]
+    others = _FILLERS if not kinds or kinds[-1] in _HEADERS else _FILLERS | _OF_ARTICLES
+    return kinds[-1] if kinds and all(w in _KINDS or w in others for w in words) else None
 
 
-def _is_never(name: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+def _is_never(name: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
     """Whether an element is left out, and whether that is undone where it wraps the page."""
     if name in _NEVER and name not in _WRAPPERS:
         return True, False
     # A header inside an article holds its title; elsewhere it is the page's.
     if name == "header":
-        up = parent
-        while up is not None and up.name not in ("article", "main"):
-            up = up.parent
-        return up is None, False
-    never = wraps = name in _WRAPPERS
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
-        return never, wraps
-    for m in _NAMED.finditer(attributes):
-        key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
-            return True, False
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True, False
-        if key == "role" and value.strip().lower() in _NEVER_ROLES:
-            return True, False
-        if key in ("class", "id"):
-            # Each name by its words; "has-sidebar" speaks of something else.
-            for one in value.split():
-                words = _WORDS.findall(one)
-                if not _HAVING.intersection(words[:1]) and not _NEVER_WORDS.isdisjoint(w.lower() for w in words):
-                    never = wraps = True
-                    if not _NEVER_WRAPPERS.isdisjoint(w.lower() for w in words):
-                        return True, False
-    return never, wraps
+        return not in_article, False
+    never = name in _WRAPPERS or attributes.get("role", "").strip().lower() == "form"
+    if not attributes or name in ("html", "body"):
+        return never, never
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True, False
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.IGNORECASE):
+        return True, False
+    if name in ("article", "main"):
+        return never, never
+    if attributes.get("role", "").strip().lower() in _NEVER_ROLES:
+        return True, False
+    for one in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        if kind := _kind(one):
+            if in_article and kind in _HEADERS:
+                continue
+            never = True
+            if kind in _NEVER_WRAPPERS:
+                return True, False
+    return never, never
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; unclosed and misnested elements end with whatever closes around them."""
-    root = at = Node("", False, None)
-    pos = 0
+    """The tree of a page; unclosed and misnested elements end with whatever closes around them. Linear in the page."""
+    root = Node("", False, None)
+    open_, pos = _Open(root), 0
     while pos < len(page):
         m = _PART.match(page, pos)
         pos = m.end()
@@ -114,43 +169,41 @@ def parse(page: str) -> Node:
         if name is None:
             piece = m.group()
             if not piece.startswith("<") or piece == "<":
-                at.children.append(html.unescape(piece))
+                open_.at.children.append(html.unescape(piece))
             elif piece.startswith("<![CDATA["):
-                at.children.append(piece[9:].removesuffix("]]>"))
+                open_.at.children.append(piece[9:].removesuffix("]]>"))
             continue
         name = name.lower()
+        attributes, pos = _attributes(page, pos)
         if m.group(1):
-            up = at
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if (ended := open_.last(name)) is not None:
+                open_.close(ended)
             continue
-        attributes = m.group(3) or ""
         if name in _VOID:
-            at.children.append(Node(name, name == "input", at))
+            open_.at.children.append(Node(name, name == "input", open_.at))
             continue
-        if name in ("html", "body") and at.parent is not None and any(c.name == name for c in _path(at)):
+        if name in ("html", "body") and open_.last(name) is not None:
             continue
-        at = _closed_before(name, at)
-        never, wraps = _is_never(name, attributes, at)
-        node = Node(name, never, at, wraps)
-        if name == "main":
-            for up in _path(at):
-                up.never = False
-        at.children.append(node)
+        _close_before(name, open_)
+        in_article = bool(open_.last("article") or open_.last("main"))
+        never, wraps = _is_never(name, attributes, in_article)
+        node = Node(name, never, open_.at, wraps)
+        open_.at.children.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, pos)
+            end = re.compile(rf"</{name}(?![^\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, pos)
             pos = end.end() if end else len(page)
             continue
-        if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
-            at = node
+        if not ("/" == page[pos - 2 : pos - 1] and name in ("svg", "path")):
+            open_.push(node)
     _unmark(root)
     return root
 
 
 def _unmark(root: Node) -> None:
-    """Clears the marks of elements that wrap the page: most of its unlinked text, or its article where no other is in sight."""
+    """Clears the marks of elements that wrap the page: its ``main``, its article, or most of its unlinked text.
+
+    Articles in sight are the page's, unless they hold next to nothing of it.
+    """
     stack, text = [(root, False, False)], {}
     order, wrappers, articles = [], [], []
     while stack:
@@ -163,15 +216,21 @@ def _unmark(root: Node) -> None:
         if node.name in ("article", "main"):
             articles.append((node, within))
         stack += [(c, linked, within) for c in node.children if not isinstance(c, str) and (not c.never or c.wraps)]
+    for node, _ in articles:
+        if node.name == "main":
+            for up in _path(node):
+                up.never = False
+            break
     if not wrappers:
         return
     for node in reversed(order):
         if node is not root:
             text[node.parent] += text[node]
     articles = [(n, within) for n, within in articles if text[n]]
-    if any(not within for _, within in articles):
+    in_sight = sum(text[n] for n, within in articles if not within)
+    if in_sight and in_sight >= _TEASER * text[root]:
         return
-    if articles:
+    if articles and not in_sight:
         for up in _path(max((n for n, _ in articles), key=text.get)):
             up.never = False
     for node in wrappers:
@@ -185,24 +244,23 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _closed_before(name: str, at: Node) -> Node:
-    """Where a new element goes: it ends an open paragraph, list item or cell that it can't be part of."""
+def _close_before(name: str, open_: _Open) -> None:
+    """A new element ends an open paragraph, list item or cell that it can't be part of."""
     if name == "body":
-        return next((n.parent for n in _path(at) if n.name == "head"), at)
-    if name in _CLOSES:
+        if (head := open_.last("head")) is not None:
+            open_.close(head)
+    elif name in _CLOSES:
         ends, walls = _CLOSES[name]
-        found = at
-        while found.parent is not None and found.name not in walls:
-            if found.name in ends:
-                at = found.parent
-            found = found.parent
-    elif name not in _INLINE:
-        for n in _path(at):
-            if n.name == "p":
-                return n.parent
-            if n.name not in _INLINE:
-                break
-    return at
+        wall = max((n.depth for w in walls if (n := open_.last(w)) is not None), default=0)
+        ended = [found for e in ends if (nodes := open_.named.get(e)) for found in nodes[bisect.bisect_right(nodes, wall, key=_depth) :][:1]]
+        if ended:
+            open_.close(min(ended, key=_depth))
+    elif name not in _INLINE and open_.blocks[-1].name == "p":
+        open_.close(open_.blocks[-1])
+
+
+def _depth(node: Node) -> int:
+    return node.depth
 
 
 def _measure(root: Node) -> list[Node]:

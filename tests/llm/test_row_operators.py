@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
+
 from palisade.llm import html_text, language, quality, secrets
 from palisade.llm.language import letters
 from tests.llm.conftest import ODD
@@ -245,3 +247,102 @@ def test_pages_of_the_test_tables(spark):
         article = re.sub(r"</?b>", "", re.search(r"<article>(.*?)(</article>|\Z)", row.html, re.S)[1])
         blocks = (" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]*>", article))
         assert row.text == "\n".join(b for b in blocks if b)
+
+
+LINE = ("A long line of text with many words in it, so that it counts as a block of the page. " * 2).strip()
+
+
+@pytest.mark.parametrize("tag", [
+    "<p data-x=it's>", '<p title="a hidden gem">', '<p data-hidden="false">', '<p data-id="menu-item">', '<p data-role="form">', '<p class="a"">',
+    "<p class=form-note>", '<p class="reader-content">', '<div class="side-by-side">', "<p class=share-price>", "<p class=legal-history>",
+    "<p class=copyright-law>", "<p class=reader-quote>", "<p class=widget-lead>", "<figure role=note>", "<p title='<b>'>", "<p/class=x>", "<p =x>", "<p a=1b='2'>",
+])
+def test_attributes_and_words_that_say_nothing_of_the_part(tag):
+    some = f"<p>{LINE}</p>" * 3
+    for wrapper in ("article", "div"):
+        text = html_text.main_text(f"<body><nav>m</nav><{wrapper}>{some}{tag}it's here</p>{some}</{wrapper}></body>")
+        assert text.split("\n") == [LINE] * 3 + ["it's here"] + [LINE] * 3
+
+
+@pytest.mark.parametrize("tag", [
+    "<div class=comments>", '<div id="user-comments">', '<div class="x ad">', '<div class="cookie-notice">', '<section class="post-comments">',
+    '<div class="site-footer">', '<div class="mainMenu">', "<div hidden>", "<div HIDDEN=''>", "<div style='color:red; display : none'>", "<div role=navigation>", "<div id=ad-slot-2>",
+])
+def test_parts_that_are_named_so_are_left_out(tag):
+    some = f"<p>{LINE}</p>" * 3
+    assert html_text.main_text(f"<body><article>{some}{tag}{some}</div></section></article></body>") == "\n".join([LINE] * 3)
+
+
+def test_a_teaser_is_not_the_article():
+    some = f"<p>{LINE}</p>" * 6
+    for name in ("reader-view", "sidebar"):
+        assert html_text.main_text(f"<body><article>Teaser</article><div class={name}>{some}</div></body>") == "\n".join([LINE] * 6)
+
+
+@pytest.mark.parametrize("piece", ["<b><li>x", "</i>y", "<b><li></li>", "<b><div></div>", "<main>", "<tr><td><b>", "<p><b>", "<a b='c", "<div class=x><article>"])
+def test_time_grows_with_the_page(piece):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - start
+
+    assert seconds(80_000) < 24 * max(seconds(10_000), 0.05)
+
+
+def test_densities_of_small_trees_by_hand():
+    import math
+
+    rng = random.Random(6)
+
+    def grow(depth):
+        name = rng.choice(["div", "section", "p", "a", "b"]) if depth else "div"
+        kids = [grow(depth + 1) if depth < 4 and rng.random() < 0.6 else rng.choice(["word", "two words", " ", "x" * 50]) for _ in range(rng.randint(0, 4))]
+        return name, kids
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(markup, node[1])) + f"</{node[0]}>"
+
+    def counts(node, linked=False):
+        """(chars, tags, linked chars, linked tags) below a node."""
+        if isinstance(node, str):
+            n = len(node.replace(" ", ""))
+            return n, 0, n if linked else 0, 0
+        linked = linked or node[0] == "a"
+        parts = [counts(k, linked) for k in node[1]]
+        inner = [k for k in node[1] if not isinstance(k, str)]
+        return (sum(p[0] for p in parts), sum(p[1] for p in parts) + len(inner), sum(p[2] for p in parts),
+                sum(p[3] for p in parts) + sum(k[0] == "a" for k in inner))
+
+    def density(node, linked, share):
+        c, t, lc, lt = counts(node, linked)
+        if not c:
+            return 0.0
+        return c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt) + 1) / math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e) + 1)
+
+    tried = 0
+    for _ in range(300):
+        tree = grow(0)
+        root = html_text.parse(markup(tree))
+        shape = lambda n: n if isinstance(n, str) else (n.name, [shape(c) for c in n.children])
+        if [shape(c) for c in root.children] != [tree]:
+            continue  # a paragraph that a block has ended
+        tried += 1
+        c, _, lc, _ = counts(("", [tree]))
+        html_text._measure(root)
+        best, stack = (0.0, None), [(root.children[0], tree, False)]
+        while stack:
+            node, want, linked = stack.pop()
+            linked = linked or want[0] == "a"
+            assert node.density == pytest.approx(density(want, linked, lc / max(1, c)))
+            own = sum(len(k.replace(" ", "")) for k in want[1] if isinstance(k, str)) if want[0] != "a" else 0
+            total = own + sum(density(k, linked, lc / max(1, c)) for k in want[1] if not isinstance(k, str))
+            assert node.total == pytest.approx(total)
+            if want[0] not in ("a", "b") and total > best[0]:
+                best = total, node
+            stack += [(n, w, linked) for n, w in zip(node.children, want[1]) if not isinstance(w, str)]
+        if best[1] is not None:
+            chosen, threshold = html_text._main(root)
+            assert chosen in html_text._path(best[1]) and threshold == pytest.approx(min(n.density for n in html_text._to_body(best[1])))
+    assert tried > 100
