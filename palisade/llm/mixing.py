@@ -107,7 +107,7 @@ def _rounded(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     first = F.get("items", F.lit(0))
     start = F.struct(first.alias("open"), F.slice("items", 1, 0).alias("done"))
-    folded = F.aggregate(F.slice("items", 2, 1_000_000), start, lambda s, x: _meet(s, x, seed))
+    folded = F.aggregate(F.slice("items", 2, F.size("items")), start, lambda s, x: _meet(s, x, seed))
     return grouped.select(*keys, folded.alias("f")).select(*keys, F.col("f.open").alias("open"), F.col("f.done").alias("done"))
 
 
