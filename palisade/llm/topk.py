@@ -24,6 +24,8 @@ from palisade.session import write_through
 #: Components in a shard and in a block of queries.
 SHARD_VALUES, BLOCK_VALUES = 1 << 19, 1 << 18
 LEAF = 64
+#: The largest double that is a 64-bit number.
+_LARGEST = float(2**63 - 1024)
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -62,39 +64,43 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, floor: np.nda
     ``floor`` is a score that k points elsewhere reach already: less is not looked for. Points with
     the id of the query are left out. Ties go to the smaller id.
     """
+    # Whole numbers beyond those of doubles stay whole; their least stands for "nothing yet".
+    whole = np.issubdtype(queries.dtype, np.integer)
+    kind, least_of_all = (np.int64, np.iinfo(np.int64).min) if whole else (np.float64, -np.inf)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     alive = np.ones((len(queries), 1), bool)
     for level, (low, high) in enumerate(zip(tree.low, tree.high)):
         if level:
             alive = np.repeat(alive, 2, axis=1)
         use = np.flatnonzero(alive.any(axis=0))
-        bound = np.full(alive.shape, -np.inf)
+        bound = np.full(alive.shape, least_of_all, kind)
         bound[:, use] = up @ high[use].T + down @ low[use].T
         alive &= bound >= floor[:, None]
-    bound[~alive] = -np.inf
-    visits = np.argsort(-bound, axis=1, kind="stable")
+    bound[~alive] = least_of_all
+    falling = (lambda x: ~x) if whole else np.negative  # ~x: as -x, but for the least of all
+    visits = np.argsort(falling(bound), axis=1, kind="stable")
     none = np.iinfo(np.int64).max
-    scores, ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), none)
+    scores, ids = np.full((len(queries), k), least_of_all, kind), np.full((len(queries), k), none)
     everyone, cuts = np.arange(len(queries)), tree.bounds[-1]
     for step in range(bound.shape[1]):
         node = visits[:, step]
         least = np.maximum(floor, scores[:, -1])
-        go = (bound[everyone, node] >= least) & (bound[everyone, node] > -np.inf)
+        go = (bound[everyone, node] >= least) & (bound[everyone, node] > least_of_all)
         if not go.any():
             break
         for n in np.unique(node[go]):
             who = everyone[go & (node == n)]
             i, j = cuts[n], cuts[n + 1]
-            got = (queries[who] @ tree.points[i:j].T).astype(np.float64)
-            got[query_ids[who][:, None] == tree.ids[None, i:j]] = -np.inf
-            better = (got >= least[who][:, None]).any(axis=1) & (got > -np.inf).any(axis=1)
+            got = queries[who] @ tree.points[i:j].T
+            got[query_ids[who][:, None] == tree.ids[None, i:j]] = least_of_all
+            better = (got >= least[who][:, None]).any(axis=1) & (got > least_of_all).any(axis=1)
             who, got = who[better], got[better]
             if len(who):
                 s = np.concatenate([scores[who], got], axis=1)
                 d = np.concatenate([ids[who], np.broadcast_to(tree.ids[i:j], got.shape)], axis=1)
-                best = np.lexsort((d, -s), axis=1)[:, :k]
+                best = np.lexsort((d, falling(s)), axis=1)[:, :k]
                 scores[who], ids[who] = np.take_along_axis(s, best, 1), np.take_along_axis(d, best, 1)
-    ids[scores == -np.inf] = -1
+    ids[scores == least_of_all] = -1
     return scores, ids
 
 
@@ -110,16 +116,16 @@ def _searched(k: int):
         if len(points) and len(queries):
             dim = queries.column("dim")[0].as_py()
             p, q = _matrix(points.column("v"), dim), _matrix(queries.column("v"), dim)
-            size = float(np.abs(p).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim
-            if size < 2**53:  # exact as doubles
-                p, q = p.astype(np.float64), q.astype(np.float64)
+            most = lambda x: max(abs(float(x.min(initial=0))), float(x.max(initial=0)))
+            whole = 2**53 <= most(p) * most(q) * dim < 2**63
+            floor = queries.column("floor").fill_null(np.iinfo(np.int64).min).to_numpy()
+            if not whole:  # exact as doubles below 2**53
+                p, q, floor = p.astype(np.float64), q.astype(np.float64), np.where(floor == np.iinfo(np.int64).min, -np.inf, floor)
             own = queries.column("query_id").to_numpy()
-            floor = queries.column("floor").fill_null(-np.inf).to_numpy()
             s, i = search(build(p, points.column("vec_id").to_numpy()), q, own, floor, k)
-            row, col = np.nonzero(i >= np.iinfo(np.int64).min)
-            keep = s[row, col] > -np.inf
-            row, col = row[keep], col[keep]
-            query_ids, vec_ids, scores = own[row], i[row, col], s[row, col].astype(np.int64)
+            row, col = np.nonzero(s > (np.iinfo(np.int64).min if whole else -np.inf))
+            found = s[row, col] if whole else np.clip(s[row, col], -_LARGEST, _LARGEST)
+            query_ids, vec_ids, scores = own[row], i[row, col], found.astype(np.int64)
         return pa.table({c: pa.array(x, pa.int64()) for c, x in (("query_id", query_ids), ("vec_id", vec_ids), ("score", scores))})
 
     return run
@@ -141,7 +147,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     Only vectors of the same length meet. Rows with a null id, a null vector, or a null, NaN or infinite
     component take no part. Rows with the query's id are its own and no candidates; repeated rows of a
     query ask once, the first by its components where they differ. Ties go to the smaller id. Other
-    columns are not read; an empty table gives an empty one.
+    columns are not read; an empty table gives an empty one. Scores are exact where the largest components times the
+    dimension stay below 2^63; beyond, they are doubles, and those that no 64-bit number holds are the largest one.
     """
     rows = scaled(vectors, vec_id, embedding, scale)
     rows = write_through(rows.withColumn("deal", F.xxhash64("vec_id", "v")), "vectors")
@@ -160,10 +167,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     )
     queries = write_through(queries, "queries")
     keys = ["dim", "shard", "block"]
-    at_home = queries.select("query_id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(None).cast("double").alias("floor"))
+    at_home = queries.select("query_id", "v", "dim", F.col("home").alias("shard"), "block", F.lit(None).cast("bigint").alias("floor"))
     search_in = lambda q: points.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_searched(k), _FOUND)
     first = write_through(search_in(at_home), "home")
-    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
+    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     away = queries.join(floors, "query_id", "left").select(
         "query_id", "v", "dim", F.explode(upto("shards")).alias("shard"), "block", "floor", "home"
     ).filter("shard <> home").drop("home")
