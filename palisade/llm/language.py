@@ -12,6 +12,8 @@ per n-gram; profiles are ``top`` rows per language. Predicting is a map over row
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,11 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.llm.text import free_names
+from palisade.session import write_through
 
 TOP = 300
-#: More languages than this in the labels are an error: profiles of all of them are sent to every task.
-MOST_LANGUAGES = 2000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Languages whose profiles are sent to the tasks at once; more are compared in several passes.
+LANGUAGES_PER_PASS = 2000
+
+
+def _class_of(*categories: str) -> str:
+    """All characters of these Unicode categories as ranges of a regular expression."""
+    marks = [unicodedata.category(chr(i))[0] in categories for i in range(sys.maxunicode + 1)] + [False]
+    starts = [i for i, m in enumerate(marks) if m and not marks[i - 1]]
+    return "".join(f"\\U{i:08x}-\\U{marks.index(False, i) - 1:08x}" for i in starts)
+
+
+#: Letters and the marks that combine with them; digits, also superscripts, fractions and numerals, are none.
+_NOT_LETTERS = re.compile(f"[^{_class_of('L', 'M')}]+")
 #: Characters are 21 bits wide, so three of them are one 63-bit number.
 _BITS = np.int64(21)
 #: Texts are counted in stretches of this many characters.
@@ -33,7 +46,7 @@ _STRETCH = 1 << 16
 def letters(text: str) -> str:
     """Lower-cased words of letters, one space around each; empty where there is none."""
     words = _NOT_LETTERS.sub(" ", text.lower()).strip(" ")
-    return f" {words} " if words else ""
+    return f" {words} " if words and any(map(str.isalpha, words)) else ""
 
 
 def _codes(c: np.ndarray, n: int) -> np.ndarray:
@@ -96,11 +109,11 @@ class Model:
         for lang, rank, gram in rows:
             self.ranks[np.searchsorted(self.grams, gram), place[lang]] = rank
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The nearest language (ties: the first by name) and the lead of its distance over the next one's, 0 to 1."""
+    def nearest(self, text: str | None) -> tuple[str, int, int, int] | None:
+        """(language, its distance, that of the next one or -1, n-grams): the nearest; ties: the first by name."""
         words = letters(text or "")
         if not words or not self.langs:
-            return "und", 0.0
+            return None
         own = _most_frequent(*_counts(words), self.top)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         known = self.grams[at] == own
@@ -109,31 +122,32 @@ class Model:
         away[~known[:, None] | (ranks < 0)] = self.top
         distance = away.sum(axis=0)
         best = int(distance.argmin())
-        if len(distance) == 1:
-            return self.langs[0], 1.0 - float(distance[0]) / (self.top * len(own))
-        second = int(np.partition(distance, 1)[1])
-        return self.langs[best], (second - int(distance[best])) / second if second else 0.0
+        second = int(np.partition(distance, 1)[1]) if len(distance) > 1 else -1
+        return self.langs[best], int(distance[best]), second, len(own)
 
 
-def _predicted(model: Model):
+def _nearest(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            pairs = [model.predict(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            found = [model.nearest(t) or (None,) * 4 for t in batch.column(3).to_pylist()]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=_NEAREST.replace(",", "").split()[::2])
 
     return run
 
 
+_NEAREST = "row bigint, doc_id bigint, held_out boolean, near string, distance bigint, second bigint, grams bigint"
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that are never learned from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def identify(
-    docs: DataFrame, top: int = TOP, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame, top: int = TOP, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+    languages_per_pass: int = LANGUAGES_PER_PASS,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` for every row of ``docs``, learned from those not held out.
 
@@ -142,12 +156,25 @@ def identify(
     """
     (out,) = free_names(docs, "__held_out")
     rows = docs.withColumn(out, held_out(F.col(f"`{doc_id}`")))
-    learned = profiles(rows.filter(~F.col(out)), top, text, lang)
-    # ``top`` rows per language, a model whose size does not depend on the number of documents.
-    model = learned.limit(top * MOST_LANGUAGES + 1).collect()
-    if len(model) > top * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    model = Model([(r["lang"], r["rank"], r["gram"]) for r in model], top)
-    return rows.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(out).alias("held_out"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        _predicted(model), "doc_id bigint, held_out boolean, lang_pred string, score double"
+    learned = write_through(profiles(rows.filter(~F.col(out)), top, text, lang), "profiles")
+    names = [r["lang"] for r in learned.filter("rank = 0").select("lang").orderBy("lang").collect()]  # the labels, once each
+    asked = rows.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(out).alias("held_out"), F.col(f"`{text}`").alias("text")
     )
+    found = None
+    for at in range(0, max(1, len(names)), languages_per_pass):
+        some = names[at : at + languages_per_pass]
+        # ``top`` rows per language, a model whose size does not depend on the number of documents.
+        model = learned.filter(F.col("lang").between(some[0], some[-1])).collect() if some else []
+        part = asked.mapInArrow(_nearest(Model([(r["lang"], r["rank"], r["gram"]) for r in model], top)), _NEAREST)
+        found = part if found is None else found.unionByName(part)
+    if len(names) > languages_per_pass:
+        # Two distances per pass; the first two of all are the answer.
+        both = F.array_sort(F.flatten(F.collect_list(F.array("distance", F.when(F.col("second") >= 0, F.col("second"))))))
+        found = found.groupBy("row", "doc_id", "held_out").agg(
+            F.min(F.struct("distance", "near")).alias("best"), F.get(both, F.lit(1)).alias("second"), F.max("grams").alias("grams")
+        ).select("doc_id", "held_out", "best.near", "best.distance", "second", "grams")
+    # The lead over the next language; with a single language, how much of its profile is there.
+    far, one = F.col("second"), 1 - F.col("distance") / (top * F.col("grams"))
+    score = F.when(F.col("near").isNull(), 0.0).when(far < 0, one).when(far == 0, 0.0).otherwise((far - F.col("distance")) / far)
+    return found.select("doc_id", "held_out", F.coalesce("near", F.lit("und")).alias("lang_pred"), score.cast("double").alias("score"))
