@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.identifiers import mask_function_name
 from palisade.functions.masks import RESOURCE_FALLBACK, mask_sql_type, mask_text
-from palisade.functions.ordering import ordered_text
 from palisade.functions.text import case_body, group_test, user_test
 from palisade.operators.config import Config
-from palisade.operators.filters import item_chunk
+from palisade.operators.filters import principals_joined
 from palisade.operators.privileges import explode_principals, map_principal
 from palisade.operators.resources import resource_values, routed
 from palisade.operators.statements import raw_rows
@@ -33,21 +32,18 @@ def pass_through(items: DataFrame, config: Config, map_users: bool = True) -> Da
     For tag masks all users come before all groups and users keep their own names
     (``map_users=False``); otherwise the order is item by item.
     """
-    rows = map_principal(explode_principals(items.filter("mask_type = 'MASK_NONE'"), roles=False), config)
+    shown = items.filter("mask_type = 'MASK_NONE'")
+    rows = map_principal(explode_principals(shown, roles=False), config)
     user = F.col("principal") if map_users else F.col("pname")
     clause = F.concat(
         F.when(F.col("ptype") == "user", user_test(user)).otherwise(group_test(F.col("principal"))), F.lit(SLOT)
     )
     rows = rows.withColumn("clause", clause)
     if map_users:
-        return ordered_text(
-            rows, ["policy_key"], ["item_pos", "prin_pos"], "clause", "\n", "whens", item_chunk()
-        )
+        return principals_joined(rows, shown, ["item_pos", "prin_pos"], "clause", "\n", "whens")
     rank = F.when(F.col("ptype") == "user", F.lit(0)).otherwise(F.lit(1))
     rows = rows.withColumn("rank", rank)
-    return ordered_text(
-        rows, ["policy_key"], ["rank", "item_pos", "prin_pos"], "clause", "\n", "whens", F.struct("rank", item_chunk())
-    )
+    return principals_joined(rows, shown, ["item_pos", "prin_pos"], "clause", "\n", "whens", section="rank")
 
 
 def mask_body(kind: Column, whens: Column, column: Column, fallback: str, config: Config) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions.identifiers import filter_function_name
@@ -20,6 +22,27 @@ def item_chunk():
     return F.floor(F.col("item_pos") / ITEMS_PER_CHUNK)
 
 
+def principal_chunk():
+    return F.floor(F.col("prin_pos") / ITEMS_PER_CHUNK)
+
+
+def principals_joined(
+    rows: DataFrame, items: DataFrame, order: Sequence[str], text: str, separator: str, out: str, section: str | None = None
+) -> DataFrame:
+    """(policy_key, out): texts of the principals of ``items`` in ``order``, however many an item has.
+
+    Runs of items are joined first. A run with an item of more than ITEMS_PER_CHUNK principals is cut further, by item and
+    run of principals; which these are follows from the sizes of the arrays, before anything is exploded.
+    """
+    sizes = sum((F.coalesce(F.size(c), F.lit(0)) for c in ("users", "groups", "roles") if c in items.columns), F.lit(0))
+    hot = items.filter(sizes > ITEMS_PER_CHUNK).select("policy_key", item_chunk().alias("run")).distinct().withColumn("hot", F.lit(True))
+    ahead = ["policy_key", *([section] if section else []), "run"]
+    rows = rows.withColumn("run", item_chunk()).join(hot, ["policy_key", "run"], "left")
+    fine = F.when(F.col("hot"), F.struct("item_pos", principal_chunk()))
+    runs = ordered_text(rows, ahead, order, text, separator, "of_run", fine)
+    return ordered_text(runs, ["policy_key"], ahead[1:], "of_run", separator, out)
+
+
 def filter_clauses(items: DataFrame, config: Config) -> DataFrame:
     """One WHEN clause per item and principal: users before groups, item order kept."""
     rows = map_principal(explode_principals(items.filter("filter_expr <> ''"), roles=False), config)
@@ -42,9 +65,8 @@ def ordered_filter_columns(items: DataFrame, session_words: bool = True) -> Data
 
 def merge_row_filters(items: DataFrame, config: Config) -> DataFrame:
     """(policy_key, filter_body): all items of a policy as one CASE, else its first expression."""
-    merged = ordered_text(
-        filter_clauses(items, config), ["policy_key"], ["item_pos", "prin_pos"], "clause", "\n", "whens", item_chunk()
-    )
+    used = items.filter("filter_expr <> ''")
+    merged = principals_joined(filter_clauses(items, config), used, ["item_pos", "prin_pos"], "clause", "\n", "whens")
     first = items.groupBy("policy_key").agg(F.min_by("filter_expr", "item_pos").alias("first_expr"))
     plain = F.when(F.length("first_expr") > 0, F.col("first_expr")).otherwise(F.lit("TRUE"))
     body = F.when(F.col("whens").isNotNull(), case_body(F.col("whens"), F.lit("TRUE"))).otherwise(plain)

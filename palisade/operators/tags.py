@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade import constants as C
 from palisade.functions.identifiers import filter_function_name, quote_identifier
 from palisade.functions.masks import RESOURCE_FALLBACK, TAG_FALLBACK
-from palisade.functions.ordering import ordered_text
+from palisade.functions.ordering import ordered_text, ordered_text_of_any
 from palisade.functions.text import case_body, filter_columns, group_test, user_test
 from palisade.operators.column_masks import mask_statement_pair, pass_through
 from palisade.operators.config import Config
-from palisade.operators.filters import filter_statement_pair, item_chunk
+from palisade.operators.filters import filter_statement_pair, principal_chunk, principals_joined
 from palisade.operators.grants import expand_grants
 from palisade.operators.privileges import explode_principals, map_principal
 from palisade.operators.resources import resource_values, with_route
@@ -84,7 +84,7 @@ def merge_tag_pairs(tagged: DataFrame, attributes: DataFrame, keys: list[str]) -
     rows = tag_pairs(tagged, attributes, keys).select(
         *keys, "seen", F.concat(F.lit("'"), "pair_key", F.lit("' = '"), "pair_value", F.lit("'")).alias("pair")
     )
-    return ordered_text(rows, keys, ["seen"], "pair", ", ", "pairs")
+    return ordered_text_of_any(rows, keys, ["seen"], "pair", ", ", "pairs")
 
 
 def orphan_tags(definitions: DataFrame, resource_tags: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def deny_digest(policies: DataFrame, items: DataFrame) -> DataFrame:
     lines = explode_principals(deny, roles=False).withColumn(
         "line", F.concat(F.lit("--   DENY "), "ptype", F.lit(": "), "pname")
     )
-    listed = ordered_text(lines, ["policy_key"], ["item_pos", "prin_pos"], "line", "\n", "lines", item_chunk())
+    listed = principals_joined(lines, deny.drop("roles"), ["item_pos", "prin_pos"], "line", "\n", "lines")
     return (
         deny.select("policy_key").distinct().join(listed, "policy_key", "left")
         .select("policy_key", F.concat_ws("\n", F.lit(C.DENY_NOTE), "lines").alias("digest"))
@@ -274,7 +274,7 @@ def tag_filter_rows(
             "filter_expr",
         ),
     )
-    whens = ordered_text(clauses, ["policy_key", "item_pos"], ["prin_pos"], "clause", "\n", "whens")
+    whens = ordered_text(clauses, ["policy_key", "item_pos"], ["prin_pos"], "clause", "\n", "whens", principal_chunk())
     tables = reached_tables(mine, resource_tags)
     parts = F.split("table_key", r"\.")
     rows = (

@@ -237,10 +237,11 @@ def distinct_principals(run: Inputs, config: Config) -> DataFrame:
 
 def principals_text(attribution: DataFrame) -> DataFrame:
     """(policy_key, principals): the ordered list as one text."""
+    # Runs of principals are joined within their item, items within their run.
+    finest = ["policy_key", "section", "obj_pos", "item_pos"]
+    items = ordered_text(attribution, finest, ["prin_pos"], "label", ", ", "of_item", filters.principal_chunk())
     chunk = F.struct("section", "obj_pos", filters.item_chunk())
-    return ordered_text(
-        attribution, ["policy_key"], ["section", "obj_pos", "item_pos", "prin_pos"], "label", ", ", "principals", chunk
-    )
+    return ordered_text(items, ["policy_key"], ["section", "obj_pos", "item_pos"], "of_item", ", ", "principals", chunk)
 
 
 # --- the output policies themselves ------------------------------------------------------

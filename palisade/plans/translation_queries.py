@@ -301,11 +301,11 @@ def custom_mask_statements(spark, sf_dir):
     """SELECT section, table_key, col AS column_name, string_agg(tag, ',' ORDER BY tag_pos) AS tags FROM levels GROUP BY ALL""",
 )
 def split_tag_levels(spark, sf_dir):
-    from palisade.functions.ordering import ordered_text
+    from palisade.functions.ordering import ordered_text_of_any
 
     levels = tags.split_tag_levels(fx.resource_tags(spark, sf_dir))
     keys = ["section", "table_key", "column"]
-    return ordered_text(levels, keys, ["tag_pos"], "tag", ",", "tags").withColumnRenamed("column", "column_name")
+    return ordered_text_of_any(levels, keys, ["tag_pos"], "tag", ",", "tags").withColumnRenamed("column", "column_name")
 
 
 @query("merge_tag_pairs", "SELECT section, table_key, col AS column_name, pairs FROM pairtext WHERE section < 2")
@@ -350,13 +350,12 @@ def tag_statements(spark, sf_dir):
     f"""SELECT CAST(row_number() OVER (ORDER BY section, obj_key, obj_sub) AS BIGINT) AS stmt_no, sql FROM ({o.finish('r_tag', 'taghead')}) t""",
 )
 def sorted_tag_statements(spark, sf_dir):
-    from palisade.functions.ordering import numbered
+    from palisade.functions.ordering import numbered_by_range
 
     rows = tags.tag_statements(
         fx.definitions(spark, sf_dir), fx.attributes(spark, sf_dir), fx.resource_tags(spark, sf_dir), Config()
     )
-    order = [F.col(c) for c in ("section", "obj_key", "obj_sub")]
-    placed = numbered(rows, ["policy_key"], order, ["section", "obj_key"], "stmt_no")
+    placed = numbered_by_range(rows, ["policy_key"], ["section", "obj_key", "obj_sub"], "stmt_no")
     return placed.select(F.col("stmt_no").cast("bigint"), "sql").orderBy("stmt_no")
 
 

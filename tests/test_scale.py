@@ -139,3 +139,66 @@ def test_mask_lengths(spark):
     df = spark.createDataFrame([("abcdef",), ("abc",), (None,)], "c string")
     got = [tuple(r) for r in df.select(masks.mask_show_last_4("c"), masks.mask_show_first_4("c"), masks.mask_full("c")).collect()]
     assert got == [("XXcdef", "abcdXX", "XXXXX"), ("abc", "abc", "XXXXX"), (None, None, "XXXXX")]
+
+
+# --- hot items, columns and sections ----------------------------------------------------------------------------
+
+
+def test_an_item_of_100_000_users_is_joined_in_chunks(spark):
+    from palisade.operators import column_masks, filters
+
+    users = [f"u{i}" for i in range(100_000)]
+    rows = [("p", 0, ["a"], ["g"], "x = 1"), ("p", 1, users, [], "y = 2"), ("p", 2, ["b"], [], "z = 3"), ("q", 0, ["c"], [], "w")]
+    items = spark.createDataFrame(rows, "policy_key string, item_pos bigint, users array<string>, groups array<string>, filter_expr string")
+    whens = filters.filter_clauses(items, Config())
+    joined = filters.principals_joined(whens.select("policy_key", "item_pos", "prin_pos", F.col("pname").alias("t")), items, ["item_pos", "prin_pos"], "t", ",", "text")
+    assert {r.policy_key: r.text for r in joined.collect()} == {"p": ",".join(["a", "g", *users, "b"]), "q": "c"}
+    # The largest group that is sorted holds one chunk.
+    run, fine = filters.item_chunk(), F.struct("item_pos", filters.principal_chunk())
+    assert whens.groupBy("policy_key", run, fine).count().agg(F.max("count")).first()[0] <= filters.ITEMS_PER_CHUNK
+    body = {r.policy_key: r.filter_body for r in filters.merge_row_filters(items, Config()).collect()}
+    assert body["p"].count("WHEN") == 100_003 and body["p"].index("= 'u99999'") < body["p"].index("= 'b'")
+    masks = items.select("policy_key", "item_pos", "users", "groups", F.lit("MASK_NONE").alias("mask_type"))
+    by_rank = {r.policy_key: r.whens for r in column_masks.pass_through(masks, Config(), map_users=False).collect()}
+    assert by_rank["p"].index("= 'b'") < by_rank["p"].index("member('g')") and by_rank["p"].count("WHEN") == 100_003
+
+
+def test_text_of_a_hot_key_is_cut_by_counting(spark, skewed):
+    from palisade.functions.ordering import ordered_text_of_any
+
+    df = spark.createDataFrame(skewed, "k string, pos long, x int").select("k", (F.col("pos") * F.col("pos")).alias("pos"), F.col("x").cast("string").alias("t"))
+    want = {}
+    for k, _, x in sorted(skewed, key=lambda r: r[1]):
+        want.setdefault(k, []).append(str(x))
+    for chunk in (10, 100, 10_000):
+        got = ordered_text_of_any(df.repartition(5), ["k"], ["pos"], "t", "|", "text", chunk).collect()
+        assert {r["k"]: r["text"] for r in got} == {k: "|".join(v) for k, v in want.items()}
+
+
+def test_tags_of_a_hot_column(spark):
+    from palisade.operators import tags
+
+    tagged = [("", 1, "db.t", "c", 1, i * 7919 % 10_007, f"T{i}") for i in range(3000)] + [("", 1, "db.t", "d", 2, 5, "X")]
+    rows = spark.createDataFrame(tagged, "scope string, section int, table_key string, column string, path_pos bigint, tag_pos bigint, tag string")
+    attributes = spark.createDataFrame([("", "X", 0, "K", "v")], "scope string, tag string, attr_pos bigint, attr_key string, attr_value string")
+    got = {r["column"]: r.pairs for r in tags.merge_tag_pairs(rows, attributes, ["scope", "section", "table_key", "column"]).collect()}
+    ordered = sorted(tagged[:-1], key=lambda r: r[5])
+    assert got == {"c": ", ".join(f"'{r[6].lower()}' = 'true'" for r in ordered), "d": "'x' = 'true', 'k' = 'v'"}
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_numbering_by_ranges(spark, skewed, ranges):
+    from palisade.functions.ordering import numbered_by_range
+
+    rows = skewed + [(None, 1, 2), (None, None, 3), ("hot", 5, 60), ("hot", 5, 60)]
+    df = spark.createDataFrame(rows, "k string, pos long, x int").repartition(6)
+    numbered_rows = numbered_by_range(df, ["k"], ["pos", "x"], "n", ranges)
+    by_key = {}
+    for r in numbered_rows.collect():
+        by_key.setdefault(r.k, []).append((r.n, r.pos, r.x))
+    order = lambda p: tuple((v is not None, v or 0) for v in p)
+    for k, found in by_key.items():
+        want = sorted(((p, x) for kk, p, x in rows if kk == k), key=order)
+        assert [(p, x) for _, p, x in sorted(found)] == want and [n for n, _, _ in sorted(found)] == list(range(1, len(want) + 1))
+    plan = numbered_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan  # no window over the rows of a key, only over its ranges
