@@ -11,7 +11,7 @@ from palisade.operators.config import Config
 from palisade.operators.filters import principals_joined
 from palisade.operators.privileges import explode_principals, map_principal
 from palisade.operators.resources import resource_values, routed
-from palisade.operators.statements import raw_rows
+from palisade.operators.statements import head_of, raw_rows
 
 # Stands for the column inside clause text until the column is known.
 SLOT = "\u0001"
@@ -75,7 +75,7 @@ def mask_targets(policies: DataFrame, config: Config) -> DataFrame:
         routed(policies, config)
         .filter("route = 'column_mask' AND resource_path IS NOT NULL")
         .select(
-            "policy_key", "policy_id", "resource_path", F.split("resource_path", r"\.").alias("parts"),
+            "policy_key", "policy_id", "name", "description", "resource_path", F.split("resource_path", r"\.").alias("parts"),
             resource_values("column").alias("columns"),
         )
     )
@@ -92,7 +92,7 @@ def column_mask_statements(policies: DataFrame, items: DataFrame, config: Config
     return mask_statement_pair(
         rows, "COLUMN_MASK", RESOURCE_FALLBACK,
         F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.get(parts, F.lit(2)), F.col("resource_path"), config,
-        may_head=(F.col("obj_pos") == 0) & (F.col("part") == 0),
+        may_head=(F.col("obj_pos") == 0) & (F.col("part") == 0), head=head_of(),
     )
 
 

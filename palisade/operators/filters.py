@@ -12,7 +12,7 @@ from palisade.functions.text import case_body, filter_columns, group_test, user_
 from palisade.operators.config import Config
 from palisade.operators.privileges import explode_principals, map_principal
 from palisade.operators.resources import routed
-from palisade.operators.statements import raw_rows
+from palisade.operators.statements import head_of, raw_rows
 
 # Items per sorting step when clauses of one policy are strung together.
 ITEMS_PER_CHUNK = 512
@@ -78,7 +78,7 @@ def filter_targets(policies: DataFrame, config: Config) -> DataFrame:
     return (
         routed(policies, config)
         .filter("route = 'row_filter' AND resource_path IS NOT NULL")
-        .select("policy_key", "policy_id", "resource_path", F.split("resource_path", r"\.").alias("parts"))
+        .select("policy_key", "policy_id", "name", "description", "resource_path", F.split("resource_path", r"\.").alias("parts"))
     )
 
 
@@ -96,7 +96,7 @@ def row_filter_statements(policies: DataFrame, items: DataFrame, config: Config)
             ),
         )
     )
-    return filter_statement_pair(rows, "ROW_FILTER", F.col("resource_path"), may_head=F.col("part") == 0)
+    return filter_statement_pair(rows, "ROW_FILTER", F.col("resource_path"), may_head=F.col("part") == 0, head=head_of())
 
 
 def filter_statement_pair(rows: DataFrame, policy_type: str, table, **order) -> DataFrame:

@@ -113,4 +113,6 @@ def not_translatable(policies: DataFrame, config: Config, present: DataFrame) ->
     generic = F.concat(F.lit("-- Reason: resource types "), type_list(), F.lit(" have no Unity Catalog equivalent."))
     body = F.concat(title, F.when(F.col("route") == "access", reason_lines()).otherwise(generic))
     rows = unresolved.join(present, ["policy_key", "route"], "left_semi")
-    return rows.select("policy_key", F.lit("NOT_TRANSLATABLE").alias("policy_type"), body.alias("body"))
+    return rows.select(
+        "policy_key", F.lit("NOT_TRANSLATABLE").alias("policy_type"), body.alias("body"), "policy_id", "name", "description"
+    )

@@ -2,8 +2,9 @@
 
 A raw statement row is (policy_key, policy_type, ORDER..., may_head, note, body). Order
 columns come from list positions, never from a window, so a hot policy stays spread out.
-``may_head`` marks the few rows that can be a policy's first statement; only those are
-shuffled to find it, all others are formatted where they are.
+``may_head`` marks the few rows that can be a policy's first statement. Where the first one is known before rows
+arise, ``head`` holds what its header says, and ``finish_known`` formats every row where it is. Elsewhere the marked
+rows, and only those, are shuffled to find it (``finish``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ ORDER = {
 }
 COLUMNS = ["policy_key", "policy_type", *ORDER, "sql"]
 GRANTS, DENIES, FILTERS, MASKS = 0, 1, 2, 3
+HEAD_TYPE = "struct<policy_id: string, name: string, description: string>"
 
 
 def raw_rows(df: DataFrame, policy_type: str, body: Column, **values: Column | int | bool | str) -> DataFrame:
@@ -46,6 +48,7 @@ def raw_rows(df: DataFrame, policy_type: str, body: Column, **values: Column | i
         if name in values or name in df.columns:
             may_head = may_head & (order_column(name, "int") == 0)
     note = values.get("note", F.lit(None).cast("string"))
+    head = F.when(may_head, values["head"]) if "head" in values else F.lit(None).cast(HEAD_TYPE)
     return df.select(
         "policy_key",
         F.lit(policy_type).alias("policy_type"),
@@ -53,9 +56,15 @@ def raw_rows(df: DataFrame, policy_type: str, body: Column, **values: Column | i
         may_head.alias("may_head"),
         note.alias("note"),
         body.alias("body"),
+        head.alias("head"),
     )
 
 
+def head_of(**columns: Column) -> Column:
+    """What a policy's header says, from its columns."""
+    return F.struct(*[columns.get(n, F.col(n)).cast("string").alias(n) for n in ("policy_id", "name", "description")])
+
+
 def header_positions(rows: DataFrame) -> DataFrame:
     """(policy_key, first): order of the one statement that carries the header.
 
@@ -75,10 +84,9 @@ def finish(rows: DataFrame, policies: DataFrame) -> DataFrame:
     return placed.unionByName(_plain(rows.filter("NOT may_head")))
 
 
-def finish_known(rows: DataFrame, policies: DataFrame) -> DataFrame:
-    """The same for rows whose ``may_head`` already names exactly the first statement."""
-    headed = rows.filter("may_head").join(_head_columns(policies), "policy_key")
-    return _formatted(headed, F.lit(True)).unionByName(_plain(rows.filter("NOT may_head")))
+def finish_known(rows: DataFrame) -> DataFrame:
+    """The same for rows that carry their header: one pass, no join."""
+    return _formatted(rows.select("*", "head.*"), F.col("head").isNotNull())
 
 
 def _plain(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from palisade.operators import column_masks, filters, grants, tags
 from palisade.operators.config import Config
 from palisade.operators.privileges import explode_principals, map_principal
 from palisade.operators.resources import not_translatable, reason_lines, resource_values, routed, type_list
-from palisade.operators.statements import ORDER, finish, finish_known, raw_rows
+from palisade.operators.statements import ORDER, finish, finish_known, head_of, raw_rows
 from palisade.session import write_through
 
 
@@ -39,30 +39,30 @@ def item_owners(run: Inputs) -> DataFrame:
 
 def untranslatable_rows(run: Inputs, config: Config) -> DataFrame:
     rows = not_translatable(run.policies, config, item_owners(run))
-    return raw_rows(rows, "NOT_TRANSLATABLE", F.col("body"))
+    return raw_rows(rows, "NOT_TRANSLATABLE", F.col("body"), head=head_of())
 
 
 def translate_all(run: Inputs, config: Config, write_rows: bool = True) -> DataFrame:
     """Statements of all policies; policies without any statement have no rows.
 
-    Finding the statement that carries the header reads the raw rows a second time, so
-    they are written once in between; ``write_rows=False`` keeps one lazy plan instead.
+    Plain routes know their first statement beforehand. Finding it among those of tag policies reads their raw rows a second
+    time, so these are written once in between; ``write_rows=False`` keeps one lazy plan instead.
     """
     p = run.policies
     fixed = (
         filters.row_filter_statements(p, run.filters, config)
         .unionByName(column_masks.column_mask_statements(p, run.masks, config))
         .unionByName(untranslatable_rows(run, config))
+        .unionByName(grants.access_grants(p, run.access, config))
+        .unionByName(grants.external_location_grants(p, run.access, config))
     )
     searched = (
-        grants.access_grants(p, run.access, config)
-        .unionByName(grants.external_location_grants(p, run.access, config))
-        .unionByName(tags.tag_access_rows(p, run.access, run.filters, run.masks, run.resource_tags, config))
+        tags.tag_access_rows(p, run.access, run.filters, run.masks, run.resource_tags, config)
         .unionByName(tags.tag_mask_rows(p, run.masks, run.resource_tags, config))
     )
     if write_rows:
         searched = write_through(searched, "rows")
-    return finish_known(fixed, p).unionByName(finish(searched, p))
+    return finish_known(fixed).unionByName(finish(searched, p))
 
 
 def translate_with_tags(run: Inputs, config: Config) -> DataFrame:
@@ -162,14 +162,11 @@ def principal_attribution(run: Inputs, config: Config) -> DataFrame:
     p = run.policies
     label = F.concat_ws(":", "ptype", "principal")
     pairs = map_principal(
-        explode_principals(
-            grants.access_privileges(p, run.access, config).dropDuplicates(["policy_key", "item_pos"])
-        ),
-        config,
-    )
-    locations = grants.location_rows(p, run.access, config).dropDuplicates(
-        ["policy_key", "obj_pos", "item_pos", "prin_pos"]
+        explode_principals(grants.granting_items(p, run.access, config).filter(F.size("grants") > 0)), config
     )
+    stored = grants.location_items(p, run.access, config).filter(F.size("grants") > 0)
+    stored = stored.select("policy_key", "item_pos", "users", "groups", "roles", F.posexplode("paths").alias("obj_pos", "path"))
+    locations = map_principal(explode_principals(stored), config)
     filter_targets = filters.filter_targets(p, config).filter("size(parts) = 3").select("policy_key")
     filtered = map_principal(
         explode_principals(

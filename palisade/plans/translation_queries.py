@@ -26,10 +26,6 @@ def config(spark: SparkSession, sf_dir: str) -> Config:
     return Config(mapping=fx.mapping(spark, sf_dir))
 
 
-def finished(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.finish(rows, fx.policies_frame(spark, sf_dir))
-
-
 # --- policies and resources --------------------------------------------------------------
 
 
@@ -79,7 +75,7 @@ def object_keyword(spark, sf_dir):
 @query("not_translatable", o.finish("r_nt"))
 def not_translatable(spark, sf_dir):
     run = fx.inputs(spark, sf_dir)
-    return statements.finish_known(translate.untranslatable_rows(run, Config()), run.policies)
+    return statements.finish_known(translate.untranslatable_rows(run, Config()))
 
 
 @query("path_slug", f"SELECT policy_key, path, {o.LOCATION} AS location FROM (SELECT policy_key, unnest([path1, path2]) AS path FROM base) t WHERE path IS NOT NULL")
@@ -210,7 +206,7 @@ def expand_grants(spark, sf_dir):
 def access_grants(spark, sf_dir):
     items = fx.access_items(fx.fx_items(spark, sf_dir))
     rows = grants.access_grants(fx.policies_frame(spark, sf_dir), items, config(spark, sf_dir))
-    return finished(rows, spark, sf_dir)
+    return statements.finish_known(rows)
 
 
 @query(
@@ -228,7 +224,7 @@ def header_on_first(spark, sf_dir):
 def external_location_grants(spark, sf_dir):
     items = fx.access_items(fx.fx_items(spark, sf_dir))
     rows = grants.external_location_grants(fx.policies_frame(spark, sf_dir), items, config(spark, sf_dir))
-    return finished(rows, spark, sf_dir)
+    return statements.finish_known(rows)
 
 
 @query("merge_row_filters", "SELECT policy_key, filter_body FROM fbody")
@@ -247,7 +243,7 @@ _FILTER_ERRORS = """SELECT policy_key, 'Invalid table path for row filter: ' ||
 def row_filter_statements(spark, sf_dir):
     policies, c = fx.policies_frame(spark, sf_dir), config(spark, sf_dir)
     items = fx.filter_items(fx.fx_items(spark, sf_dir))
-    rows = statements.finish_known(filters.row_filter_statements(policies, items, c), policies)
+    rows = statements.finish_known(filters.row_filter_statements(policies, items, c))
     bad = filters.filter_errors(policies, items, c)
     return rows.select("policy_key", "part", "sql", F.lit(None).cast("string").alias("error")).unionByName(
         bad.select("policy_key", F.lit(0).alias("part"), F.lit(None).cast("string").alias("sql"), F.col("message").alias("error"))
@@ -271,7 +267,7 @@ _MASK_ERRORS = """SELECT policy_key, CASE WHEN len(parts) <> 3 THEN 'Invalid tab
 def column_mask_statements(spark, sf_dir):
     policies, c = fx.policies_frame(spark, sf_dir), config(spark, sf_dir)
     items = fx.mask_items(fx.fx_items(spark, sf_dir))
-    rows = statements.finish_known(column_masks.column_mask_statements(policies, items, c), policies)
+    rows = statements.finish_known(column_masks.column_mask_statements(policies, items, c))
     none = F.lit(None).cast("string")
     return rows.select("policy_key", "obj_pos", "part", "sql", none.alias("error")).unionByName(
         column_masks.mask_errors(policies, items, c).select(
@@ -290,7 +286,7 @@ def custom_mask_statements(spark, sf_dir):
     """Column mask statements where the run brings mask types of its own."""
     policies, c = fx.policies_frame(spark, sf_dir), replace(config(spark, sf_dir), masks=_CUSTOM)
     rows = column_masks.column_mask_statements(policies, fx.mask_items(fx.fx_items(spark, sf_dir)), c)
-    return statements.finish_known(rows, policies).select("policy_key", "obj_pos", "part", "sql")
+    return statements.finish_known(rows).select("policy_key", "obj_pos", "part", "sql")
 
 
 # --- tags -----------------------------------------------------------------------------------------------

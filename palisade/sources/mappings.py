@@ -31,3 +31,16 @@ def with_override(
     )
     joined = df.join(chosen, value, "left")
     return joined.withColumn(out, F.coalesce("__override", fallback)).drop("__override")
+
+
+#: Overrides of one kind up to which they are looked up as a literal map inside a row.
+FEW = 1000
+
+
+def few_overrides(mapping: DataFrame | None, kind: str) -> dict[str, str] | None:
+    """Overrides of ``kind`` as a dictionary, or None where there are more than FEW of them."""
+    if mapping is None:
+        return {}
+    rows = mapping.filter((F.col("mapping_type") == kind) & F.col("target_value").isNotNull())
+    found = rows.groupBy("source_value").agg(F.max("target_value").alias("t")).limit(FEW + 1).collect()
+    return None if len(found) > FEW else {r["source_value"]: r["t"] for r in found}

@@ -202,3 +202,31 @@ def test_numbering_by_ranges(spark, skewed, ranges):
         assert [(p, x) for _, p, x in sorted(found)] == want and [n for n, _, _ in sorted(found)] == list(range(1, len(want) + 1))
     plan = numbered_rows._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan  # no window over the rows of a key, only over its ranges
+
+
+def test_grants_with_many_overrides_are_the_same(spark, monkeypatch):
+    from dataclasses import replace
+
+    from palisade.operators import grants, statements
+    from palisade.sources import mappings
+
+    policies, items = fx.policies_frame(spark, SF), fx.access_items(fx.fx_items(spark, SF))
+    c = replace(Config(), mapping=fx.mapping(spark, SF))
+
+    def rows():
+        return sorted(map(tuple, statements.finish_known(grants.access_grants(policies, items, c)).drop("policy_type").collect()))
+
+    few = rows()
+    monkeypatch.setattr(mappings, "FEW", 0)
+    assert mappings.few_overrides(c.mapping, "privilege") is None
+    assert rows() == few and len(few) > 1000
+
+
+def test_headers_need_no_second_read(spark):
+    from palisade.operators import grants, statements
+
+    policies, items = fx.policies_frame(spark, SF), fx.access_items(fx.fx_items(spark, SF))
+    rows = grants.access_grants(policies, items, Config())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Formatting adds no scan; grants read the items twice, once narrowly for the first statements.
+    assert plan(statements.finish_known(rows)).count("parquet") == plan(rows).count("parquet") <= 4
