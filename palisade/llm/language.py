@@ -37,6 +37,8 @@ def _class_of(*categories: str) -> str:
 
 #: Letters and the marks that combine with them; digits, also superscripts, fractions and numerals, are none.
 _NOT_LETTERS = re.compile(f"[^{_class_of('L', 'M')}]+")
+#: The same for texts without any of the second kind, and several times faster.
+_NOT_LATIN_LETTERS, _MARKS_AND_NUMERALS = re.compile(r"[\W\d_]+"), re.compile("[²³¹¼-¾\u0300-\U0010ffff]")
 #: Characters are 21 bits wide, so three of them are one 63-bit number.
 _BITS = np.int64(21)
 #: Texts are counted in stretches of this many characters.
@@ -45,7 +47,8 @@ _STRETCH = 1 << 16
 
 def letters(text: str) -> str:
     """Lower-cased words of letters, one space around each; empty where there is none."""
-    words = _NOT_LETTERS.sub(" ", text.lower()).strip(" ")
+    low = text.lower()
+    words = (_NOT_LETTERS if _MARKS_AND_NUMERALS.search(low) else _NOT_LATIN_LETTERS).sub(" ", low).strip(" ")
     return f" {words} " if words and any(map(str.isalpha, words)) else ""
 
 
