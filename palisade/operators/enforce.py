@@ -1,8 +1,8 @@
 """Masks and row filters applied to data, for one principal or for many.
 
 Principal tests are literals, so Catalyst folds them: only the branch that applies
-is left in the plan and its filter still reaches the Parquet scan. A view is not a
-security barrier: keep direct table access closed where it has to be one.
+is left in the plan and its filter still reaches the Parquet scan. A view is a barrier
+for what users say of its rows only where it is made ``closed``; direct table access has to be closed in any case.
 """
 
 from __future__ import annotations
@@ -189,11 +189,25 @@ def apply_tag_mask(
     return df.select(*[masked[c].alias(c) if c in masked else F.col(c) for c in df.columns])
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """The same rows, with nothing that is said of them later moving below this point.
+
+    Columns leave through a one-row generate, and a filter on generated columns stays above it. What is below, such
+    as a policy's own filter, still reaches the scan.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def secured_view(
-    df: DataFrame, name: str, principal: Principal, filters: Sequence[FilterRule], masks: Sequence[MaskRule]
+    df: DataFrame, name: str, principal: Principal, filters: Sequence[FilterRule], masks: Sequence[MaskRule], closed: bool = False
 ) -> DataFrame:
-    """Filter on real values, then mask, as a temporary view."""
+    """Filter on real values, then mask, as a temporary view.
+
+    ``closed`` puts a barrier around it: expressions of users never see a hidden row, for the price that their own filters
+    do not reach the scan.
+    """
     secured = apply_mask_for_principal(apply_row_filter(df, principal, filters), principal, masks)
+    secured = barrier(secured) if closed else secured
     secured.createOrReplaceTempView(name)
     return secured
 

@@ -27,11 +27,16 @@ def build_session(app: str = "palisade", master: str | None = None, **extra: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder the session names.
 
-    Where the session names none, a folder of the warehouse is used, which executors share as well.
+    Where the session names none, a folder of the warehouse is used. With executors on other machines that has to be a
+    place they share as well: a warehouse on a local disk is refused then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        remote = not spark.conf.get("spark.master", "local").startswith("local")
+        if remote and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("executors do not share the local warehouse folder; set spark.checkpoint.dir to a shared one")
+        root = warehouse.rstrip("/") + "/.scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -32,11 +32,13 @@ def write_sql_script(numbered: DataFrame, path: str) -> None:
     ordered.select("source", "value").write.partitionBy("source").mode("overwrite").text(path)
 
 
-def create_audit_tables(spark: SparkSession, schema: str, location: str | None = None) -> None:
+def create_audit_tables(spark: SparkSession, schema: str, location: str | None = None, by_run: bool = False) -> None:
+    """The audit tables; ``by_run`` adds a last column ``run_id`` that they are partitioned by, so that a run can be repeated."""
     where = f" LOCATION '{location}'" if location else ""
+    run, parts = (", run_id STRING", " PARTITIONED BY (run_id)") if by_run else ("", "")
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{where}")
     for name, columns in C.AUDIT_TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.{name} ({columns}) USING parquet")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.{name} ({columns}{run}) USING parquet{parts}")
 
 
 def create_audit_views(spark: SparkSession, schema: str) -> None:
@@ -63,21 +65,42 @@ def create_audit_views(spark: SparkSession, schema: str) -> None:
     )
 
 
-def _append(df: DataFrame, schema: str, table: str) -> None:
-    """Append in the table's own column order; columns the frame lacks are NULL."""
-    target = df.sparkSession.table(f"{schema}.{table}").schema
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
+def _append(df: DataFrame, schema: str, table: str, run_id: str | None = None) -> None:
+    """Append in the table's own column order; columns the frame lacks are NULL.
+
+    With a ``run_id`` the rows become that run's partition, in place of what an earlier attempt of it has left: repeated any
+    number of times, a run is there once. The table has to be made ``by_run``.
+    """
+    spark = df.sparkSession
+    target = spark.table(f"{schema}.{table}").schema
+    if run_id is not None:
+        if "run_id" not in target.names:
+            raise ValueError(f"{schema}.{table} is not kept by run")
+        df = df.withColumn("run_id", F.lit(run_id))
     columns = [
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target
     ]
-    df.select(*columns).write.mode("append").insertInto(f"{schema}.{table}")
-
-
-def append_raw_policies(docs: DataFrame, schema: str, when: Column, upload_source: str = "ui") -> None:
+    rows = df.select(*columns)
+    if run_id is None:
+        rows.write.mode("append").insertInto(f"{schema}.{table}")
+        return
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(f"{schema}.{table}")
+    finally:
+        spark.conf.set(_OVERWRITE, before)
+
+
+def append_raw_policies(docs: DataFrame, schema: str, when: Column, upload_source: str = "ui", run_id: str | None = None) -> None:
     rows = docs.select(
         when.alias("timestamp"), F.col("json").alias("policies_json"),
         F.lit(upload_source).alias("upload_source"), F.col("source").alias("file_name"),
     )
-    _append(rows, schema, "ranger_policies_raw")
+    _append(rows, schema, "ranger_policies_raw", run_id)
 
 
 def translation_log_rows(policies: DataFrame, outputs: DataFrame, errors: DataFrame, when: Column) -> DataFrame:
@@ -103,14 +126,18 @@ def translation_log_rows(policies: DataFrame, outputs: DataFrame, errors: DataFr
     )
 
 
-def append_translation_log(rows: DataFrame, schema: str) -> None:
-    _append(rows, schema, "translation_log")
+def append_translation_log(rows: DataFrame, schema: str, run_id: str | None = None) -> None:
+    _append(rows, schema, "translation_log", run_id)
 
 
-def append_apply_log(results: DataFrame, schema: str, when: Column) -> None:
-    _append(results.withColumn("timestamp", when), schema, "uc_policies_applied")
+def append_apply_log(results: DataFrame, schema: str, when: Column, run_id: str | None = None) -> None:
+    _append(results.withColumn("timestamp", when), schema, "uc_policies_applied", run_id)
 
 
-def append_history(runs: DataFrame, path: str) -> None:
-    """Run entries are only ever added; readers take the newest 200."""
-    runs.write.mode("append").parquet(path)
+def append_history(runs: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Run entries are only ever added; readers take the newest 200. A ``run_id`` makes a repeated write leave one set of entries."""
+    if run_id is None:
+        runs.write.mode("append").parquet(path)
+    else:
+        rows = runs.withColumn("run_id", F.lit(run_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -106,3 +106,20 @@ def test_tags_decide_rows_and_columns(spark):
     assert shown(Principal("a")).name == shown(Principal("x", ("mapped",))).name == "secret"  # users of tag masks keep their names
     assert shown(Principal("alias")).name == "secrXX" and shown(Principal("x"), "db.u").name == "secret"
     assert enforce.apply_tag_mask(rows, tags, policies, masks, "db.u", Principal("x")).columns == rows.columns
+
+
+def test_a_closed_view_hides_rows_from_expressions_of_users(spark, tmp_path):
+    data(spark).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rules = [enforce.FilterRule("user", "u", "s = 'F'")]
+    masks = [enforce.MaskRule("t", "MASK_REDACT")]
+    view = enforce.secured_view(rows, "closed_rows", Principal("u"), rules, masks, closed=True)
+    curious = view.filter(F.expr("IF(s <> 'F' OR s IS NULL, raise_error('seen ' || s), i > 0) AND t = '[REDACTED]'"))
+    want = rows.filter("s = 'F' AND i > 0").count()
+    assert curious.count() == want > 0
+    plan = curious._jdf.queryExecution().toString()
+    optimized = curious._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(optimized) if "Generate" in line)
+    assert any("raise_error" in line for line in optimized[:at]) and not any("raise_error" in line for line in optimized[at:])
+    assert any("s#" in line and "= F" in line for line in optimized[at:]) and "EqualTo(s,F)" in plan
+    assert view.columns == rows.columns and view.schema["t"].dataType.simpleString() == "string"
