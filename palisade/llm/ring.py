@@ -87,7 +87,7 @@ def plan_evening(held: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
 def _positions(rows: DataFrame, keys: list[str], amount: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over all rows before, in the order of ``keys``. ``rows`` come with ``part``."""
     sums = rows.groupBy("part").agg(F.sum(amount).alias("s"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of RANGE_ROWS rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(starts, "part").withColumn(
@@ -96,8 +96,12 @@ def _positions(rows: DataFrame, keys: list[str], amount: str, out: str) -> DataF
 
 
 def _in_ranges(rows: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
-    """Rows in ranges of ``keys`` of about RANGE_ROWS rows each, numbered by ``part`` in order, written."""
-    dealt = rows.repartitionByRange(max(1, math.ceil(n / RANGE_ROWS)), *keys)
+    """Rows in ranges of ``keys``, numbered by ``part`` in order, written.
+
+    About RANGE_ROWS rows each, and of many rows as many ranges as a range has rows, so that neither a range nor what
+    is summed up over all ranges outgrows a task.
+    """
+    dealt = rows.repartitionByRange(max(1, min(math.ceil(n / RANGE_ROWS), math.isqrt(n))), *keys)
     return write_through(dealt.withColumn("part", F.spark_partition_id()), label)
 
 
