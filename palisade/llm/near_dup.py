@@ -7,10 +7,14 @@ the last level is taken as one group of candidates. Two sets of similarity s are
 tree with probability at least s^depth, so the number of trees sets the recall; a lower threshold
 takes more of them.
 
-The sketches only propose: inside every group of candidates all full shingle sets are intersected,
-and only links at or above the threshold count. A group too large for one task is compared in pairs
-of blocks, or, when it is huge, in the nodes of its trees. What moves between tasks per document are
-its sketch, its tokens, and only for members of a candidate group its text (once) and its set.
+The sketches only propose: links are confirmed on full shingle sets. A group of candidates that fits
+one task is intersected whole. A larger one is first held against a few of its members (hubs): what
+links to a hub, or to another hub through a common member, is one class and needs no comparison inside.
+Only members still apart meet the others, by their sketches in pairs of wide blocks, and only those with
+a candidate in another class bring their sets together. Groups of every size go the same way.
+
+What moves between tasks per document are its sketch and its tokens. A text is turned into its set where
+it is read, if it stands for a member of a group; copies of it are left where they are.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm.components import components
@@ -30,8 +35,12 @@ from palisade.session import write_through
 TREES, DEPTH = 16, 6
 #: Members of a node that is compared as it is.
 LEAF = 384
-#: Full sets compared in one task are at most two blocks; above BLOCKS blocks a group goes by its nodes.
-BLOCK, BLOCKS = 96, 48
+#: Full sets compared in one task are at most two blocks, sketches two wide blocks.
+BLOCK, WIDE = 96, 1536
+#: Members of a group larger than two blocks that all others are compared with first.
+HUBS = 8
+#: Representatives up to which their ids and hashes are sent to all tasks that read texts (some 64 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Texts that a Python worker holds as objects at a time.
 TEXTS = 256
 #: Standard deviations that a sketch may err before a true link is missed.
@@ -141,20 +150,29 @@ def _with_sets(width: int):
         known = WordHashes()
         for batch in _parts(batches):
             kept, sets = [], []
-            vids = batch.column(0).to_pylist()
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for vid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, known, width)
-                if set_id(s) == vids[i]:
-                    kept.append(i)
+                if set_id(s) == vid:
+                    kept.append(vid)
                     sets.append(s.tobytes())
-            part = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["vid", "groups", "items"]
+                [pa.array(kept, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["vid", "items"]
             )
 
     return run
 
 
+def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``vid``, ``items`` (the full set) for the vertices in ``wanted`` (vid, id, th)."""
+    few = wanted.count() <= BROADCAST_ROWS
+    keys = wanted.withColumnRenamed("th", "of")
+    named = source.filter(F.col("text").isNotNull()).join(
+        F.broadcast(keys) if few else keys, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    )
+    rows = named.select("vid", "text").mapInArrow(_with_sets(width), "vid binary, items binary")
+    return rows.groupBy("vid").agg(F.first("items").alias("items"))  # a repeated row is read again
+
+
 def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all pairs of sorted distinct arrays, by products of 0/1 matrices of bounded width."""
     n = len(sets)
@@ -197,13 +215,103 @@ def _verified(threshold: int):
     return run
 
 
-def _pairs_of_blocks(key: str, vid: str, size: str):
-    """Array of group keys that bring every two members of ``key`` together, each group at most two blocks."""
-    blocks = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(17), vid), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    pairs = F.transform(others, lambda x: F.xxhash64(key, F.least(mine, x), F.greatest(mine, x)))
-    return F.when(F.col(size) <= 2 * BLOCK, F.array(F.xxhash64(key))).otherwise(pairs)
+def _starred(threshold: int):
+    """Links of hubs to the members beside them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        vids, items = group.column("vid").to_pylist(), group.column("items").to_pylist()
+        is_hub = group.column("hub").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in items]
+        left, right = [], []
+        mine = np.flatnonzero(~is_hub)
+        if len(mine):
+            n = np.array([len(sets[i]) for i in mine], np.int64)
+            flat, starts = np.concatenate([sets[i] for i in mine]), np.cumsum(n) - n
+            for h in np.flatnonzero(is_hub):
+                hub = sets[h]
+                at = np.minimum(np.searchsorted(hub, flat), len(hub) - 1)
+                common = np.add.reduceat((hub[at] == flat).astype(np.int64), starts)
+                for i in mine[100 * common >= threshold * (n + len(hub) - common)]:
+                    if vids[i] != vids[h]:
+                        left.append(vids[h])
+                        right.append(vids[i])
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+
+    return run
+
+
+def _crossed(threshold: int, block: int):
+    """For two wide blocks, pairs of their blocks with candidates of different classes: (pair, vid) of these candidates."""
+    most = _allowed(threshold)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("lead", "ascending"), ("vid", "ascending")])
+        key = group.column("pair")[0].as_py()
+        vids, side = group.column("vid").to_pylist(), group.column("side").to_numpy()
+        _, class_ = np.unique(np.array([c.hex() for c in group.column("class").to_pylist()]), return_inverse=True)
+        n = group.column("n").to_numpy()
+        words = np.array(group.column("sketch").to_pylist(), np.int64)
+        sides = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+        itself = not len(sides[1])
+        if itself:
+            sides[1] = sides[0]
+        cut = lambda rows: [rows[i : i + block] for i in range(0, len(rows), block)]
+        pairs, found = [], []
+        for x, us in enumerate(cut(sides[0])):
+            for y, them in enumerate(cut(sides[1])):
+                if itself and y < x:
+                    continue
+                ok = class_[us][:, None] != class_[them][None]
+                ok &= 100 * np.minimum(n[us][:, None], n[them][None]) >= threshold * np.maximum(n[us][:, None], n[them][None])
+                if ok.any():
+                    ok &= mismatches(words[us], words[them]) <= most
+                who = np.union1d(us[ok.any(axis=1)], them[ok.any(axis=0)])
+                pairs += [xxhash.xxh3_64_intdigest(f"{key} {x} {y}".encode()) - 2**63] * len(who)
+                found += [vids[i] for i in who]
+        return pa.table({"vid": pa.array(found, pa.binary()), "group": pa.array(pairs, pa.int64())})
+
+    return run
+
+
+def _stars(hot: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between hubs of large groups and their members; ``hot`` has vid, root and the group's size."""
+    chunks = F.ceil(F.col("size") / F.lit(2 * BLOCK)).cast("int")
+    members = hot.select("vid", F.xxhash64("root", F.pmod(F.xxhash64(F.lit(17), "vid"), chunks)).alias("group"), F.lit(False).alias("hub"))
+    hubs = hot.groupBy("root", F.pmod(F.xxhash64(F.lit(29), "vid"), F.lit(HUBS)).alias("of")).agg(
+        F.min("vid").alias("vid"), F.max("size").alias("size")
+    )
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda c: F.xxhash64("root", c))
+    hubs = hubs.withColumn("chunks", chunks.cast("bigint")).select("vid", F.explode(meets).alias("group"), F.lit(True).alias("hub"))
+    rows = members.unionByName(hubs).join(sets, "vid")
+    return rows.groupBy("group").applyInArrow(_starred(threshold), "a binary, b binary")
+
+
+def _still_apart(hot: DataFrame, stars: DataFrame, threshold: int) -> DataFrame:
+    """``vid``, ``group`` that bring together all members of large groups that are candidates but not of one class yet.
+
+    ``hot`` has vid, root, n, lead and sketch. The largest class of a group is not compared with itself.
+    """
+    classes = components(stars).select(F.col("vertex").alias("vid"), F.col("root").alias("class"))
+    rows = write_through(hot.join(classes, "vid", "left").withColumn("class", F.coalesce("class", "vid")), "classes")
+    counts = rows.groupBy("root", "class").agg(F.count(F.lit(1)).alias("cnt"))
+    wide = lambda count: F.ceil(count / F.lit(WIDE)).cast("int")
+    plan = write_through(
+        counts.groupBy("root").agg(
+            F.max_by("class", F.struct("cnt", "class")).alias("settled"), F.max("cnt").alias("most"), F.sum("cnt").alias("all")
+        ).filter("all > most").select("root", "settled", wide(F.col("all") - F.col("most")).alias("open"), wide(F.col("most")).alias("closed")),
+        "plan",
+    )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    is_open = F.col("class") != F.col("settled")
+    mine = F.pmod(F.xxhash64(F.lit(17), "vid"), F.when(is_open, F.col("open")).otherwise(F.col("closed"))).cast("int")
+    at = lambda kind, i, j, side: F.struct(F.xxhash64("root", F.lit(kind), i, j).alias("pair"), side.alias("side"))
+    among = F.transform(upto("open"), lambda j: at("open", F.least("mine", j), F.greatest("mine", j), (F.col("mine") > j).cast("int")))
+    to_closed = F.transform(upto("closed"), lambda j: at("closed", F.col("mine"), j, F.lit(0)))
+    to_open = F.transform(upto("open"), lambda i: at("closed", i, F.col("mine"), F.lit(1)))
+    dealt = rows.join(plan, "root").withColumn("mine", mine).select(
+        "vid", "class", "n", "lead", "sketch", F.explode(F.when(is_open, F.concat(among, to_closed)).otherwise(to_open)).alias("at")
+    ).select("vid", "class", "n", "lead", "sketch", "at.pair", "at.side")
+    return dealt.groupBy("pair").applyInArrow(_crossed(threshold, BLOCK), "vid binary, group bigint")
 
 
 def _branched(vertices: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
@@ -266,23 +374,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5, doc_id
     clusters = write_through(components(proposed.unionByName(stars)), "candidates")
 
     sizes = write_through(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 2 * BLOCK), "sizes")
-    sized = clusters.join(sizes, "root", "left").select("vertex", "root", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    grouped = sized.filter(F.col("size") <= BLOCK * BLOCKS).select(
-        F.col("vertex").alias("vid"), _pairs_of_blocks("root", "vertex", "size").alias("groups")
-    )
-    if not sizes.filter(F.col("size") > BLOCK * BLOCKS).isEmpty():
-        huge = write_through(sized.filter(F.col("size") > BLOCK * BLOCKS).select(F.col("vertex").alias("vid")), "huge")
-        in_nodes = leaves.withColumn("cnt", F.lit(1).cast("long")).unionByName(large).join(huge, "vid")
-        by_node = in_nodes.groupBy("vid").agg(F.flatten(F.collect_list(_pairs_of_blocks("node", "vid", "cnt"))).alias("groups"))
-        grouped = grouped.unionByName(by_node)
-    wanted = grouped.join(vertices.select("vid", F.col("first.th").alias("th")), "vid")
-    texts = source.filter(F.col("text").isNotNull()).groupBy("th").agg(F.first("text").alias("text"))
-    sets = wanted.join(texts, "th").select("vid", "groups", "text").mapInArrow(
-        _with_sets(width), "vid binary, groups array<bigint>, items binary"
-    )
-    links = sets.select("vid", "items", F.explode("groups").alias("group")).groupBy("group").applyInArrow(
-        _verified(threshold), "a binary, b binary"
-    )
+    sized = clusters.join(sizes, "root", "left").select(F.col("vertex").alias("vid"), "root", "size")
+    wanted = clusters.select(F.col("vertex").alias("vid")).join(vertices.select("vid", F.col("first.id"), F.col("first.th")), "vid")
+    sets = write_through(_sets(source, write_through(wanted, "wanted"), width), "sets")
+    grouped = sized.filter(F.col("size").isNull()).select("vid", F.xxhash64("root").alias("group"))
+    some_hot = not sizes.isEmpty()
+    if some_hot:
+        hot = sized.filter(F.col("size").isNotNull())
+        stars = write_through(_stars(hot, sets, threshold), "stars")
+        known = hot.join(vertices.select("vid", "n", F.get("tokens", F.lit(0)).alias("lead"), "sketch"), "vid")
+        grouped = grouped.unionByName(write_through(_still_apart(known, stars, threshold), "apart"))
+    links = grouped.join(sets, "vid").groupBy("group").applyInArrow(_verified(threshold), "a binary, b binary")
+    if some_hot:
+        links = links.unionByName(stars)
     roots = components(links)
 
     linked = vertices.select("vid", "first").join(roots.select(F.col("vertex").alias("vid"), "root"), "vid")

@@ -242,7 +242,7 @@ def components_of(sets, threshold):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_against_all_pairs(make_docs, odd_docs, monkeypatch, small):
     if small:  # every path: nodes that stay large, block pairs, groups that go by their nodes
-        for name, value in (("LEAF", 6), ("BLOCK", 2), ("BLOCKS", 3), ("DEPTH", 3)):
+        for name, value in (("LEAF", 6), ("BLOCK", 2), ("WIDE", 4), ("DEPTH", 3)):
             monkeypatch.setattr(near_dup, name, value)
     texts = near_copies(random.Random(5), 70)
     rows = [(i * 7 % 10_007, t, "s", "en") for i, t in enumerate(texts, 100)]
@@ -363,3 +363,40 @@ def test_vectors_of_the_test_tables_have_whole_answers(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     n = vectors.filter(F.col("vec_id") % 20 == 0).count()
     assert topk.top_k(vectors).count() == n * min(20, vectors.count() - 1)
+
+
+def test_a_large_group_is_held_against_its_hubs_first(spark, make_docs):
+    """6,000 variants of one long text, some linked only through others, and as many that are candidates but no links."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(3000):
+        far = i % 10 == 0
+        at = rng.sample(range(0, 400, 20), 4 if far else 1)
+        rows.append((i, " ".join(f"x{i}" if j in at else w for j, w in enumerate(base)), "s", "en"))
+    other = base[:346] + [f"v{i}" for i in range(54)]  # 342 shingles of 396 + 54: 0.76
+    rows += [(10_000 + i, " ".join([*other[:i % 300], f"y{i}", *other[i % 300 + 1 :]]), "s", "en") for i in range(3000)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(make_docs(rows)).collect()}
+    sets = {d: shingles(t) for d, t, _, _ in rows}
+    first = {d for d in sets if d < 10_000}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(linked(1, d) for d in first)
+    assert {got[d] for d in first} == {0}
+    assert not any(linked(rng.choice(sorted(first)), d) for d in rng.sample(sorted(sets.keys() - first), 500))
+    assert {got[d] for d in sets if d >= 10_000} == {10_000}
+
+
+def test_members_of_a_large_group_that_link_to_no_hub(spark, make_docs, monkeypatch):
+    """Chains in one group of candidates: neighbours link, most others do not."""
+    for name, value in (("LEAF", 6), ("BLOCK", 8), ("WIDE", 32), ("HUBS", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows = []
+    for chain in range(3):
+        words = [f"w{i}" for i in range(300)]
+        for step in range(70):
+            words[4 * step] = f"c{chain}s{step}"
+            rows.append((chain * 1000 + step, " ".join(words), "s", "en"))
+    roots = components_of([shingles(r[1]) for r in rows], 85)
+    smallest = {root: min(rows[i][0] for i, r in enumerate(roots) if r == root) for root in roots}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(make_docs(rows)).collect()}
+    assert got == {r[0]: smallest[root] for r, root in zip(rows, roots)}
