@@ -291,7 +291,11 @@ def _still_apart(hot: DataFrame, stars: DataFrame, threshold: int) -> DataFrame:
 
     ``hot`` has vid, root, n, lead and sketch. The largest class of a group is not compared with itself.
     """
-    classes = components(stars).select(F.col("vertex").alias("vid"), F.col("root").alias("class"))
+    # A hub's label is the least hub it links to, a member's the least label of its hubs: some links of a class are not
+    # followed, which only brings more of it together again.
+    links = stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct())
+    labels = links.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("label"))
+    classes = links.join(labels, "a").groupBy(F.col("b").alias("vid")).agg(F.min("label").alias("class"))
     rows = write_through(hot.join(classes, "vid", "left").withColumn("class", F.coalesce("class", "vid")), "classes")
     counts = rows.groupBy("root", "class").agg(F.count(F.lit(1)).alias("cnt"))
     wide = lambda count: F.ceil(count / F.lit(WIDE)).cast("int")
