@@ -1,6 +1,7 @@
 """The manifest and its proofs against trees built in plain Python."""
 
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -104,3 +105,37 @@ def test_tampering_is_seen_and_nothing_else(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_one_source_of_several_levels_above_blocks(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "LANE", 2)
+    rows = [(i, "web" if i % 9 else "", f"Text {i}") for i in range(5000)]
+    assert found(spark, rows) == by_hand(rows)
+
+
+def test_paths_are_put_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "CLIMB_BYTES", "1k")
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.glob("climb-*"))
+    names = ("spark.sql.cteRecursionRowLimit", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    settings = [spark.conf.get(k) for k in names]
+    rows = [(i, f"s{i % 150}", f"Text {i}") for i in range(400)]
+    assert found(spark, rows) == by_hand(rows)
+    assert [spark.conf.get(k) for k in names] == settings
+    (climb,) = set(scratch.glob("climb-*")) - before
+    assert len(list(climb.glob("*.parquet"))) > 1
+
+
+def test_little_is_stored_per_leaf(spark):
+    """A leaf is 32 bytes, and it is written as a leaf, in its place and in its block; nothing else grows with the leaves."""
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    held = lambda: sum(p.stat().st_size for p in scratch.rglob("*.parquet"))
+    stored = []
+    for n in (2_000, 22_000):
+        before = held()
+        leaf = F.sha2(F.col("id").cast("string"), 256)
+        given = F.when(F.col("id") % 5 == 0, F.sha2(F.concat(F.lit("x"), "id"), 256)).otherwise(leaf)
+        leaves = spark.range(n).select((F.col("id") % 3).cast("string").alias("source"), F.col("id").alias("doc_id"), leaf.alias("leaf"), given.alias("given"))
+        assert merkle.climb(merkle.build(leaves)).count() == n
+        stored.append(held() - before)
+    assert (stored[1] - stored[0]) / 20_000 < 250, stored
